@@ -36,6 +36,15 @@ THRESHOLD = 0.75
 #: Documents whose words are the sample of ordinary identifiers, and random strings drawn.
 SAMPLE_DOCS, SAMPLE_RANDOM = 400, 4000
 
+#: Identifiers labelled ordinary that the sample always holds, so that the model of ordinary strings stands on few documents too.
+ORDINARY = (
+    "configuration initialize getUserName set_default_value maximum_retry_count internationalization document-builder-factory http_response "
+    "application/json content_length background-color createElement addEventListener transaction_identifier department customer_address "
+    "temperature_sensor connection_timeout organization experimental_feature isEnabled parseArguments numberOfElements database_schema "
+    "synchronization authentication administrator environment_variables src/main/resources table_partition understanding communication "
+    "responsibility characteristics approximately simultaneously questionnaire environmental representative entertainment particularly"
+).split()
+
 _CODE = np.full(128, len(ALPHABET), np.int64)
 for _i, _c in enumerate(ALPHABET):
     _CODE[ord(_c)] = _i
@@ -100,7 +109,7 @@ def train(ordinary_texts: list[str], n_random: int = SAMPLE_RANDOM) -> np.ndarra
             if kind != "assign":
                 keys.append(text[start:end])
         words += re.findall(r"[A-Za-z0-9_-]{2,}", text[at:])
-    words = [w for w in words if not any(c.isdigit() for c in w)]
+    words = [w for w in words if not any(c.isdigit() for c in w)] + 5 * ORDINARY
     return transitions(keys) - transitions(identifiers(words))
 
 
