@@ -41,7 +41,7 @@ def title_score(query: pd.Series, title: pd.Series) -> pd.Series:
 
 def split_names(text: Column, separators: str = "[;,/]") -> Column:
     """Parts between separators, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, separators), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, separators), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def slug(text: Column, most: int = 80) -> Column:
