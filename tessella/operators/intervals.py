@@ -60,7 +60,7 @@ def overlap_share(clips: DataFrame, segments: DataFrame, axis: str, key: str) ->
     """Share of each clip that its axis's segments (``ss, se``) cover, counted once for each segment, at most 1."""
     other = segments.select(F.col(axis).alias("_axis"), "ss", "se")
     met = clips.join(other, (F.col(axis) == F.col("_axis")) & (F.col("se") > F.col("s")) & (F.col("ss") < F.col("e")), "left")
-    o = F.coalesce(overlap(F.col("s"), F.col("e"), F.col("ss"), F.col("se")), F.lit(0))
+    o = F.when(F.col("ss").isNotNull(), overlap(F.col("s"), F.col("e"), F.col("ss"), F.col("se"))).otherwise(F.lit(0))
     total = met.groupBy(axis, key, "s", "e").agg(F.sum(o).alias("_o"))
     share = F.when(F.col("e") > F.col("s"), F.least(F.lit(1.0), F.col("_o") / F.nullif(F.col("e") - F.col("s"), F.lit(0)))).otherwise(F.lit(0.0))
     return total.select(axis, key, F.round(share, 3).alias("share"))

@@ -450,9 +450,9 @@ def robust_scale(spark, sf):
     return series.robust_unit(spans(spark, sf).select("axis", "seg", "value"), ["axis"], "value").select("axis", "seg", F.round("unit", 6).alias("unit"))
 
 
-@query("smooth_curve", f"WITH {SPANS}, {HOURLY}, n AS (SELECT *, max(i) OVER (PARTITION BY axis) AS last FROM hourly) SELECT p.axis, p.i, round(sum(q.energy) / 4, 6) AS smooth FROM n p JOIN (SELECT unnest([-2, -1, 0, 1]) AS d) k ON true JOIN n q ON q.axis = p.axis AND q.i = greatest(0, least(p.last, p.i + k.d)) GROUP BY p.axis, p.i")
+@query("smooth_curve", f"WITH {SPANS}, {HOURLY}, n AS (SELECT *, max(i) OVER (PARTITION BY axis) AS last FROM hourly) SELECT p.axis, p.i, round(sum(q.energy) / 4, 10) AS smooth FROM n p JOIN (SELECT unnest([-2, -1, 0, 1]) AS d) k ON true JOIN n q ON q.axis = p.axis AND q.i = greatest(0, least(p.last, p.i + k.d)) GROUP BY p.axis, p.i")
 def smooth_curve(spark, sf):
-    return series.smooth(hourly(spark, sf), ["axis"], "i", "energy", 4).select("axis", "i", F.round("smooth", 6).alias("smooth"))
+    return series.smooth(hourly(spark, sf), ["axis"], "i", "energy", 4).select("axis", "i", F.round("smooth", 10).alias("smooth"))
 
 
 @query("systematic_sample", f"WITH {SPANS}, {HOURLY}, n AS (SELECT *, count(*) OVER (PARTITION BY axis) AS n FROM hourly) SELECT axis, i FROM n WHERE n <= 5 OR i IN (SELECT unnest([round_even(k * (n - 1) / 4, 0) FOR k IN range(0, 5)]))")
@@ -694,7 +694,7 @@ def assign_checks(spark, sf):
     return g.select("edit_id", *[F.col(k).cast("int").alias(k) for k in ("slots", "repeated", "outside")])
 
 
-RATED = "r AS (SELECT p_partkey AS song, p_brand AS artist, CASE WHEN p_size % 7 = 0 THEN NULL ELSE round((p_size % 11) / 10.0, 3) END AS mood, round(greatest(0, 1 - abs(p_size * 2.4 - 60) / 101), 3) AS tempo, round(p_retailprice % 100 / 100, 3) AS energy FROM part), s AS (SELECT *, round((coalesce(mood * 1.0, 0) + tempo * 0.5 + energy * 0.5) / (CASE WHEN mood IS NULL THEN 0.0 ELSE 1.0 END + 1.0), 3) AS score FROM r)"
+RATED = "r AS (SELECT p_partkey AS song, p_brand AS artist, CASE WHEN p_size % 7 = 0 THEN NULL ELSE round((p_size % 11) / 10.0, 3) END AS mood, round(greatest(0, 1 - abs(p_size * 2.4 - 60) / 101), 3) AS tempo, round(p_retailprice % 100 / 100, 3) AS energy FROM part), s AS (SELECT *, round((coalesce(mood * 1.0, 0) + tempo * 0.3 + energy * 0.6) / (CASE WHEN mood IS NULL THEN 0.0 ELSE 1.0 END + 0.3 + 0.6), 3) AS score FROM r)"
 
 
 def rated(spark, sf):
@@ -704,7 +704,7 @@ def rated(spark, sf):
         F.col("p_partkey").alias("song"), F.col("p_brand").alias("artist"), F.when(size % 7 != 0, F.round((size % 11) / 10.0, 3)).alias("mood"),
         F.round(F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(size * F.lit(2.4) - 60) / 101), 3).alias("tempo"), F.round(F.col("p_retailprice") % 100 / 100, 3).alias("energy"),
     )
-    return r.withColumn("score", fusion.weighted_mean({k: F.col(k) for k in ("mood", "tempo", "energy")}, {"mood": 1.0, "tempo": 0.5, "energy": 0.5}))
+    return r.withColumn("score", fusion.weighted_mean({k: F.col(k) for k in ("mood", "tempo", "energy")}, {"mood": 1.0, "tempo": 0.3, "energy": 0.6}))
 
 
 @query("suggest_rate", f"WITH {RATED} SELECT song, mood, tempo, energy, score FROM s")
