@@ -10,6 +10,7 @@ bins' numbers. Nothing is shuffled.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 #: Tokens of a sequence, bins that a task keeps open, and the id after each document.
 CAPACITY, OPEN_BINS, END_ID = 4096, 256, 1
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 #: Pieces in one batch of rows out.
 BATCH = 1024
 
@@ -62,26 +63,69 @@ class BestFit:
         return number, self.capacity - space
 
 
-class WordIds(dict):
-    """Token ids of words as little-endian 32-bit bytes, for a tokenizer that splits at white space and drops it. A dict; missing words are encoded."""
+#: Words whose ids follow from those of a run of letters and of the marks behind it, in either case: Latin letters, ASCII marks but the apostrophe.
+_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class WordIds:
+    """Token ids of texts as little-endian 32-bit bytes, word by word, for a tokenizer that lower-cases, splits letters from marks, and drops white space.
+
+    The ids of words are kept. What a document has of new words is encoded at
+    once; of a word of letters and marks behind them, only the letters in
+    lower case have to be new.
+    """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        text = word.decode("utf-8", "surrogatepass")
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {"": b""}
+
+    def one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of the words."""
+        out: dict[bytes, bytes] = {}
+        simple: dict[bytes, tuple[str, str]] = {}
+        for w in missing:
+            text = w.decode("utf-8", "surrogatepass")
+            if m := _SIMPLE.fullmatch(text):
+                simple[w] = m[1].lower(), m[2]
+            else:
+                out[w] = self.one(text)
+        if len(self.runs) >= KEPT_WORDS:
+            self.runs = {"": b""}
+        runs = self.runs
+        new = list({r for r, _ in simple.values() if r not in runs})
+        if new:
+            made = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+            ids, of = np.array(made.ids, "<u4"), np.array(made.word_ids)
+            cuts = np.flatnonzero(np.diff(of)) + 1
+            if len(cuts) == len(new) - 1:
+                data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                runs.update(zip(new, (data[i:j] for i, j in zip([0, *ends], ends))))
+            else:
+                runs.update((r, self.one(r)) for r in new)
+        for w, (run, marks) in simple.items():
+            if marks not in runs:
+                runs[marks] = self.one(marks)
+            out[w] = runs[run] + runs[marks]
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode("utf-8").split())) if text else b""
+        if not text:
+            return b""
+        parts = text.encode("utf-8").split()
+        ids = list(map(self.words.get, parts))
+        if None in ids:
+            found = self.learn({w for w, x in zip(parts, ids) if x is None})
+            if len(self.words) >= KEPT_WORDS:
+                self.words = {}
+            ids = [found[w] if x is None else x for w, x in zip(parts, ids)]
+            self.words.update((w, x) for w, x in found.items() if len(w) <= 64)
+        return b"".join(ids)
 
 
 @lru_cache(maxsize=2)
