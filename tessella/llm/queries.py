@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe_count, chat, decontam, html_diff, langid, packing, secret_scan, simhash, syncmers, warc
-from tessella.llm.common import new_path, written
+from tessella.llm.common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,19 +30,19 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = syncmers.next_prefixes(table(spark, sf_dir, "documents"))
+    own = syncmers.fingerprint(F.col("text"))
+    docs = syncmers.with_next(table(spark, sf_dir, "documents"), of_next={"next_fingerprint": own})
     edited = F.concat(F.expr("left(text, n_chars - n_chars div 3)"), F.col("next_start"))
     prints = docs.select(
-        "id", "own_id", "next_id", "n_chars", F.sha2(edited, 256).alias("edited_sha256"),
-        syncmers.fingerprint(F.col("text")).alias("fingerprint"), syncmers.fingerprint(edited).alias("edited_fingerprint"),
-    )
-    prints = written(prints, "prints")
-    of_next = prints.groupBy(F.col("id").alias("next_id")).agg(F.min("fingerprint").alias("next_fingerprint"))
-    return prints.join(of_next, "next_id").select(
-        F.col("own_id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
-        syncmers.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        syncmers.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        F.col("id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), own.alias("fingerprint"),
+        syncmers.fingerprint(edited).alias("edited_fingerprint"), "next_fingerprint",
     )
+    return prints.withColumns(
+        {
+            "near_edited": syncmers.likeness(F.col("fingerprint"), F.col("edited_fingerprint")),
+            "near_next": syncmers.likeness(F.col("fingerprint"), F.col("next_fingerprint")),
+        }
+    ).drop("next_fingerprint")
 
 
 def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,28 +91,34 @@ def positional_matches(pairs: DataFrame, left: str = "left_text", right: str = "
     return pairs.withColumn("matches", F.array_sort(found))
 
 
-def next_prefixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``text``, ``n_chars``, ``next_id`` and ``next_start`` (the next text's first floor(n_chars / 3) code points) for every row.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of_next: dict[str, Column] | None = None) -> DataFrame:
+    """``id``, ``text``, ``n_chars``, ``next_start`` and the columns ``of_next`` for every row; ``id`` keeps the type long.
 
     The next document is the one with the next lower id, after the lowest the
-    highest. Texts travel once, to their id; only the beginnings that another
-    row needs travel again. Null ids count as the lowest id. Where rows share
-    an id, each has the same next document, and as a next document the least
-    of their texts stands for them. Null texts are empty.
+    highest. ``next_start`` is its first floor(n_chars / 3) code points;
+    ``of_next`` are expressions over its ``text``. Texts travel once, to their
+    id (one exchange serves both sides of the join); only the beginnings that
+    another row needs travel again, with what ``of_next`` makes.
+
+    Null ids count as the lowest id. Where rows share an id, each has the same
+    next document, and as a next document the least of their texts stands for
+    them. Null texts are empty. Further columns are not looked at.
     """
-    rows = docs.select(text_id(id_col).alias("id"), F.col(id_col).alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    extra = of_next or {}
+    rows = docs.select(text_id(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keys = rows.groupBy("id").agg(F.max(F.length("text")).alias("most"))
     order = neighbours(keys, [F.col("id").desc()], ["id", "most"])
-    ends = keys.agg(F.max("id").alias("high"), F.min_by("most", "id").alias("low_most"), F.min("id").alias("low")).first()
-    high, low, most = ends["high"], ends["low"], ends["low_most"]
+    low = keys.agg(F.min_by("most", "id").alias("most"), F.min("id").alias("id")).first()
     order = order.select(
         "id",
-        F.coalesce(F.col("_next.id"), F.lit(high).cast("long")).alias("next_id"),
-        F.coalesce(F.col("_prev.id"), F.lit(low).cast("long")).alias("for_id"),
-        F.coalesce(F.col("_prev.most"), F.lit(most).cast("int")).alias("for_most"),
+        F.coalesce(F.col("_prev.id"), F.lit(low["id"]).cast("long")).alias("for_id"),
+        F.coalesce(F.col("_prev.most"), F.lit(low["most"]).cast("int")).alias("for_most"),
     )
     placed = rows.join(order, "id")
-    starts = placed.select(F.col("for_id").alias("id"), F.expr("left(text, for_most div 3)").alias("start"))
-    starts = starts.groupBy("id").agg(F.min("start").alias("start"))
-    n = F.length("text")
-    return placed.join(starts, "id").select("own_id", "id", "text", n.alias("n_chars"), "next_id", F.expr("left(start, length(text) div 3)").alias("next_start"))
+    given = F.struct(F.expr("left(text, for_most div 3)").alias("start"), *[c.alias(n) for n, c in extra.items()])
+    starts = placed.select(F.col("for_id").alias("id"), given.alias("given")).groupBy("id").agg(F.min("given").alias("given"))
+    out = rows.join(starts, "id")
+    return out.select(
+        F.nullif("id", F.lit(NULL_ID)).alias("id"), "text", F.length("text").alias("n_chars"), F.expr("left(given.start, length(text) div 3)").alias("next_start"),
+        *[F.col(f"given.{n}").alias(n) for n in extra],
+    )

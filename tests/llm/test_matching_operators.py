@@ -116,9 +116,9 @@ def test_fingerprint_query(spark, small):
 
 def test_fingerprint_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f g", 1), (2, None, 1), (2, "zz", 1), (9, "é" * 10, 1)], "doc_id long, text string, id int")
-    rows = sorted((str(r.own_id), r.text, r.next_start) for r in syncmers.next_prefixes(df).collect())
+    rows = sorted((str(r.id), r.text, r.next_start) for r in syncmers.with_next(df).collect())
     assert rows == [("2", "", ""), ("2", "zz", ""), ("9", "é" * 10, ""), ("None", "a b c d e f g", "éééé")]
-    assert syncmers.next_prefixes(df.limit(0)).count() == 0
+    assert syncmers.with_next(df.limit(0)).count() == 0
     like = spark.createDataFrame([("", ""), ("", "0" * 8), ("1" * 8, "1" * 8), ("1" * 8 + "2" * 8, "2" * 8)], "a string, b string")
     assert [r[0] for r in like.select(syncmers.likeness(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 1.0, 0.5]
     same = " ".join(f"w{i}" for i in range(40))
