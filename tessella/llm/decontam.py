@@ -95,10 +95,13 @@ def contamination(
         rows = F.transform(at, lambda i: F.struct(i.alias("start"), F.lit(size).alias("size"), F.array_join(F.slice(w, i + 1, size), " ").alias("window")))
         return F.when(F.size(w) >= size, rows).otherwise(F.array().cast("array<struct<start:int,size:int,window:string>>"))
 
-    read = docs.select(text_id(id_col).alias("key"), F.xxhash64(text_col).alias("version"), words(F.col(text_col)).alias("w"))
+    names = [id_col, *(c for c in keep if c != id_col)]
+    out = [F.col(c).alias(f"_{i}") for i, c in enumerate(names)]
+    read = docs.select(text_id(id_col).alias("key"), F.xxhash64(text_col).alias("version"), *out, words(F.col(text_col)).alias("w"))
     none = F.array().cast("array<struct<start:int,size:int,window:string>>")
     tested = _let(F.col("w"), lambda w: F.concat(none, *[survivors(w, size) for size in sorted(r["size"] for r in known)]))
-    scanned = read.select("key", "version", tested.alias("tested"))
+    kept = [f"_{i}" for i in range(len(names))]
+    scanned = written(read.select("key", "version", *kept, F.size("w").alias("n_words"), tested.alias("tested")), "scanned")
     hits = scanned.select("key", "version", F.explode("tested").alias("t")).join(groups, [F.col("t.size") == F.col("size"), F.col("t.window") == F.col("window")])
     hits = hits.select("key", "version", F.col("t.start").alias("start"), (F.col("t.start") + F.col("t.size")).alias("end"), "items")
     found = hits.groupBy("key", "version").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
@@ -110,9 +113,7 @@ def contamination(
         ).otherwise(F.concat(acc, F.array(h))),
     )
     merged = written(found.select("key", "version", spans.alias("spans"), "items"), "hits")
-    names = [id_col, *(c for c in keep if c != id_col)]
-    out = [F.col(c).alias(f"_{i}") for i, c in enumerate(names)]
-    counted = docs.select(text_id(id_col).alias("key"), F.xxhash64(text_col).alias("version"), F.size(words(F.col(text_col))).alias("n_words"), *out)
+    counted = scanned.select("key", "version", *kept, "n_words")
     return counted.join(merged, ["key", "version"], "left").select(
         *(F.col(f"_{i}").alias(c) for i, c in enumerate(names)), "n_words",
         F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
