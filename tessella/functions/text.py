@@ -8,9 +8,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_name(text: pd.Series) -> pd.Series:
     """Lower case without accents; runs of anything but a-z and 0-9 are one space."""
     plain = text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower())
@@ -25,7 +26,7 @@ def name_score(query: Column, name: Column) -> Column:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def title_score(query: pd.Series, title: pd.Series) -> pd.Series:
     """Similarity of two normalised titles by matching blocks; at least 0.9 if the shorter (of 4 characters or more) is a run of words in the other."""
 

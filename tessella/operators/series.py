@@ -82,7 +82,7 @@ def suppress(df: DataFrame, by: list[str], i: str, strength: str, distance: int,
         empty,
         lambda acc, x: F.when((F.size(acc) < most) & ~F.exists(acc, lambda y: F.abs(y["i"] - x["i"]) < distance), F.concat(acc, F.array(F.struct(x["v"].cast("double").alias("v"), x["i"].alias("i"))))).otherwise(acc),
     )
-    return df.groupBy(*by).agg(kept.alias("_kept")).select(*by, F.explode("_kept").alias("k")).select(*by, F.col("k.i").alias(i), (-F.col("k.v")).alias(strength))
+    return df.groupBy(*by).agg(kept.alias("_kept")).select(*by, F.explode("_kept").alias("_item")).select(*by, F.col("_item.i").alias(i), (-F.col("_item.v")).alias(strength))
 
 
 def zscore(value: str, by: list[str]) -> Column:

@@ -107,4 +107,4 @@ def nms(boxes: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
     kind = "array<struct<v:double,box_id:bigint,x:double,y:double,w:double,h:double>>"
     sides = lambda z: [z[c] for c in "xywh"]
     kept = F.aggregate(items.cast(kind), F.array().cast(kind), lambda acc, z: F.when(F.exists(acc, lambda y: box_iou(sides(y), sides(z)) > threshold), acc).otherwise(F.concat(acc, F.array(z))))
-    return boxes.groupBy(*by).agg(kept.alias("_k")).select(*by, F.explode("_k").alias("k")).select(*by, F.col("k.box_id").alias("box_id"), (-F.col("k.v")).alias("score"))
+    return boxes.groupBy(*by).agg(kept.alias("_k")).select(*by, F.explode("_k").alias("_item")).select(*by, F.col("_item.box_id").alias("box_id"), (-F.col("_item.v")).alias("score"))

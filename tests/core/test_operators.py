@@ -34,7 +34,7 @@ def rows(df, *columns):
 
 
 def test_intervals(spark):
-    iv = lambda *x: spark.createDataFrame([("a", i, s, e) for i, (s, e) in enumerate(x)], "axis string, seg int, s double, e double")
+    iv = lambda *x: spark.createDataFrame([("a", i, float(s), float(e)) for i, (s, e) in enumerate(x)], "axis string, seg int, s double, e double")
     assert rows(intervals.merge(iv((5, 10), (0, 3), (9, 12)).drop("seg")), "s", "e") == [(0, 3), (5, 12)]
     assert rows(intervals.merge(iv((0, 3), (3, 4))), "s", "e") == [(0, 4)]
     left = intervals.subtract(iv((0, 30), (30, 80), (80, 100), (100, 200)), iv((90, 180)))
