@@ -25,8 +25,10 @@ _SPACE = "▁"
 class MergeCounter(dict):
     """Counts for one sentencepiece BPE model with byte fallback and identity normalisation.
 
-    A dict of part to count; a part that is missing is merged. ``count``
-    counts a text.
+    A dict of part to count; a part that is missing is cut again between
+    characters that stand side by side in no piece, and what is new among
+    these is merged. When half of ``KEPT_PARTS`` are known, they become the
+    older half, from which parts in use are taken over. ``count`` counts a text.
     """
 
     def __init__(self, model_file: str):
@@ -38,31 +40,30 @@ class MergeCounter(dict):
         scores = sorted({p.get_score(i) for i in usable}, reverse=True)
         level = {s: r for r, s in enumerate(scores)}
         self.rank = {p.id_to_piece(i): level[p.get_score(i)] for i in usable}
-        self.part = self._parts()
-
-    def _parts(self) -> re.Pattern[str]:
-        """Splits at places that no piece spans: before spaces, and between letters and others if no piece mixes them."""
-        letter = re.compile(r"[^\W\d_]")
-        inner = [p.lstrip(_SPACE) for p in self.rank]
-        if any(_SPACE in p for p in inner):
-            return re.compile(r"(?s).+")
-        if any(len({bool(letter.match(c)) for c in p}) > 1 for p in inner):
-            return re.compile(_SPACE + "*[^" + _SPACE + "]+|" + _SPACE + "+$")
-        return re.compile(f"{_SPACE}*[^\\W\\d_]+|{_SPACE}*[\\W\\d_](?:(?!{_SPACE})[\\W\\d_])*")
+        self.joined = {piece[i : i + 2] for piece in self.rank for i in range(len(piece) - 1)}
+        inside = any(_SPACE in piece.lstrip(_SPACE) for piece in self.rank)
+        self.part = re.compile(r"(?s).+" if inside else f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+$")
+        self.older: dict[str, int] = {}
 
     def __missing__(self, part: str) -> int:
-        if len(self) >= KEPT_PARTS:
-            self.clear()
-        n = self.merged(part)
+        n = self.older.get(part)
+        if n is None:
+            joined, pairs = self.joined, map(str.__add__, part, part[1:])
+            cuts = [i for i, pair in enumerate(pairs, 1) if pair not in joined]
+            if not cuts:
+                n = self.merged(part)
+            else:
+                n = sum(self[part[i:j]] for i, j in zip([0, *cuts], [*cuts, len(part)]))
         if len(part) <= 64:
+            if len(self) >= KEPT_PARTS // 2:
+                self.older = dict(self)
+                self.clear()
             self[part] = n
         return n
 
     def merged(self, part: str) -> int:
         """Symbols of ``part`` less merges. A heap holds the adjacent pairs that make a piece, by rank and place; symbols are linked by their neighbours."""
         rank = self.rank
-        if part in rank and len(part) == 1:
-            return 1
         sym: list[str | None] = list(part)
         n = len(sym)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
