@@ -11,39 +11,45 @@ score is low are rejected.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_sample
-
 #: Labelled documents for each language in the training sample; all of a smaller language.
 SAMPLE_DOCS = 500
-BUCKETS, WIDTH, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
+BUCKET_BITS, WIDTH, GRAMS = 14, 16, (1, 2, 3, 4)
+BUCKETS = 1 << BUCKET_BITS
 #: Words of one training example: documents are cut so that short texts are learned too.
 EXAMPLE_WORDS = (3, 12, 40)
 EPOCHS, RATE, BATCH = 4, 0.5, 64
 #: Calibrated scores below this are rejected.
 REJECT_BELOW = 0.6
 UNKNOWN = "und"
-#: Words whose sums a worker keeps.
-KEPT_WORDS = 300_000
+#: Words whose n-grams are hashed at a time.
+WORDS_AT_ONCE = 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def buckets(word: str) -> list[int]:
-    """Hash buckets of the n-grams of a word with its edges marked."""
-    w = f"<{word}>".encode("utf-8", "surrogatepass")
-    return [zlib.crc32(w[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(w) - n + 1)]
+def words(text: str | None) -> list[str]:
+    return [w for w in _WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+def buckets(found: list[str]) -> np.ndarray:
+    """Hash buckets of the byte n-grams of words, each with its edges marked."""
+    b = np.frombuffer(("<" + "><".join(found) + ">").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    ends, gram, inside, out = b == ord(">"), np.zeros(len(b), np.uint32), np.ones(len(b), bool), []
+    for n in range(1, max(GRAMS) + 1):
+        if n > 1:  # a gram ends where its word ends
+            inside = inside[:-1] & ~ends[n - 2 : len(b) - 1]
+        size = len(inside)
+        gram = (gram[:size] << np.uint32(8)) | b[n - 1 :]
+        if n in GRAMS:
+            out.append((((gram + np.uint32(n)) * np.uint32(2654435769)) >> np.uint32(32 - BUCKET_BITS))[inside])
+    return np.concatenate(out)
 
 
 @dataclass
@@ -55,30 +61,14 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = REJECT_BELOW
-    known: dict[str, tuple] = field(default_factory=dict)
 
     def logits(self, text: str | None) -> np.ndarray | None:
         """Mean over all n-grams of all words; None without a letter."""
         found = words(text)
         if not found:
             return None
-        total_of_none = [0.0] * len(self.labels)
-        known, total, n = self.known, total_of_none, 0
-        counts: dict[str, int] = {}
-        for w in found:
-            counts[w] = counts.get(w, 0) + 1
-        for w, c in counts.items():
-            entry = known.get(w)
-            if entry is None:
-                if len(known) >= KEPT_WORDS:
-                    known.clear()
-                at = buckets(w) if any(map(str.isalpha, w)) else []
-                entry = (len(at), *self.table[at].sum(axis=0).tolist()) if at else (0, *total_of_none)
-                if len(w) <= 40:
-                    known[w] = entry
-            n += c * entry[0]
-            total = [t + c * e for t, e in zip(total, entry[1:])]
-        return np.array(total) / n + self.bias if n else None
+        counts = sum(np.bincount(buckets(found[i : i + WORDS_AT_ONCE]), minlength=BUCKETS) for i in range(0, len(found), WORDS_AT_ONCE))
+        return counts @ self.table / counts.sum() + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(label, calibrated score); ``und`` and 0 for null or a text without letters."""
@@ -102,21 +92,12 @@ def _examples(texts: list[str], seed: int) -> list[list[str]]:
     return out
 
 
-def _flat(examples: list[list[str]], cache: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    ids, sizes = [], []
-    for e in examples:
-        at = [b for w in e for b in (cache.get(w) or cache.setdefault(w, buckets(w)))]
-        ids += at
-        sizes.append(len(at))
-    return np.array(ids), np.array(sizes)
-
-
 def train(rows: list[tuple[str, str]], seed: int = 3, max_examples: int = 24_000) -> Model:
     """A model from (text, label) rows; every tenth row is kept for the calibration."""
     labels = sorted({label for _, label in rows})
     if not labels:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    draw, cache = np.random.default_rng(seed), {}
+    draw = np.random.default_rng(seed)
     x, y, held = [], [], []
     for k, label in enumerate(labels):
         own = [t for t, at in rows if at == label]
@@ -124,7 +105,7 @@ def train(rows: list[tuple[str, str]], seed: int = 3, max_examples: int = 24_000
         held += [(e, k) for e in _examples(own[:cut], seed)]
         made = _examples(own[cut:], seed + k)
         for i in draw.permutation(len(made))[: max_examples // len(labels)]:
-            x.append(made[i])
+            x.append(buckets(made[i]))
             y.append(k)
     y = np.array(y, np.int64)
     emb = draw.normal(0, 1 / WIDTH, (BUCKETS, WIDTH))
@@ -134,13 +115,13 @@ def train(rows: list[tuple[str, str]], seed: int = 3, max_examples: int = 24_000
         order = draw.permutation(len(x))
         for at in range(0, len(x), BATCH):
             part = order[at : at + BATCH]
-            ids, sizes = _flat([x[i] for i in part], cache)
             rate = RATE * (1 - step / steps)
             step += 1
-            row = np.repeat(np.arange(len(part)), sizes)
-            used, place = np.unique(ids, return_inverse=True)
-            share = np.zeros((len(part), len(used)))
-            np.add.at(share, (row, place), 1 / sizes[row])
+            ids, sizes = np.concatenate([x[i] for i in part]), np.array([len(x[i]) for i in part])
+            used, place = np.flatnonzero(np.bincount(ids, minlength=BUCKETS)), np.zeros(BUCKETS, np.int64)
+            place[used] = np.arange(len(used))
+            cell = np.repeat(np.arange(len(part)) * len(used), sizes) + place[ids]
+            share = np.bincount(cell, minlength=len(part) * len(used)).reshape(len(part), len(used)) / sizes[:, None]
             hidden = share @ emb[used]
             z = hidden @ out + bias
             e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -172,11 +153,16 @@ def _temperature(model: Model, held: list[tuple[list[str], int]]) -> float:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model of the labelled rows of ``docs``, at most ``sample_docs`` for each label, chosen by the hash of their ids."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    labels = [r[0] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(200).collect()]
-    rows: list[tuple[str, str]] = []
-    for label in labels:
-        part = bounded_sample(labelled.where(F.col(lang_col) == label).select(id_col, text_col), id_col, sample_docs)
-        rows += [(r[0], label) for r in part.select(F.col(text_col).cast("string")).collect()]
+    sizes = labelled.groupBy(F.col(lang_col).cast("string").alias("label")).count().orderBy(F.desc("count"), "label").limit(200).collect()
+    if not sizes:
+        return train([])
+    lot, grain = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)), 1 << 30
+    shares = {r["label"]: int(grain * min(1.0, (2 * sample_docs + 50) / r["count"])) for r in sizes}
+    drawn = labelled.select(F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"), lot.alias("lot"), F.xxhash64(text_col).alias("version"))
+    drawn = drawn.where(F.col("lot") <= F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col("label")])
+    first = F.row_number().over(Window.partitionBy("label").orderBy("lot", "version"))
+    rows = drawn.withColumn("nth", first).where(F.col("nth") <= sample_docs).orderBy("label", "nth").select("text", "label").collect()
+    rows = [(r["text"], r["label"]) for r in rows]
     return train(rows)
 
 
