@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontam, langid, packing, secret_scan, simhash
+from tessella.llm import decontam, langid, near_copies, packing, secret_scan
 from tessella.llm.common import new_path, text_id, written
 from tessella.llm.queries import table, tokenizer
 
@@ -18,9 +18,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: the one with the smallest id (then text hash)."""
+    """One document of each component of near-duplicates: the one with the smallest id (then text hash).
+
+    Documents link by fingerprints, as in op2, or by five-word shingles with a likeness of 0.8 or more.
+    """
     row = F.struct(text_id("doc_id").alias("key"), F.xxhash64("text").alias("version"))
-    classes = simhash.near_duplicates(docs.select(row.alias("row"), "text"), id_col="row")
+    classes = near_copies.near_copies(docs.select(row.alias("row"), "text"), id_col="row")
     first = written(classes.where("row = component_id").groupBy("row.key", "row.version").count(), "kept")
     kept = docs.withColumns({"_key": text_id("doc_id"), "_version": F.xxhash64("text")})
     kept = kept.join(first, [kept["_key"] == first["key"], kept["_version"] == first["version"]], "left_semi")
