@@ -1,16 +1,16 @@
 """Planning of edits: slots on a beat grid, and clips assigned to slots.
 
 The assignment is a fold: each choice depends on those before. It runs once
-for each edit in ``applyInPandas``, many edits side by side; everything that
-does not depend on earlier choices is a column before that, and only the best
-``keep`` candidates for an edit go into its group, so a group has a bound.
+for each edit in ``applyInPandas``, many edits side by side, over all clips of
+the edit as numpy columns; everything that does not depend on earlier choices
+is a column before that. All clips of one edit have to fit one task.
 """
 
 from __future__ import annotations
 
 import random
-from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,66 +51,73 @@ def _fold(mode: str, settings: dict):
     def plan(key: tuple, slots: pd.DataFrame, clips: pd.DataFrame) -> pd.DataFrame:
         edit = int(key[0])
         rng = random.Random(settings["seed"] + edit)
-        cand = clips.sort_values("clip_id").to_dict("records")
-        used: set[int] = set()
-        starts: dict[tuple, list[float]] = defaultdict(list)
+        clips = clips.sort_values("clip_id", kind="stable")
+        ids, start, end, peak, rank, static, position = (clips[c].to_numpy(float if c != "clip_id" else np.int64) for c in ("clip_id", "start", "end", "peak", "motion_rank", "static", "position"))
+        wanted, in_pool = (clips[c].fillna(False).to_numpy(bool) for c in ("wanted", "in_pool"))
+        names, episode = np.unique(clips["episode"].to_numpy(np.int64), return_inverse=True)
+        free, crowd = np.ones(len(ids), bool), np.zeros(len(ids), np.int64)
+        taken = np.zeros(len(names), np.int64)
         episodes: list[int] = []
-        taken: Counter = Counter()
         out = []
         ordered = slots.sort_values("slot_no").to_dict("records")
 
-        def narrow(pool: list, test) -> list:
-            kept = [c for c in pool if test(c)]
-            return kept or pool
+        def narrow(pool: np.ndarray, test: np.ndarray) -> np.ndarray:
+            kept = pool[test]
+            return kept if len(kept) else pool
 
         for number, slot in enumerate(ordered):
             length = slot["end"] - slot["start"]
-            pool = [c for c in cand if c["end"] - c["start"] >= length - 1e-6]
-            if not pool:
-                pool = [max(cand, key=lambda c: c["end"] - c["start"])] if cand else []
-            if not pool:
+            pool = np.flatnonzero(end - start >= length - 1e-6)
+            if not len(pool):
+                pool = np.array([np.argmax(end - start)]) if len(ids) else pool
+            if not len(pool):
                 break
-            pool = narrow(pool, lambda c: c["clip_id"] not in used)
+            pool = narrow(pool, free[pool])
             if mode == "story" and out:
-                last = out[-1]
+                last, at = episodes[-1], out[-1][4]
                 place = number / max(1, len(ordered) - 1)
-                pool = narrow(pool, lambda c: (c["episode"], c["start"]) > (last[3], last[4]))
-                pool = narrow(pool, lambda c: abs(c["position"] - place) <= 0.15)
-            crowd = lambda c: sum(abs(s - c["start"]) <= settings["window"] for s in starts[c["episode"]])
+                pool = narrow(pool, (episode[pool] > last) | (episode[pool] == last) & (start[pool] > at))
+                pool = narrow(pool, np.abs(position[pool] - place) <= 0.15)
+            hits = [float(h) for h in slot["hits"]]
+            placed = lambda i: align_start(float(start[i]), float(end[i]), None if np.isnan(peak[i]) else float(peak[i]), length, hits)
             if mode != "random":
-                pool = narrow(pool, lambda c: c["wanted"])
-                pool = narrow(pool, lambda c: c["in_pool"])
-                least = min(map(crowd, pool))
-                pool = [c for c in pool if crowd(c) < max(settings["crowd"], least + 1)]
+                pool = narrow(pool, wanted[pool])
+                pool = narrow(pool, in_pool[pool])
+                pool = pool[crowd[pool] < max(settings["crowd"], crowd[pool].min() + 1)]
                 tail = episodes[-settings["run"] :]
                 if len(tail) == settings["run"] and len({*tail}) == 1:
-                    pool = narrow(pool, lambda c: c["episode"] != tail[0])
-                hits = list(slot["hits"])
-                pool = narrow(pool, lambda c: align_start(c["start"], c["end"], c["peak"], length, hits)[1])
-                recent = Counter(episodes[-settings["repeat"] :])
-                fair = len(out) / max(1, len({c["episode"] for c in cand}))
-                total = lambda c: round(
-                    c["static"] - settings["energy"] * abs(c["motion_rank"] - slot["intensity"]) - settings["w_repeat"] * recent[c["episode"]] / settings["repeat"]
-                    - settings["w_overuse"] * min(1.0, max(0.0, (taken[c["episode"]] - fair) / (fair + 1))), 9,
+                    pool = narrow(pool, episode[pool] != tail[0])
+                latest = np.maximum(start[pool], end[pool] - length)
+                fits = [(start[pool] - 1e-6 <= peak[pool] - h) & (peak[pool] - h <= latest + 1e-6) for h in hits]
+                pool = narrow(pool, np.any(fits, axis=0) if fits else np.zeros(len(pool), bool))
+                recent = np.bincount(episodes[-settings["repeat"] :], minlength=len(names)) if episodes else taken
+                fair = len(out) / max(1, len(names))
+                own = episode[pool]
+                total = (
+                    static[pool] - settings["energy"] * np.abs(rank[pool] - slot["intensity"]) - settings["w_repeat"] * recent[own] / settings["repeat"]
+                    - settings["w_overuse"] * np.minimum(1.0, np.maximum(0.0, (taken[own] - fair) / (fair + 1)))
                 )
-                best = sorted(((-total(c), c["clip_id"], c) for c in pool), key=lambda x: x[:2])[: settings["top"]]
+                total = np.where(np.isnan(total), -np.inf, total)
+                top = min(settings["top"], len(pool))
+                near = total >= np.partition(total, len(total) - top)[len(total) - top] - 1e-8  # more than rounding moves
+                best = sorted((-round(float(t), 9), int(ids[i]), i) for t, i in zip(total[near], pool[near]))[:top]
                 score, _, pick = rng.choice(best)
-                at, aligned = align_start(pick["start"], pick["end"], pick["peak"], length, hits)
+                at, aligned = placed(pick)
                 score = -score
             else:
                 pick = rng.choice(pool)
-                at, aligned, score = pick["start"] + rng.random() * max(0.0, pick["end"] - pick["start"] - length), False, 0.0
-            out.append((edit, int(slot["slot_no"]), int(pick["clip_id"]), int(pick["episode"]), float(at), bool(aligned), float(score), crowd(pick) + 1))
-            used.add(pick["clip_id"])
-            starts[pick["episode"]].append(pick["start"])
-            episodes.append(pick["episode"])
-            taken[pick["episode"]] += 1
+                at, aligned, score = start[pick] + rng.random() * max(0.0, end[pick] - start[pick] - length), False, 0.0
+            out.append((edit, int(slot["slot_no"]), int(ids[pick]), int(names[episode[pick]]), float(at), bool(aligned), float(score), int(crowd[pick]) + 1))
+            free[pick] = False
+            crowd += (episode == episode[pick]) & (np.abs(start[pick] - start) <= settings["window"])
+            episodes.append(int(episode[pick]))
+            taken[episode[pick]] += 1
         return pd.DataFrame(out, columns=[c.split()[0] for c in PLAN.split(", ")])
 
     return plan
 
 
-def assign(slots: DataFrame, clips: DataFrame, mode: str = "beats", keep: int = 5000, **settings) -> DataFrame:
+def assign(slots: DataFrame, clips: DataFrame, mode: str = "beats", **settings) -> DataFrame:
     """A clip for each slot of each edit.
 
     ``slots``: edit_id, slot_no, start, end, intensity, hits. ``clips``:
@@ -121,6 +128,4 @@ def assign(slots: DataFrame, clips: DataFrame, mode: str = "beats", keep: int =
     ``top`` best by score. ``mode`` random takes any that fits.
     """
     s = {"seed": 7, "window": 60.0, "crowd": 2, "run": 2, "repeat": 6, "energy": 1.0, "w_repeat": 0.3, "w_overuse": 0.3, "top": 8} | settings
-    best = Window.partitionBy("edit_id").orderBy(F.col("wanted").desc(), F.col("in_pool").desc(), F.col("static").desc(), "clip_id")
-    bounded = clips.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= keep).drop("_at")
-    return slots.groupBy("edit_id").cogroup(bounded.groupBy("edit_id")).applyInPandas(_fold(mode, s), PLAN)
+    return slots.groupBy("edit_id").cogroup(clips.groupBy("edit_id")).applyInPandas(_fold(mode, s), PLAN)
