@@ -26,6 +26,8 @@ BUCKETS = 1 << BUCKET_BITS
 #: Words of one training example: documents are cut so that short texts are learned too.
 EXAMPLE_WORDS = (3, 12, 40)
 EPOCHS, RATE, BATCH = 4, 0.5, 64
+#: Training examples of each label at least, however many labels there are.
+LABEL_EXAMPLES = 6_000
 #: Calibrated scores below this are rejected.
 REJECT_BELOW = 0.6
 UNKNOWN = "und"
@@ -92,19 +94,26 @@ def _examples(texts: list[str], seed: int) -> list[list[str]]:
     return out
 
 
-def train(rows: list[tuple[str, str]], seed: int = 3, max_examples: int = 24_000) -> Model:
-    """A model from (text, label) rows; every tenth row is kept for the calibration."""
-    labels = sorted({label for _, label in rows})
+def train(rows: list[tuple[str, str]], seed: int = 3, max_examples: int = 24_000, label_examples: int = LABEL_EXAMPLES) -> Model:
+    """A model from (text, label) rows; every tenth row is kept for the calibration.
+
+    The runs of words of a label that are learned are all or a draw of
+    ``label_examples``; more where few labels share ``max_examples``.
+    """
+    texts: dict[str, list[str]] = {}
+    for t, label in rows:
+        texts.setdefault(label, []).append(t)
+    labels, most = sorted(texts), max(label_examples, max_examples // max(1, len(texts)))
     if not labels:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
     draw = np.random.default_rng(seed)
     x, y, held = [], [], []
     for k, label in enumerate(labels):
-        own = [t for t, at in rows if at == label]
+        own = texts[label]
         cut = len(own) // 10
         held += [(e, k) for e in _examples(own[:cut], seed)]
         made = _examples(own[cut:], seed + k)
-        for i in draw.permutation(len(made))[: max_examples // len(labels)]:
+        for i in draw.permutation(len(made))[:most]:
             x.append(buckets(made[i]))
             y.append(k)
     y = np.array(y, np.int64)
@@ -151,15 +160,13 @@ def _temperature(model: Model, held: list[tuple[list[str], int]]) -> float:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model of the labelled rows of ``docs``, at most ``sample_docs`` for each label, chosen by the hash of their ids."""
+    """A model of the labelled rows of ``docs``, at most ``sample_docs`` for each label, chosen by the hash of their ids. Every label is learned."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = labelled.groupBy(F.col(lang_col).cast("string").alias("label")).count().orderBy(F.desc("count"), "label").limit(200).collect()
-    if not sizes:
-        return train([])
     lot, grain = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)), 1 << 30
-    shares = {r["label"]: int(grain * min(1.0, (2 * sample_docs + 50) / r["count"])) for r in sizes}
-    drawn = labelled.select(F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"), lot.alias("lot"), F.xxhash64(text_col).alias("version"))
-    drawn = drawn.where(F.col("lot") <= F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col("label")])
+    drawn = labelled.select(F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"), lot.alias("lot"))
+    share = F.floor(F.lit(grain) * F.least(F.lit(1.0), F.lit(2.0 * sample_docs + 50) / F.col("count")))
+    sizes = drawn.groupBy("label").count().select("label", share.alias("share"))
+    drawn = drawn.join(F.broadcast(sizes), "label").where(F.col("lot") <= F.col("share")).withColumn("version", F.xxhash64("text")).drop("share")
     first = F.row_number().over(Window.partitionBy("label").orderBy("lot", "version"))
     rows = drawn.withColumn("nth", first).where(F.col("nth") <= sample_docs).orderBy("label", "nth").select("text", "label").collect()
     rows = [(r["text"], r["label"]) for r in rows]
