@@ -30,19 +30,20 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = syncmers.fingerprint(F.col("text"))
-    docs = syncmers.with_next(table(spark, sf_dir, "documents"), of_next={"next_fingerprint": own})
+    own = syncmers.anchors(F.col("text"))
+    docs = syncmers.with_next(table(spark, sf_dir, "documents"), of_next={"next_hashes": syncmers.hashes(own)})
     edited = F.concat(F.expr("left(text, n_chars - n_chars div 3)"), F.col("next_start"))
     prints = docs.select(
         F.col("id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), own.alias("fingerprint"),
-        syncmers.fingerprint(edited).alias("edited_fingerprint"), "next_fingerprint",
+        syncmers.anchors(edited).alias("edited_fingerprint"), "next_hashes",
     )
+    mine = syncmers.hashes(F.col("fingerprint"))
     return prints.withColumns(
         {
-            "near_edited": syncmers.likeness(F.col("fingerprint"), F.col("edited_fingerprint")),
-            "near_next": syncmers.likeness(F.col("fingerprint"), F.col("next_fingerprint")),
+            "near_edited": syncmers.anchor_likeness(mine, syncmers.hashes(F.col("edited_fingerprint"))),
+            "near_next": syncmers.anchor_likeness(mine, F.col("next_hashes")),
         }
-    ).drop("next_fingerprint")
+    ).drop("next_hashes")
 
 
 def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:

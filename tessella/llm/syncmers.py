@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import NULL_ID, neighbours, text_id
 
-#: Hex digits of one anchor in a fingerprint, and anchors in one.
-DIGITS, SKETCH = 8, 64
+#: Hex digits of one anchor in a fingerprint.
+DIGITS = 8
 
 
 def _let(value: Column, body) -> Column:
@@ -50,23 +50,31 @@ def anchors(text: Column) -> Column:
     return _let(F.transform(words(F.coalesce(text, F.lit(""))), lambda w: F.xxhash64(w)), of)
 
 
-def fingerprint(text: Column, sketch: int = SKETCH) -> Column:
-    """The ``sketch`` smallest distinct 32-bit anchors, ascending, eight hex digits each; empty for a text without words. Equal texts have equal ones."""
+def fingerprint(text: Column) -> Column:
+    """All distinct 32-bit anchors, ascending, eight hex digits each; empty for a text without words. Equal texts have equal ones."""
     low = F.array_distinct(F.transform(anchors(text), lambda a: F.shiftrightunsigned(a["hash"], 32)))
-    return F.array_join(F.transform(F.slice(F.sort_array(low), 1, sketch), lambda x: F.lpad(F.lower(F.hex(x)), DIGITS, "0")), "")
+    return F.array_join(F.transform(F.sort_array(low), lambda x: F.lpad(F.lower(F.hex(x)), DIGITS, "0")), "")
 
 
-def likeness(a: Column, b: Column, sketch: int = SKETCH) -> Column:
-    """Estimated Jaccard likeness of the anchor sets behind two fingerprints, 0 to 1.
-
-    Of the ``sketch`` smallest anchors of both together, the share that both
-    have; exact while both texts have no more anchors than that. Two empty
-    fingerprints are alike (1), an empty and another are not (0).
-    """
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard likeness of all anchors of two fingerprints, 0 to 1. Two empty fingerprints are alike (1), an empty and another are not (0)."""
     parts = lambda x: F.regexp_extract_all(x, F.lit("(.{8})"), F.lit(1))
-    top = F.slice(F.array_sort(F.array_union(parts(a), parts(b))), 1, sketch)
-    both = F.size(F.array_intersect(F.array_intersect(top, parts(a)), parts(b)))
-    return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(both / F.size(top))
+    return F.when(a == b, F.lit(1.0)).otherwise(_jaccard(parts(a), parts(b)))
+
+
+def hashes(anchored: Column) -> Column:
+    """The distinct hashes of anchors."""
+    return F.array_distinct(F.transform(anchored, lambda x: x["hash"]))
+
+
+def _jaccard(a: Column, b: Column) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
+def anchor_likeness(a: Column, b: Column) -> Column:
+    """Jaccard likeness of two arrays of ``hashes``, over all of them; two empty ones are alike (1)."""
+    return _let(F.struct(a.alias("a"), b.alias("b")), lambda x: _jaccard(x["a"], x["b"]))
 
 
 def positional_matches(pairs: DataFrame, left: str = "left_text", right: str = "right_text") -> DataFrame:

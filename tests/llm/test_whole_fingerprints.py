@@ -1,0 +1,29 @@
+"""Fingerprints hold every anchor, and likenesses count all of them."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from tessella.llm import queries, syncmers
+
+
+def test_fingerprints_hold_all_anchors(spark, tmp_path):
+    draw = random.Random(2)
+    words = lambda n: [f"w{draw.getrandbits(40)}" for _ in range(n)]
+    shared = words(50)
+    texts = {2: " ".join(words(900) + shared + words(1050)), 1: " ".join(words(300) + shared + words(1650))}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").select("doc_id", syncmers.anchors(F.col("text")).alias("a"))
+    want = {r.doc_id: [tuple(x) for x in r.a] for r in df.collect()}
+    sets = {i: {h for _, h in a} for i, a in want.items()}
+    near = len(sets[1] & sets[2]) / len(sets[1] | sets[2])
+    for r in queries.op3_syncmer_fingerprints(spark, str(tmp_path)).collect():
+        assert [tuple(x) for x in r.fingerprint] == want[r.doc_id] and len(r.fingerprint) > 600
+        edited = {x.hash for x in r.edited_fingerprint}
+        assert r.near_next == near > 0 and r.near_edited == len(sets[r.doc_id] & edited) / len(sets[r.doc_id] | edited)
+
+
+def test_string_fingerprints_are_not_cut(spark):
+    text = " ".join(f"w{i}" for i in range(2000))
+    r = spark.createDataFrame([(text,)], "t string").select(syncmers.fingerprint(F.col("t")).alias("f"), syncmers.anchors(F.col("t")).alias("a")).first()
+    assert len(r.f) == 8 * len({x.hash >> 32 for x in r.a}) > 8 * 64
