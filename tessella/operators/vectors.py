@@ -41,10 +41,15 @@ def similarities(vectors: DataFrame, references: DataFrame, key: str = "vec_id",
 
 def confidence(sims: DataFrame, key: str, ref: str, scale: float = 50.0) -> DataFrame:
     """The best reference of each vector and the sigmoid of its lead over the second, times ``scale``; 1 if there is one only."""
-    order = Window.partitionBy(key).orderBy(F.col("sim").desc(), ref)
+    return _leads(sims, key, ref, scale).select(key, ref, F.round("sim", 5).alias("sim"), F.round("p", 4).alias("p"))
+
+
+def _leads(sims: DataFrame, key: str, ref: str, scale: float) -> DataFrame:
+    """``confidence`` with all digits; among equal similarities a null reference comes last."""
+    order = Window.partitionBy(key).orderBy(F.col("sim").desc(), F.col(ref).asc_nulls_last())
     placed = sims.withColumns({"_at": F.row_number().over(order), "_second": F.lead("sim").over(order)}).where("_at = 1")
     lead = F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.lit(scale) * (F.col("sim") - F.col("_second")))), F.lit(1.0))
-    return placed.select(key, ref, F.round("sim", 5).alias("sim"), F.round(lead, 4).alias("p"))
+    return placed.select(key, ref, "sim", lead.alias("p"))
 
 
 def softmax(sims: DataFrame, key: str, scale: float) -> DataFrame:
@@ -72,23 +77,45 @@ def mean_vectors(df: DataFrame, key: str, vector: str = "embedding") -> DataFram
     return whole.select(key, normalize(F.col("mean")).alias("mean"))
 
 
-def identify(faces: DataFrame, references: DataFrame, rounds: int = 3, seed_p: float = 0.8, weight: float = 0.25, scale: float = 50.0, least: float = 0.6, top: int = 300) -> DataFrame:
-    """Semi-supervised prototypes: faces (``face_id, embedding``) to references (``ref, ref_embedding``) over some rounds of assigning, seeding and blending.
+def first_seeds(sims: DataFrame, key: str = "vec_id", ref: str = "ref", count: int = 5) -> DataFrame:
+    """``ref`` and ``key`` of the ``count`` clearest faces of each reference: by z of the similarity over all faces, and its lead over the second best z."""
+    moments = sims.groupBy(ref).agg(F.avg("sim").alias("_mean"), F.stddev_pop("sim").alias("_dev"))
+    z = sims.join(F.broadcast(moments), ref).withColumn("_z", (F.col("sim") - F.col("_mean")) / (F.col("_dev") + F.lit(1e-6)))
+    order = Window.partitionBy(key).orderBy(F.col("_z").desc(), ref)
+    best = z.withColumns({"_at": F.row_number().over(order), "_second": F.lead("_z").over(order)}).where("_at = 1")
+    best = best.withColumn("_margin", F.col("_z") - F.coalesce("_second", F.lit(0.0))).where("_margin > 0")
+    at = F.row_number().over(Window.partitionBy(ref).orderBy(F.col("_margin").desc(), key))
+    return best.withColumn("_at", at).where(F.col("_at") <= count).select(ref, key)
+
+
+def identify(faces: DataFrame, references: DataFrame, rounds: int = 3, seed_p: float = 0.8, weight: float = 0.25, scale: float = 50.0, least: float = 0.6, top: int = 300, first: int = 5) -> DataFrame:
+    """Semi-supervised prototypes: faces (``face_id, embedding``) to references (``ref, ref_embedding``; the mean, if one has several).
 
-    ``rounds`` is fixed, so the plan is unrolled. Faces below ``least`` in the
-    end are null.
+    ``first_seeds`` make the first prototypes. Each round assigns all faces
+    and takes the sure ones as seeds; a reference without any keeps those it
+    had. A single reference competes with the mean face. The last round's
+    assignment counts; faces below ``least`` have no character and p 0.
     """
     f = faces.withColumnRenamed("face_id", "vec_id")
-    now = references
-    for _ in range(rounds):
-        best = confidence(similarities(f, now), "vec_id", "ref", scale).where(F.col("p") >= seed_p)
-        at = F.row_number().over(Window.partitionBy("ref").orderBy(F.col("p").desc(), F.col("sim").desc(), "vec_id"))
-        seeds = best.withColumn("_at", at).where(F.col("_at") <= top).join(f, "vec_id")
-        means = mean_vectors(seeds, "ref")
-        blend = F.zip_with("mean", normalize(F.col("ref_embedding")), lambda a, b: (1 - weight) * a + weight * b)
-        now = references.join(means, "ref", "left").select("ref", F.when(F.col("mean").isNull(), doubles(F.col("ref_embedding"))).otherwise(blend).alias("ref_embedding"))
-    out = confidence(similarities(f, now), "vec_id", "ref", scale)
-    return out.select(F.col("vec_id").alias("face_id"), F.when(F.col("p") >= least, F.col("ref")).alias("character"), "p")
+    units = references.select("ref", normalize(F.col("ref_embedding")).alias("ref_embedding"))
+    refs = mean_vectors(units, "ref", "ref_embedding").withColumnRenamed("mean", "ref_embedding").localCheckpoint()
+    unit = f.select("vec_id", normalize(F.col("embedding")).alias("embedding"))
+    single = refs.count() == 1
+    if single:
+        face = mean_vectors(unit.withColumn("_all", F.lit(1)), "_all").select(F.lit(None).cast(refs.schema["ref"].dataType).alias("ref"), F.col("mean").alias("ref_embedding"))
+    seeds = first_seeds(similarities(f, refs), count=first).localCheckpoint()
+    best = None
+    for k in range(max(1, rounds)):
+        means = mean_vectors(seeds.join(unit, "vec_id"), "ref")
+        blend = normalize(F.zip_with("mean", "ref_embedding", lambda a, b: (1 - weight) * a + weight * b))
+        now = refs.join(means, "ref", "left").select("ref", F.when(F.col("mean").isNull(), F.col("ref_embedding")).otherwise(blend).alias("ref_embedding"))
+        best = _leads(similarities(f, now.unionByName(face) if single else now), "vec_id", "ref", scale)
+        if k + 1 < rounds:
+            at = F.row_number().over(Window.partitionBy("ref").orderBy(F.col("p").desc(), "vec_id"))
+            sure = best.where(F.col("ref").isNotNull() & (F.col("p") >= seed_p)).withColumn("_at", at).where(F.col("_at") <= top).select("ref", "vec_id").localCheckpoint()
+            seeds = sure.unionByName(seeds.join(sure.select("ref").distinct(), "ref", "left_anti").select("ref", "vec_id")).localCheckpoint()
+    known = F.col("ref").isNotNull() & (F.col("p") >= least)
+    return best.select(F.col("vec_id").alias("face_id"), F.when(known, F.col("ref")).alias("character"), F.when(known, F.round("p", 4)).otherwise(F.lit(0.0)).alias("p"))
 
 
 def box_iou(a: list[Column], b: list[Column]) -> Column:
