@@ -3,8 +3,9 @@
 A text is the set of its shingles of five words. Two sets whose Jaccard
 likeness is at least t share at least t times the larger one. So if all
 shingles have one global order, the first n - ceil(t n) + 1 of each set (its
-prefix) have a member in common. Pairs that meet in a prefix are candidates;
-the whole sets decide. No pair is lost. Shingles that are frequent in a sample
+prefix) have a member in common. Pairs that meet in a prefix are candidates.
+A bit map of the parities of the shingles sorts out most: two maps differ in at
+most as many bits as the sets in shingles. The whole sets decide on the others. No pair is lost. Shingles that are frequent in a sample
 of the texts come last in the order, which keeps buckets small; the order
 changes the work, never the result.
 """
@@ -27,6 +28,8 @@ WIDTH, LEAST = 5, 0.8
 SAMPLED, FREQUENT, LISTED = 16, 8, 200_000
 #: Buckets up to this size pass on all their pairs; larger ones pairs with ``PIVOTS`` members, then those between components.
 SMALL_BUCKET, PIVOTS = 32, 3
+#: Longs of a bit map.
+MAP_LONGS = 16
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -50,6 +53,12 @@ def prefix(found: np.ndarray, least: float, frequent: np.ndarray, ranks: np.ndar
     return found[:size]
 
 
+def bit_map(found: np.ndarray) -> np.ndarray:
+    """For each of the map's bits, whether an odd number of the hashes falls to it."""
+    odd = np.bincount(found & (64 * MAP_LONGS - 1), minlength=64 * MAP_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _sets(rows: DataFrame, width: int) -> DataFrame:
     """``key`` and ``shingles`` of each text."""
 
@@ -73,7 +82,10 @@ def _frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _alike(pairs: DataFrame, first: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
     """Those of the distinct pairs of keys (``a``, ``b``) whose whole sets are alike."""
-    pairs = written(pairs.distinct(), "candidates")
+    sized = lambda k: first.select(F.col("key").alias(k), F.col("n").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits"))
+    apart = sum(F.bit_count(F.get("a_bits", F.lit(i)).bitwiseXOR(F.get("b_bits", F.lit(i)))) for i in range(MAP_LONGS))
+    mapped = pairs.distinct().join(sized("a"), "a").join(sized("b"), "b").where(apart <= (1 - least) / (1 + least) * (F.col("a_n") + F.col("b_n")) + 1e-6)
+    pairs = written(mapped.select("a", "b"), "candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     ids = first.join(asked, "key", "left_semi").select(F.col("first_id").alias("id"))
     sets = written(_sets(rows.join(ids, "id", "left_semi"), width).dropDuplicates(["key"]), "sets")
@@ -127,11 +139,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             sets = [shingle_set(t, width) for t in texts]
             keys, sizes = pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())
             starts = pa.array([prefix(s, least, frequent, ranks) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), keys, sizes, starts], ["id", "fp", "key", "n", "prefix"])
+            maps = pa.array([bit_map(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), keys, sizes, starts, maps], ["id", "fp", "key", "n", "prefix", "bits"])
 
-    prints = written(rows.mapInArrow(run, f"id {kind}, fp long, key long, n int, prefix array<long>"), "prints")
-    first = written(prints.groupBy("key").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "distinct")
-    near = links(first.select("key", "n", "prefix"), first.select("key", "first_id"), rows, width, least)
+    prints = written(rows.mapInArrow(run, f"id {kind}, fp long, key long, n int, prefix array<long>, bits array<long>"), "prints")
+    first = written(prints.groupBy("key").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "distinct")
+    near = links(first.select("key", "n", "prefix"), first.select("key", "first_id", "n", "bits"), rows, width, least)
     nodes = written(prints.groupBy("fp", "key").agg(F.min("id").alias("first_id")), "nodes")
     edges = near.unionByName(simhash.links(nodes.select("fp").distinct(), distance)).unionByName(nodes.select(F.col("fp").alias("a"), F.col("key").alias("b")))
     roots = written(simhash.components(edges), "roots")
