@@ -603,6 +603,11 @@ def normalize_name(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.normalize_name(F.expr("left(text, 40)")).alias("name"))
 
 
+@query("normalize_name_whole")
+def normalize_name_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.normalize_name("text").alias("name"))
+
+
 @query("title_score")
 def title_score(spark, sf):
     p = table(spark, sf, "part")
@@ -614,6 +619,11 @@ def split_genres(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(text.split_names(F.expr("left(text, 60)")), "|").alias("parts"))
 
 
+@query("split_genres_whole")
+def split_genres_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(text.split_names(F.col("text")), "|").alias("parts"))
+
+
 @query("slugs", "SELECT page_id, coalesce(nullif(left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), ''), 'untitled') AS slug FROM pages")
 def slugs(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.slug(F.col("url")).alias("slug"))
