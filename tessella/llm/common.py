@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id wherever ids are compared; below every real id.
 NULL_ID = -(2**63)
+#: Bytes after which a batch of rows for a Python worker is closed.
+BATCH_BYTES = 2 << 20
+#: Bits of a ``sieve`` (a power of two), 2 MB.
+SIEVE_BITS = 1 << 24
 #: Temporary folders of applications without a shared one.
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="tessella-")
@@ -25,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of a batch that goes to a Python worker, so that neither side holds thousands of long texts at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
@@ -39,8 +51,29 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def text_id(column: str) -> Column:
-    """The id as a long in which null has a value of its own, for joins and ordering."""
-    return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
+    """The id as a long, for joins and ordering: null has a value of its own, and an id that is no number is hashed."""
+    hashed = F.when(F.col(column).isNotNull(), F.xxhash64(F.col(column).cast("string")))
+    return F.coalesce(F.col(column).try_cast("long"), hashed, F.lit(NULL_ID))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that working columns beside it clash with none of them, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def sieve(rows: DataFrame, hashed: Column, wanted: DataFrame) -> DataFrame:
+    """``rows`` with ``_maybe``, which is false only where ``hashed`` is none of the longs ``h`` of ``wanted``.
+
+    A bit map of ``SIEVE_BITS`` bits at most is broadcast, whatever the size of
+    ``wanted``. It sorts out; who needs certainty joins the rows that pass.
+    """
+    bit = lambda h: h.bitwiseAND(F.lit(SIEVE_BITS - 1))
+    slot = lambda h: F.shiftright(bit(h), 6)
+    place = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
+    h = F.col("h")
+    slots = wanted.groupBy(slot(h).alias("_slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place(h))).alias("_bits"))
+    met = rows.withColumns({"_h": hashed}).withColumn("_slot", slot(F.col("_h"))).join(F.broadcast(written(slots, "sieve")), "_slot", "left")
+    return met.withColumn("_maybe", F.coalesce(F.bit_get("_bits", place(F.col("_h"))) == 1, F.lit(False))).drop("_slot", "_bits", "_h")
 
 
 def neighbours(df: DataFrame, order: list[Column], carry: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import neighbours, text_id, written
+from tessella.llm.common import bounded_batches, neighbours, text_id, written
 
 # Elements and words of HTML. -----------------------------------------------------------------------------
 #: Elements whose content is never text of the page.
@@ -228,6 +228,7 @@ def extract(
     ordered by id. An empty table gives an empty result. Further columns are
     not looked at.
     """
+    bounded_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(
         text_id(id_col).alias("id"), F.col(id_col).alias("own_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")

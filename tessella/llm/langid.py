@@ -18,6 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessella.llm.common import bounded_batches
 
 #: Labelled documents for each language in the training sample; all of a smaller language.
 SAMPLE_DOCS = 500
@@ -188,8 +191,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
             labels, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], labels, scores], [*b.schema.names[1:], "lang_pred", "score"])
 
-    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    out = docs.select(F.col(text_col).cast("string").alias("_read"), *keep).mapInArrow(run, f"{fields}lang_pred string, score double")
+    bounded_batches(docs.sparkSession)
+    kinds = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = docs.select(F.col(text_col).cast("string").alias("_read"), *keep).mapInArrow(run, kinds)
     return out.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < model.reject_below))
 
 

@@ -30,20 +30,15 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = syncmers.anchors(F.col("text"))
-    docs = syncmers.with_next(table(spark, sf_dir, "documents"), of_next={"next_hashes": syncmers.hashes(own)})
+    docs = syncmers.with_next(table(spark, sf_dir, "documents"), derived={"anchors": syncmers.anchors(F.col("text"))})
     edited = F.concat(F.expr("left(text, n_chars - n_chars div 3)"), F.col("next_start"))
-    prints = docs.select(
-        F.col("id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), own.alias("fingerprint"),
-        syncmers.anchors(edited).alias("edited_fingerprint"), "next_hashes",
+    docs = docs.withColumns({"edited_sha256": F.sha2(edited, 256), "edited": syncmers.anchors(edited)})
+    docs = docs.withColumns({f"{c}_map": syncmers.firsts(F.col(c)) for c in ("anchors", "edited", "next_anchors")})
+    return docs.select(
+        F.col("id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
+        syncmers.fingerprint(F.col("anchors")).alias("fingerprint"), syncmers.fingerprint(F.col("edited")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("anchors_map"), F.col("edited_map")).alias("near_edited"), syncmers.likeness(F.col("anchors_map"), F.col("next_anchors_map")).alias("near_next"),
     )
-    mine = syncmers.hashes(F.col("fingerprint"))
-    return prints.withColumns(
-        {
-            "near_edited": syncmers.anchor_likeness(mine, syncmers.hashes(F.col("edited_fingerprint"))),
-            "near_next": syncmers.anchor_likeness(mine, F.col("next_hashes")),
-        }
-    ).drop("next_hashes")
 
 
 def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +102,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def queries() -> dict:

@@ -1,23 +1,34 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-A text is a row of words (runs of other characters than white space, cut
-every 16 characters so that a text without spaces has words too). An s-mer is
-two neighbouring words, a k-mer five, which holds four s-mers. A k-mer is a
-closed syncmer if the smallest hash of its s-mers is the first's or the
-last's. That depends on the k-mer alone, so equal passages have equal anchors
-wherever they stand; half of all k-mers are anchors, and two neighbouring
-anchors are never further apart than three words.
+The symbols of a text are its words where words stand between spaces, and its
+code points in scripts that are written without spaces and in runs of more
+than ``LONG`` characters; so a symbol never depends on where such a run begins.
+A k-mer is five symbols in a row, and its inner substrings (s-mers) are two.
+A k-mer is a closed syncmer if the smallest hash of its four s-mers is that of
+the first or of the last one. That depends on the k-mer alone, so equal
+passages have equal anchors wherever they stand and whatever stands before
+them; half of all k-mers are anchors, and two neighbours are never further
+apart than three symbols.
+
+A fingerprint is all anchors of a text by position, none sampled or cut.
+Likenesses come from positional matching: anchors of equal hash are paired, and
+a pair counts where the pair before or behind it lies on the same diagonal.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import NULL_ID, neighbours, text_id
+from tessella.llm.common import NULL_ID, text_id
 
-#: Hex digits of one anchor in a fingerprint.
-DIGITS = 8
+#: A run of more characters is read by code points.
+LONG = 24
+#: Buckets of neighbouring ids for each shuffle partition.
+BUCKETS = 16
+# Scripts that are written without spaces between words.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_SYMBOL = rf"([{UNSPACED}]|(?<![^\s{UNSPACED}])[^\s{UNSPACED}]{{1,{LONG}}}+(?![^\s{UNSPACED}])|\S)"
 
 
 def _let(value: Column, body) -> Column:
@@ -25,108 +36,131 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(\S{1,16})"), F.lit(1))
+def symbols(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_SYMBOL), F.lit(1))
 
 
 def anchors(text: Column) -> Column:
-    """array<struct<pos int, hash long>>: the closed syncmers by word position (from 0). A text of one to four words has one anchor, of the whole."""
+    """array<long>: the closed syncmers by position, each the symbol position (from 0) times 2^32 plus a hash of 32 bits.
+
+    A text of one to four symbols, or whose k-mers are no syncmers, has one
+    anchor, of the whole; null and texts without symbols have none.
+    """
+
+    def anchor(pos: Column, h: Column) -> Column:
+        return F.shiftleft(pos.cast("long"), 32).bitwiseOR(F.shiftrightunsigned(h, 32))
 
     def smers(h: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size(h) - 1), lambda i: F.xxhash64(F.element_at(h, i), F.element_at(h, i + 1)))
 
     def chosen(g: Column) -> Column:
         at = lambda i: F.element_at(g, i)
-        edge = F.filter(
-            F.sequence(F.lit(1), F.size(g) - 3),
-            lambda i: F.least(at(i), at(i + 3)) <= F.least(at(i + 1), at(i + 2)),
-        )
-        return F.transform(edge, lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(at(i), at(i + 2), at(i + 3)).alias("hash")))
+        edge = F.filter(F.sequence(F.lit(1), F.size(g) - 3), lambda i: F.least(at(i), at(i + 3)) <= F.least(at(i + 1), at(i + 2)))
+        return F.transform(edge, lambda i: anchor(i - 1, F.xxhash64(at(i), at(i + 2), at(i + 3))))
 
     def of(h: Column) -> Column:
-        few = F.transform(F.filter(F.array(h), lambda x: F.size(x) > 0), lambda x: F.struct(F.lit(0).alias("pos"), F.xxhash64(x).alias("hash")))
-        return F.when(F.size(h) < 5, few).otherwise(_let(smers(h), chosen))
+        whole = F.transform(F.filter(F.array(h), lambda x: F.size(x) > 0), lambda x: anchor(F.lit(0), F.xxhash64(x)))
+        return F.when(F.size(h) < 5, whole).otherwise(_let(_let(smers(h), chosen), lambda found: F.when(F.size(found) > 0, found).otherwise(whole)))
 
-    return _let(F.transform(words(F.coalesce(text, F.lit(""))), lambda w: F.xxhash64(w)), of)
+    return _let(F.transform(symbols(F.coalesce(text, F.lit(""))), lambda w: F.xxhash64(w)), of)
 
 
-def fingerprint(text: Column) -> Column:
-    """All distinct 32-bit anchors, ascending, eight hex digits each; empty for a text without words. Equal texts have equal ones."""
-    low = F.array_distinct(F.transform(anchors(text), lambda a: F.shiftrightunsigned(a["hash"], 32)))
-    return F.array_join(F.transform(F.sort_array(low), lambda x: F.lpad(F.lower(F.hex(x)), DIGITS, "0")), "")
+def hash_of(anchor: Column) -> Column:
+    return anchor.bitwiseAND(F.lit((1 << 32) - 1))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of all anchors of two fingerprints, 0 to 1. Two empty fingerprints are alike (1), an empty and another are not (0)."""
-    parts = lambda x: F.regexp_extract_all(x, F.lit("(.{8})"), F.lit(1))
-    return F.when(a == b, F.lit(1.0)).otherwise(_jaccard(parts(a), parts(b)))
+def position_of(anchor: Column) -> Column:
+    return F.shiftright(anchor, 32)
 
 
-def hashes(anchored: Column) -> Column:
-    """The distinct hashes of anchors."""
-    return F.array_distinct(F.transform(anchored, lambda x: x["hash"]))
+def fingerprint(anchored: Column) -> Column:
+    """The anchors as a string: ``position:hash`` (decimal, hexadecimal), joined by commas; empty without anchors. Equal texts have equal ones."""
+    return F.array_join(F.transform(anchored, lambda a: F.concat(position_of(a), F.lit(":"), F.lower(F.hex(hash_of(a))))), ",")
 
 
-def _jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+def firsts(anchored: Column) -> Column:
+    """map<long, long>: the hashes of anchors, and the position where each stands first."""
+    turned = F.array_sort(F.transform(anchored, lambda a: F.shiftleft(hash_of(a), 31).bitwiseOR(position_of(a))))
+    hashed = lambda x: F.shiftrightunsigned(x, 31)
+    alone = lambda s: F.filter(s, lambda x, i: (i == 0) | (hashed(F.get(s, i - 1)) != hashed(x)))
+    kept = lambda s: F.map_from_arrays(F.transform(s, hashed), F.transform(s, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1))))
+    return _let(turned, lambda s: _let(alone(s), kept))
 
 
-def anchor_likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two arrays of ``hashes``, over all of them; two empty ones are alike (1)."""
-    return _let(F.struct(a.alias("a"), b.alias("b")), lambda x: _jaccard(x["a"], x["b"]))
+def matches(a: Column, b: Column) -> Column:
+    """array<struct<left_pos, right_pos>>: anchors that two texts (as ``firsts``) have in common, where they stand first, by left position."""
+    met = F.map_values(F.map_zip_with(a, b, lambda h, x, y: F.struct(x.alias("left_pos"), y.alias("right_pos"))))
+    return F.array_sort(F.filter(met, lambda m: m["left_pos"].isNotNull() & m["right_pos"].isNotNull()))
 
 
-def positional_matches(pairs: DataFrame, left: str = "left_text", right: str = "right_text") -> DataFrame:
-    """``pairs`` with ``matches``: array<struct<left_pos, right_pos>> of the anchors that stand once in either text and in both, by left position.
+def supported(found: Column) -> Column:
+    """Those of the ``matches`` with a neighbour among them on the same diagonal."""
+    diagonal = lambda m: m["left_pos"] - m["right_pos"]
+    same = lambda s, m, i: F.coalesce((i >= 0) & (diagonal(F.get(s, i)) == diagonal(m)), F.lit(False))
+    return _let(found, lambda s: F.filter(s, lambda m, i: same(s, m, i - 1) | same(s, m, i + 1)))
 
-    Null texts have no anchors. Every row is kept; ``matches`` replaces a
-    column of that name.
+
+def likeness(a: Column, b: Column) -> Column:
+    """How alike two texts are, 0 to 1, by their anchors (as ``firsts``): supported matches over the distinct hashes of both.
+
+    1 for equal anchors (of two texts without any, too). A match without
+    support, such as the only one of two texts, is chance and counts nothing.
     """
 
-    def once(column: str) -> Column:
-        """The anchors whose hash stands once, by one sort of all of them."""
+    def shared(x: Column) -> Column:
+        both = F.size(supported(matches(x["a"], x["b"])))
+        return both / F.greatest(F.size(x["a"]) + F.size(x["b"]) - both, F.lit(1))
 
-        def alone(s: Column) -> Column:
-            same = lambda i, j: F.coalesce(F.get(s, i)["hash"] == F.get(s, j)["hash"], F.lit(False))
-            return F.filter(s, lambda x, i: ~same(i, i - 1) & ~same(i, i + 1))
+    equal = F.map_entries(a) == F.map_entries(b)
+    return F.when(equal, F.lit(1.0)).otherwise(_let(F.struct(a.alias("a"), b.alias("b")), shared))
 
-        return _let(F.array_sort(F.transform(anchors(F.col(column)), lambda a: F.struct(a["hash"].alias("hash"), a["pos"].alias("pos")))), alone)
 
-    keyed = lambda c: F.map_from_entries(F.transform(once(c), lambda a: F.struct(a["hash"], a["pos"])))
-    joined = F.map_zip_with(keyed(left), keyed(right), lambda k, a, b: F.struct(a.alias("left_pos"), b.alias("right_pos")))
-    found = F.filter(F.map_values(joined), lambda m: m["left_pos"].isNotNull() & m["right_pos"].isNotNull())
-    return pairs.withColumn("matches", F.array_sort(found))
+def positional_matches(pairs: DataFrame, left: str = "left_text", right: str = "right_text") -> DataFrame:
+    """``pairs`` with ``matches``: the anchors that both texts have, by left position.
+
+    Null texts have no anchors. Every row is kept; ``matches`` replaces a
+    column of that name.
+    """
+    of = lambda c: firsts(anchors(F.col(c)))
+    return pairs.withColumn("matches", _let(F.struct(of(left).alias("a"), of(right).alias("b")), lambda x: matches(x["a"], x["b"])))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of_next: dict[str, Column] | None = None) -> DataFrame:
-    """``id``, ``text``, ``n_chars``, ``next_start`` and the columns ``of_next`` for every row; ``id`` keeps the type long.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", derived: dict[str, Column] | None = None) -> DataFrame:
+    """``id`` (long), ``text``, ``n_chars``, ``next_start``, the columns ``derived`` (expressions over ``text``), and the next document's as ``next_<name>``.
 
     The next document is the one with the next lower id, after the lowest the
-    highest. ``next_start`` is its first floor(n_chars / 3) code points;
-    ``of_next`` are expressions over its ``text``. Texts travel once, to their
-    id (one exchange serves both sides of the join); only the beginnings that
-    another row needs travel again, with what ``of_next`` makes.
-
-    Null ids count as the lowest id. Where rows share an id, each has the same
-    next document, and as a next document the least of their texts stands for
-    them. Null texts are empty. Further columns are not looked at.
+    highest. ``next_start`` is the first floor(n_chars / 3) code points of its
+    text. Texts travel once, into buckets of neighbouring ids, with the last
+    row of each bucket to the next one too; a window inside the bucket hands
+    every row its neighbour.
+
+    Null ids count as the lowest id, and an id that is no number as a hash of
+    it. Where rows share an id, each has the same next document, and as a
+    next document the least of their texts stands for them. Null texts are
+    empty. An empty table gives no rows. Further columns are not looked at.
     """
-    extra = of_next or {}
+    spark, derived = docs.sparkSession, derived or {}
     rows = docs.select(text_id(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    keys = rows.groupBy("id").agg(F.max(F.length("text")).alias("most"))
-    order = neighbours(keys, [F.col("id").desc()], ["id", "most"])
-    low = keys.agg(F.min_by("most", "id").alias("most"), F.min("id").alias("id")).first()
-    order = order.select(
-        "id",
-        F.coalesce(F.col("_prev.id"), F.lit(low["id"]).cast("long")).alias("for_id"),
-        F.coalesce(F.col("_prev.most"), F.lit(low["most"]).cast("int")).alias("for_most"),
-    )
-    placed = rows.join(order, "id")
-    given = F.struct(F.expr("left(text, for_most div 3)").alias("start"), *[c.alias(n) for n, c in extra.items()])
-    starts = placed.select(F.col("for_id").alias("id"), given.alias("given")).groupBy("id").agg(F.min("given").alias("given"))
-    out = rows.join(starts, "id")
-    return out.select(
-        F.nullif("id", F.lit(NULL_ID)).alias("id"), "text", F.length("text").alias("n_chars"), F.expr("left(given.start, length(text) div 3)").alias("next_start"),
-        *[F.col(f"given.{n}").alias(n) for n in extra],
+    # As many buckets as the cluster has use for; their bounds and greatest ids are that many numbers.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = BUCKETS * partitions
+    ids = rows.select("id")
+    bounds = ids.agg(F.percentile_approx("id", [k / count for k in range(1, count)], F.lit(4 * count))).first()[0] or []
+    bounds = F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds))]) if bounds else F.array().cast("array<bigint>")
+    bucket = F.size(F.filter(bounds, lambda b: b < F.col("id")))
+    greatest = [(r["bucket"], r["id"]) for r in ids.groupBy(bucket.alias("bucket")).agg(F.max("id").alias("id")).orderBy("bucket").collect()]
+    carried = [(i, b) for (_, i), (b, _) in zip(greatest, greatest[1:] + greatest[:1])]
+    listed = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(b).alias("bucket")) for i, b in carried]).cast("array<struct<id:bigint,bucket:int>>")
+    extra = spark.range(1).select(F.inline(listed).alias("id", "bucket"))
+    dealt = rows.withColumns({"bucket": bucket, "own": F.lit(True)})
+    dealt = dealt.unionByName(rows.join(F.broadcast(extra), "id").withColumn("own", F.lit(False)))
+    order = [F.col("bucket"), F.col("own"), F.col("id"), F.col("text").desc()]
+    local = dealt.repartition(partitions, "bucket").sortWithinPartitions(*order).select("*", *[c.alias(n) for n, c in derived.items()])
+    part = Window.partitionBy("bucket").orderBy(*order[1:])
+    before = F.struct("text", *derived)
+    changes = F.when(F.lag("own").over(part).isNotNull() & (F.lag("own").over(part) != F.col("own")) | (F.lag("id").over(part) != F.col("id")), F.lag(before).over(part))
+    nearby = local.withColumn("_change", changes).withColumn("_next", F.last("_change", ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, 0)))
+    return nearby.where("own").select(
+        F.nullif("id", F.lit(NULL_ID)).alias("id"), "text", F.length("text").alias("n_chars"), F.expr("left(_next.text, length(text) div 3)").alias("next_start"),
+        *derived, *[F.col(f"_next.{n}").alias(f"next_{n}") for n in derived],
     )

@@ -1,8 +1,10 @@
 """Near-duplicates, fingerprints, decontamination, chat formatting and archives against brute force, exact round trips and SQL."""
 
+import functools
 import hashlib
 import random
 import re
+import struct
 from itertools import combinations
 
 import duckdb
@@ -75,55 +77,85 @@ def test_neighbours_over_ranges(spark):
     assert all((r._next.k if r._next else None) == (r.k - 1 if r.k else None) and (r._prev.k if r._prev else None) == (r.k + 1 if r.k < 999 else None) for r in rows)
 
 
-def brute_anchors(spark, texts):
-    """Closed syncmers by windows over word hashes; the hashes come from Spark."""
-    words = [re.findall(r"\S{1,16}", t or "") for t in texts]
-    flat = sorted({w for ws in words for w in ws})
-    h = {r.w: r.h for r in spark.createDataFrame([(w,) for w in flat] or [("",)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    return [[h[w] for w in ws] for ws in words]
+UNSPACED = "\u3040-\u30ff\u4e00-\u9fff\u0e00-\u0e7f"
 
 
-def test_anchors_are_closed_syncmers(spark):
+def brute_anchors(text):
+    """Closed syncmers by loops: (symbol position, 32 bits of the hash). Spark's hashes are XXH64 with seed 42, of longs one after another."""
+    chained = lambda hs: functools.reduce(lambda seed, h: xxhash.xxh64_intdigest(struct.pack("<q", h), seed), hs, 42)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    symbols = []
+    for run in re.findall(f"[{UNSPACED}]|[^\\s{UNSPACED}]+", text or ""):
+        symbols += [run] if len(run) <= 24 else list(run)
+    h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in symbols]
+    g = [signed(chained(p)) for p in zip(h, h[1:])]
+    found = [(k, chained((g[k], g[k + 2], g[k + 3])) >> 32) for k in range(len(h) - 4) if min(g[k : k + 4]) in (g[k], g[k + 3])]
+    return found or ([(0, chained(h) >> 32)] if h else [])
+
+
+def brute_likeness(a, b):
+    first = lambda x: {h: p for p, h in reversed(x)}
+    x, y = first(a), first(b)
+    if sorted(x.items()) == sorted(y.items()):
+        return 1.0
+    met = sorted((x[h], y[h]) for h in x if h in y)
+    near = lambda i, j: 0 <= j < len(met) and met[i][0] - met[i][1] == met[j][0] - met[j][1]
+    kept = sum(near(i, i - 1) or near(i, i + 1) for i in range(len(met)))
+    return kept / max(1, len(x) + len(y) - kept)
+
+
+def printed(found):
+    return ",".join(f"{p}:{h:x}" for p, h in found)
+
+
+def test_fingerprints_against_brute_force(spark):
     draw = random.Random(4)
-    texts = [" ".join(draw.choices(["a", "bb", "ccc", "the", "of", "x" * 40], k=n)) for n in (0, 1, 3, 4, 5, 6, 30, 200)]
+    texts = [" ".join(draw.choices(["a", "bb", "ccc", "the", "of", "x" * 40, "日本語テキスト", "Ünïcode"], k=n)) for n in (0, 1, 3, 4, 5, 6, 30, 200)] + [None, " \n\t ", "中" * 50, "y" * 24, "y" * 25]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    got = {r.i: [a.pos for a in r.a] for r in df.select("i", syncmers.anchors(F.col("text")).alias("a")).collect()}
-    pairs = {}
-    hashed = brute_anchors(spark, texts)
-    wanted = {(a, b) for hs in hashed for a, b in zip(hs, hs[1:])}
-    rows = spark.createDataFrame(sorted(wanted), "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("g")).collect()
-    pairs = {(r.a, r.b): r.g for r in rows}
-    for i, hs in enumerate(hashed):
-        g = [pairs[p] for p in zip(hs, hs[1:])]
-        want = [k for k in range(len(hs) - 4) if min(g[k : k + 4]) in (g[k], g[k + 3])] if len(hs) >= 5 else [0] if hs else []
-        assert got[i] == want
+    got = {r.i: r.f for r in df.select("i", syncmers.fingerprint(syncmers.anchors(F.col("text"))).alias("f")).collect()}
+    assert got == {i: printed(brute_anchors(t)) for i, t in enumerate(texts)}
 
 
 def test_fingerprint_query(spark, small):
     docs = sorted(((r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()), reverse=True)
     rows = {r.doc_id: r for r in queries.op3_syncmer_fingerprints(spark, small).collect()}
     assert len(rows) == len(docs)
-    by_text = {}
     for (i, t), (_, nxt) in zip(docs, docs[1:] + docs[:1]):
         k = len(t) // 3
         edited = t[: len(t) - k] + nxt[:k]
-        r = rows[i]
+        r, own = rows[i], brute_anchors(t)
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert by_text.setdefault(t, r.fingerprint) == r.fingerprint and 0 <= r.near_next <= 1
+        assert r.fingerprint == printed(own) and r.edited_fingerprint == printed(brute_anchors(edited))
+        assert abs(r.near_edited - brute_likeness(own, brute_anchors(edited))) < 1e-12 and abs(r.near_next - brute_likeness(own, brute_anchors(nxt))) < 1e-12
     long = [rows[i] for i, t in docs if len(t) > 1500]
     assert sum(r.near_edited for r in long) / len(long) > 0.35 and sum(r.near_next for r in long) / len(long) < 0.1
 
 
+def test_shifted_texts_are_alike(spark):
+    draw = random.Random(8)
+    han = "".join(chr(0x4E00 + draw.randrange(5000)) for _ in range(2000))
+    latin = " ".join("".join(draw.choices("abcdefgh", k=6)) for _ in range(300))
+    pairs = [(han, "a" + han), (latin, "One more. " + latin), (latin.replace(" ", ""), "ab" + latin.replace(" ", "")), (latin, latin[::-1])]
+    of = lambda c: syncmers.firsts(syncmers.anchors(F.col(c)))
+    got = [r[0] for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").orderBy("i").select(syncmers.likeness(of("a"), of("b"))).collect()]
+    assert min(got[:3]) > 0.9 and got[3] < 0.05
+
+
 def test_fingerprint_edges(spark):
-    df = spark.createDataFrame([(None, "a b c d e f g", 1), (2, None, 1), (2, "zz", 1), (9, "é" * 10, 1)], "doc_id long, text string, id int")
-    rows = sorted((str(r.id), r.text, r.next_start) for r in syncmers.with_next(df).collect())
-    assert rows == [("2", "", ""), ("2", "zz", ""), ("9", "é" * 10, ""), ("None", "a b c d e f g", "éééé")]
+    df = spark.createDataFrame([(None, "a b c d e f g", 1), (2, None, 1), (2, "zz", 1), (9, "é" * 10, 1)], "doc_id long, text string, next_start int")
+    rows = sorted((str(r.id), r.text, r.next_start, r.next_size) for r in syncmers.with_next(df, derived={"size": F.length("text")}).collect())
+    assert rows == [("2", "", "", 13), ("2", "zz", "", 13), ("9", "é" * 10, "", 0), ("None", "a b c d e f g", "éééé", 10)]
     assert syncmers.with_next(df.limit(0)).count() == 0
-    like = spark.createDataFrame([("", ""), ("", "0" * 8), ("1" * 8, "1" * 8), ("1" * 8 + "2" * 8, "2" * 8)], "a string, b string")
-    assert [r[0] for r in like.select(syncmers.likeness(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 1.0, 0.5]
+    one = syncmers.with_next(df.limit(1)).collect()
+    assert [r.next_start for r in one] == ["a b "]
+    many = [(i, f"{i} " * 3) for i in range(3000)]
+    got = {r.id: r.next_start for r in syncmers.with_next(spark.createDataFrame(many, "doc_id long, text string").repartition(7)).collect()}
+    assert got == {i: many[i - 1][1][: len(t) // 3] for i, t in many}
     same = " ".join(f"w{i}" for i in range(40))
     m = syncmers.positional_matches(spark.createDataFrame([(f"x y z {same}", same), (None, "a")], "left_text string, right_text string")).collect()
     assert len(m[0].matches) > 10 and all(p.left_pos == p.right_pos + 3 for p in m[0].matches) and m[1].matches == []
+    long = spark.createDataFrame([(1, "lorem ipsum dolor " * 60_000)], "doc_id long, text string").select(F.size(syncmers.anchors(F.col("text"))))
+    assert long.first()[0] > 0
 
 
 def oracle(sql, sf):

@@ -48,8 +48,9 @@ def planted(seed):
     return {i: t for i, t in enumerate(draw.sample(texts, len(texts)))}
 
 
-@pytest.mark.parametrize("small, frequent", [(32, 8), (2, 2)])
-def test_near_copies_against_brute_force(spark, monkeypatch, small, frequent):
+@pytest.mark.parametrize("small, frequent, tile", [(32, 8, 2048), (2, 2, 2048), (2, 1000, 7)])
+def test_near_copies_against_brute_force(spark, monkeypatch, small, frequent, tile):
+    monkeypatch.setattr(near_copies, "TILE", tile)
     monkeypatch.setattr(near_copies, "SMALL_BUCKET", small)
     monkeypatch.setattr(near_copies, "FREQUENT", frequent)
     monkeypatch.setattr(near_copies, "SAMPLED", 2)
