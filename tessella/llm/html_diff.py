@@ -1,13 +1,14 @@
 """Main text of web pages by differencing each page with its nearest neighbours by URL.
 
 Every page becomes a row of text lines (one for each block of the markup).
-Within a host the pages stand in the order of their URL paths; a page is
-paired with the page before and the page after it. The lines of a pair are
-aligned by a longest common subsequence over their hashes, and lines that both
-pages have are the host's furniture: they are deleted, unless the markup says
-that they are article text. What the markup itself names as furniture
-(menus, footers, forms, adverts, comments) goes without being asked about.
-Partners that repeat most of a page are copies of it and prove nothing.
+Within a host the pages stand in the order of their URL paths, copies of a
+page (equal lines) as one; a page is paired with the page before and the page
+after it. The lines of a pair are aligned by a longest common subsequence over
+their hashes, and lines that both pages have are the host's furniture: they
+are deleted. The markup protects the lines of the page's article, since
+articles too repeat passages, and only where no neighbour shares a line it
+decides alone: what it names as furniture (menus, footers, forms, adverts,
+comments) goes, as does text beside an article that is most of the page.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from tessella.llm.common import bounded_batches, neighbours, text_id, written
 
 # Elements and words of HTML. -----------------------------------------------------------------------------
 #: Elements whose content is never text of the page.
-SILENT = "script style noscript template iframe object svg math canvas audio video select textarea title head datalist".split()
+SILENT = "script style noscript template iframe object svg math canvas audio video select textarea title datalist".split()
 #: Elements that are furniture wherever they stand.
 FURNITURE = "nav footer aside form menu dialog button".split()
 #: Elements that start a new block.
@@ -40,13 +41,15 @@ NESTED = (
 ).split()
 #: Blocks that another block of any kind ends.
 LEAVES = "p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre figcaption caption legend summary option".split()
-#: Words in class and id names that mark furniture.
+#: Class and id names that mark furniture, whole or as the first part of a name.
 NAMES = (
     "ad ads adsense advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb "
     "breadcrumbs masthead topbar footer sidebar aside rail widget related recommended share sharing social newsletter subscribe subscription "
     "signup login cookie cookies consent notice notices gdpr popup modal overlay alert comment comments reply replies respond disqus "
     "pagination pager skip copyright toolbar"
 ).split()
+#: Those of them that do so inside an article too.
+INSIDE = "ad ads adsense advert adverts advertisement advertising sponsored promo newsletter comment comments disqus share sharing".split()
 #: ARIA roles that mark furniture.
 ROLES = "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
 # -------------------------------------------------------------------------------------------------------------------------
@@ -61,18 +64,18 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s>/=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_SETS = {k: frozenset(v) for k, v in (("furniture", FURNITURE), ("blocks", BLOCKS), ("nested", NESTED), ("leaves", LEAVES), ("names", NAMES), ("roles", ROLES))}
+_SETS = {k: frozenset(v) for k, v in (("furniture", FURNITURE), ("blocks", BLOCKS), ("nested", NESTED), ("leaves", LEAVES), ("names", NAMES), ("inside", INSIDE), ("roles", ROLES))}
 
 
-def _marked(attrs: str) -> bool:
-    """Whether attributes mark an element as furniture."""
+def _marked(attrs: str, names: str = "names") -> bool:
+    """Whether attributes mark an element as furniture, by their own ``names`` among others."""
     if len(attrs) < 4:
         return False
     if _HIDDEN.search(attrs):
         return True
     for name, *values in _ATTR.findall(attrs):
         value = "".join(values).lower()
-        if name.lower() in ("class", "id") and not _SETS["names"].isdisjoint(_WORD.findall(value)):
+        if name.lower() in ("class", "id") and any(w in _SETS[names] or _WORD.match(w) and _WORD.match(w)[0] in _SETS[names] for w in value.split()):
             return True
         if name.lower() == "role" and value.strip() in _SETS["roles"]:
             return True
@@ -108,10 +111,6 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
         at = m.end()
         tag = m["tag"]
         if tag is None:
-            if m["silent"] and m["silent"].lower() != "head":
-                continue
-            if m["silent"]:  # a head has no lines of its own
-                close()
             continue
         tag = tag.lower()
         if tag == "a":
@@ -130,8 +129,12 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
             continue
         dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         own = m["attrs"] or ""
+        wrapper = tag == "form" and not lines and all(x[0] in ("html", "body", "div") for x in stack)  # a form around the whole page
         inside = article or tag in ("article", "main") or "main" in own and bool(re.search(r"""role\s*=\s*["']?main""", own, re.I))
-        furniture = tag in _SETS["furniture"] or tag == "header" and not article or tag not in ("html", "body", "article", "main") and _marked(own)
+        furniture = tag in _SETS["furniture"] and not wrapper or tag == "header" and not article
+        furniture = furniture or tag not in ("html", "body", "article", "main") and not wrapper and _marked(own, "inside" if article else "names")
+        if inside and not article:  # an article is none of the furniture around it
+            dropped = False
         if tag in _SETS["nested"] or tag in _SETS["leaves"]:
             stack.append((tag, dropped or furniture, inside))
     text(page[at:])
@@ -195,38 +198,41 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return sorted(out)
 
 
-def shared_with_neighbours(own: list[int], sizes: list[int], others: list[list[int]], copy_share: float) -> list[int]:
-    """Lines that a page shares with any neighbour that is no copy: one that repeats ``copy_share`` of the characters or less."""
+def decided(kinds: list[int], sizes: list[int]) -> list[int]:
+    """What each line is if no neighbour shares it: kept (1) or not. Beside an article that is most of a page's text, plain lines go."""
+    of = lambda kind: sum(n for k, n in zip(kinds, sizes) if k == kind)
+    fixed = ARTICLE in kinds and of(ARTICLE) >= of(PLAIN)
+    return [int(k != DROPPED and not (fixed and k == PLAIN)) for k in kinds]
+
+
+def shared_with_neighbours(own: list[int], others: list[list[int]]) -> list[int]:
+    """Lines that a page shares with any of its neighbours, in order."""
     shared: set[int] = set()
-    total = sum(sizes)
     for other in others:
         known = set(other)
         same = [i for i, x in enumerate(own) if x in known]
         mine = set(own)
         lines = common_lines([own[i] for i in same], [x for x in other if x in mine])
         found = [same[i] for i in lines]
-        if sum(sizes[i] for i in found) <= copy_share * total:
-            shared.update(found)
+        shared.update(found)
     return sorted(shared)
 
 
-def extract(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", copy_share: float = 0.5
-) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id_col``, ``url_col``, ``text`` and ``lines_deleted`` for every row of ``pages``.
 
     The text is the page's remaining lines in order, joined by one space:
     character references decoded, white space turned into single spaces.
-    Without any line it is empty. Where the page has an ``article`` or
-    ``main`` element, that is the main text, and lines outside it go; else the
-    lines that no neighbour shares are. ``lines_deleted`` counts what the
+    Without any line it is empty. ``lines_deleted`` counts what the
     differencing took.
 
     Null pages have an empty text; a null URL is an empty host and path. Where
     rows share an id, each is extracted from its own page and the page with
     the least URL stands for them among the neighbours. Ties in the URL are
-    ordered by id. An empty table gives an empty result. Further columns are
-    not looked at.
+    ordered by id. Of pages with equal lines in one host the first stands for
+    all, so copies are no evidence against each other and have the same
+    neighbours. An empty table gives an empty result. Further columns are not
+    looked at.
     """
     bounded_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
@@ -235,59 +241,54 @@ def extract(
     )
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_replace(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*", "")
-    keys = rows.groupBy("id").agg(F.min_by(F.struct(host.alias("host"), path.alias("path")), F.coalesce("url", F.lit(""))).alias("at"))
-    keys = keys.select("id", "at.host", "at.path")
-    order = neighbours(keys, [F.col("host"), F.col("path"), F.col("id")], ["id", "host"])
+
+    def hashed(lines: list[str]) -> list[int]:
+        return [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines]
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes, sizes, asked = [], [], []
-            for page in b.column(1):
+            hashes, asked = [], []
+            for page in b.column(3):
                 lines, kinds = page_lines(page.as_py())
-                fixed = ARTICLE in kinds
-                hashes.append([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines])
-                sizes.append([len(x) for x in lines])
-                asked.append([i for i, k in enumerate(kinds) if k == LINKS or k == PLAIN and not fixed])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(asked, pa.list_(pa.int32()))], ["id", "hashes", "sizes", "asked"])
-
-    outlines = written(
-        rows.select("id", "html").mapInArrow(outline, "id long, hashes array<long>, sizes array<int>, asked array<int>"), "outlines"
-    )
-    one = outlines.groupBy("id").agg(F.min(F.struct("hashes", "sizes")).alias("o")).select("id", "o.hashes")
+                hashes.append(hashed(lines))
+                asked.append([i for i, k in enumerate(kinds) if k != ARTICLE])
+            whole = pa.array([hash_list(h) for h in hashes], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], whole, pa.array(hashes, pa.list_(pa.int64())), pa.array(asked, pa.list_(pa.int32()))], ["id", "host", "path", "outline", "hashes", "asked"])
+
+    placed = rows.select("id", host.alias("host"), path.alias("path"), "html")
+    outlines = written(placed.mapInArrow(outline, "id long, host string, path string, outline long, hashes array<long>, asked array<int>"), "outlines")
+    one = written(outlines.groupBy("host", "outline").agg(F.min(F.struct("path", "id", "hashes", "asked")).alias("o")).select("host", "outline", "o.path", "o.id", "o.hashes", "o.asked"), "distinct")
+    order = neighbours(one.select("host", "path", "id", "outline"), [F.col("host"), F.col("path"), F.col("id"), F.col("outline")], ["host", "outline"])
     beside = F.filter(F.array("_prev", "_next"), lambda x: x["host"] == F.col("host"))
-    pairs = order.select("id", F.explode(beside).alias("n")).select("id", F.col("n.id").alias("other"))
-    others = pairs.join(one.select(F.col("id").alias("other"), "hashes"), "other").groupBy("id").agg(F.collect_list("hashes").alias("others"))
-    asking = outlines.where(F.size("asked") > 0).join(others, "id")
+    pairs = order.select("host", "outline", F.explode(beside).alias("n")).select("host", "outline", F.col("n.outline").alias("other"))
+    others = pairs.join(one.select("host", F.col("outline").alias("other"), F.col("hashes").alias("theirs")), ["host", "other"]).groupBy("host", "outline").agg(F.collect_list("theirs").alias("others"))
+    asking = one.where(F.size("asked") > 0).join(others, ["host", "outline"])
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone = []
-            for hashes, sizes, asked, near in zip(*(b.column(c).to_pylist() for c in ("hashes", "sizes", "asked", "others"))):
-                gone.append(sorted({*asked} & {*shared_with_neighbours(hashes, sizes, near, copy_share)}))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([hash_list(h) for h in b.column("hashes").to_pylist()], pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["id", "outline", "gone"])
+            gone = [sorted({*asked} & {*shared_with_neighbours(hashes, near)}) for hashes, asked, near in zip(*(b.column(c).to_pylist() for c in ("hashes", "asked", "others")))]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("outline"), pa.array(gone, pa.list_(pa.int32()))], ["host", "outline", "gone"])
 
-    decided = asking.select("id", "hashes", "sizes", "asked", "others").mapInArrow(differ, "id long, outline long, gone array<int>")
-    decided = written(decided.where(F.size("gone") > 0).dropDuplicates(["id", "outline"]), "decided")
+    shared = asking.select("host", "outline", "hashes", "asked", "others").mapInArrow(differ, "host string, outline long, gone array<int>")
+    shared = written(shared.where(F.size("gone") > 0), "decided")
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, kinds, outlines_ = [], [], []
+            texts, kept, outlines_ = [], [], []
             for page in b.column(3):
                 found, marks = page_lines(page.as_py())
-                outlines_.append(hash_list([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in found]))
-                fixed = ARTICLE in marks
-                kept = [i for i, k in enumerate(marks) if k != DROPPED and not (fixed and k == PLAIN)]
-                texts.append([found[i] for i in kept])
-                kinds.append(kept)
+                outlines_.append(hash_list(hashed(found)))
+                texts.append(found)
+                kept.append(decided(marks, [len(x) for x in found]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32())), pa.array(outlines_, pa.int64())],
-                ["id", "own_id", "url", "lines", "at", "outline"],
+                [b.column(0), b.column(1), b.column(2), pa.array(texts, pa.list_(pa.string())), pa.array(kept, pa.list_(pa.int32())), pa.array(outlines_, pa.int64())],
+                ["own_id", "url", "host", "lines", "kept", "outline"],
             )
 
-    parsed = rows.select("id", "own_id", "url", "html").mapInArrow(lines, f"id long, own_id {kind}, url string, lines array<string>, at array<int>, outline long")
-    out = parsed.join(decided, ["id", "outline"], "left")
+    parsed = rows.select("own_id", "url", host.alias("host"), "html").mapInArrow(lines, f"own_id {kind}, url string, host string, lines array<string>, kept array<int>, outline long")
+    out = parsed.join(shared, ["host", "outline"], "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.filter("lines", lambda x, i: ~F.array_contains(gone, F.get(F.col("at"), i)))
+    kept = F.filter("lines", lambda x, i: (F.get(F.col("kept"), i) == 1) & ~F.array_contains(gone, i))
     return out.select(F.col("own_id").alias(id_col), F.col("url").alias(url_col), F.array_join(kept, " ").alias("text"), F.size(gone).alias("lines_deleted"))
 
 

@@ -208,7 +208,26 @@ def test_shared_lines_of_neighbours_go(spark):
     got = {r.page_id: r.text for r in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
     assert all(got[i] == f"{long} number {i}" for i in range(40))
     assert got[100] == "Our site alone here Call us today"  # no neighbour in its host
-    assert got[200] == got[201] == f"Our site {long} Call us today"  # a copy proves nothing
+    assert got[200] == got[201] == f"Our site {long} Call us today"  # copies are one page, which has no neighbour
+
+
+def test_markup_protects_and_wrappers_do_not_drop(spark):
+    page = lambda body: html_diff.page_lines(body)
+    kept = lambda body: [x for x, k in zip(page(body)[0], html_diff.decided(page(body)[1], [len(x) for x in page(body)[0]])) if k]
+    assert kept("<head><title>T</title><meta charset=utf-8><body><article><p>Main</article>") == ["Main"]
+    assert kept("<body><form action=/x><article><p>Main</p></article><footer>F</footer></form>") == ["Main"]
+    assert kept("<body><form><div><p>Main text</p></div></form>") == ["Main text"] and kept("<p>Main</p><form>Name</form>") == ["Main"]
+    assert kept("<div class='layout with-sidebar'><article><p class=alert>One<p class='related-work'>Two</article><div class='sidebar x'>S</div></div>") == ["One", "Two"]
+    teaser = "<article class=card>Read more</article><div class=content><p>" + "Long text of the page. " * 5 + "</p></div>"
+    assert kept(teaser) == ["Read more", ("Long text of the page. " * 5).strip()]
+
+
+def test_differencing_decides_where_markup_is_silent(spark):
+    """Menus and notices in plain blocks beside an article, and link lists: neighbours take them, and only what the article holds is protected."""
+    page = lambda i, own: f"<body><div>Menu of the site</div><ul><li><a href=/>Home</a></ul><main><p>Shared passage.</p><p>{own} {i}</p></main><div>Notice of all pages</div></body>"
+    df = spark.createDataFrame([(i, f"https://h.x/a/{i}", page(i, "Own text"), "x") for i in range(30)], "page_id long, url string, html string, outline string")
+    for r in html_diff.extract(df.repartition(4)).collect():
+        assert r.text == f"Shared passage. Own text {r.page_id}" and r.lines_deleted == 3
 
 
 def test_pages_have_no_furniture_left(spark, small):
