@@ -14,25 +14,25 @@ def ramp(bars: int, start: Column, end: Column) -> Column:
     return F.array(F.pow(F.lit(2.0), F.bround(F.log2(end)))) if bars == 1 else F.transform(steps, value)
 
 
-def tempo_distance(bpm: Column, factor: float, low: Column, high: Column) -> Column:
-    """How far a tempo times a factor lies outside a wanted range, relative to the range's near end."""
-    t = bpm * F.lit(factor)
-    return F.when(t < low, (low - t) / low).when(t > high, (t - high) / high).otherwise(F.lit(0.0))
+def tempo_distance(bpm: Column, low: Column, high: Column) -> Column:
+    """By what factor a tempo lies outside a wanted range: 1 inside, 1.2 for a fifth too slow or too fast."""
+    return F.when(bpm < low, low / F.nullif(bpm, F.lit(0.0))).when(bpm > high, bpm / high).otherwise(F.lit(1.0))
 
 
 def tempo_factor(bpm: Column, low: Column, high: Column) -> Column:
-    """1, 2 or 0.5: the factor that brings a tempo nearest to a range; the smallest change of several, doubling before halving. 1 without a range."""
-    d = [F.round(tempo_distance(bpm, f, low, high), 6) for f in (1.0, 2.0, 0.5)]
+    """1, 2 or 0.5: by what a tempo is divided to come nearest to a range (2 counts in half time). 1 before 2 before 0.5; 1 without a range or tempo."""
+    d = [F.round(tempo_distance(bpm / F.lit(f), low, high), 6) for f in (1.0, 2.0, 0.5)]
     best = F.least(*d)
-    return F.when(low.isNull() | high.isNull() | (d[0] == best), F.lit(1.0)).when(d[1] == best, F.lit(2.0)).otherwise(F.lit(0.5))
+    none = low.isNull() | high.isNull() | bpm.isNull() | (bpm <= 0)
+    return F.when(none | (d[0] == best), F.lit(1.0)).when(d[1] == best, F.lit(2.0)).otherwise(F.lit(0.5))
 
 
 def tempo_fit(bpm: Column, low: Column, high: Column, tolerance: float = 0.4, halftime: float = 0.85) -> Column:
-    """1 inside the range, falling to 0 at ``tolerance`` outside it; times ``halftime`` where the tempo was doubled or halved. 1 without a range; 3 digits."""
+    """1 inside the range, falling to 0 at ``tolerance`` outside it; times ``halftime`` where the tempo was doubled or halved. 1 without a range or tempo; 3 digits."""
     f = tempo_factor(bpm, low, high)
-    d = F.when(f == 2.0, tempo_distance(bpm, 2.0, low, high)).when(f == 0.5, tempo_distance(bpm, 0.5, low, high)).otherwise(tempo_distance(bpm, 1.0, low, high))
-    fit = F.greatest(F.lit(0.0), F.lit(1.0) - d / F.lit(tolerance)) * F.when(f == 1.0, F.lit(1.0)).otherwise(F.lit(halftime))
-    return F.when(low.isNull() | high.isNull(), F.lit(1.0)).otherwise(F.round(fit, 3))
+    fit = F.greatest(F.lit(0.0), F.lit(1.0) - (tempo_distance(bpm / f, low, high) - 1) / F.lit(max(1e-6, tolerance)))
+    none = low.isNull() | high.isNull() | bpm.isNull() | (bpm <= 0)
+    return F.when(none, F.lit(1.0)).otherwise(F.round(fit * F.when(f == 1.0, F.lit(1.0)).otherwise(F.lit(halftime)), 3))
 
 
 def source_offset(t: Column, pieces: Column) -> Column:
@@ -55,9 +55,20 @@ def edit_offset(x: Column, pieces: Column) -> Column:
 
 
 def window_starts(duration: Column, count: int, length: float) -> Column:
-    """array<double>: starts of evenly spaced windows inside the middle 80 % of a duration."""
-    room = F.greatest(F.lit(0.0), duration * 0.8 - F.lit(length))
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.round(duration * 0.1 + room * k / F.lit(float(max(1, count - 1))), 6))
+    """array<double>: starts of evenly spaced windows inside the middle 80 % of a duration, 3 digits.
+
+    One window lies in the middle; so does the only one where the middle is too
+    short for two. A duration of at most one window has the start 0, none has no start.
+    """
+    first, last = duration * 0.1, duration * 0.9 - F.lit(length)
+    if count < 1:
+        return F.array().cast("array<double>")
+    even = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.round(first + (last - first) * k / F.lit(float(max(1, count - 1))), 3))
+    middle = F.array(F.round((first + last) / 2, 3))
+    return (
+        F.when(duration <= 0, F.array().cast("array<double>")).when(duration <= length, F.array(F.lit(0.0)))
+        .when(last <= first, F.array((duration - F.lit(length)) / 2)).otherwise(middle if count == 1 else even)
+    )
 
 
 def smoothstep(x: Column) -> Column:
@@ -66,13 +77,14 @@ def smoothstep(x: Column) -> Column:
 
 
 def apply_look(r: Column, g: Column, b: Column, warmth: float = 0.0, tint: float = 0.0, saturation: float = 1.0, contrast: float = 1.0, brightness: float = 0.0, lift: float = 0.0) -> list[Column]:
-    """Graded colour: gains, saturation around luma, contrast around the middle, brightness, lift; clipped to 0 and 1."""
-    r, g, b = r * F.lit(1 + warmth), g * F.lit(1 + tint), b * F.lit(1 - warmth)
+    """Graded colour: gains by warmth and tint, saturation around luma, contrast around the middle, brightness; clipped to 0 and 1, then lifted."""
+    gains = (1 + 0.15 * warmth + 0.05 * tint, 1 + 0.03 * warmth - 0.1 * tint, 1 - 0.15 * warmth + 0.05 * tint)
+    r, g, b = (c * F.lit(k) for c, k in zip((r, g, b), gains))
     luma = F.lit(0.2126) * r + F.lit(0.7152) * g + F.lit(0.0722) * b
 
     def channel(c: Column) -> Column:
         c = luma + (c - luma) * F.lit(saturation)
         c = (c - F.lit(0.5)) * F.lit(contrast) + F.lit(0.5) + F.lit(brightness)
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(lift) + c * F.lit(1 - lift)))
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(lift) + F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * F.lit(1 - lift)))
 
     return [channel(c) for c in (r, g, b)]

@@ -28,27 +28,25 @@ def name_score(query: Column, name: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def title_score(query: pd.Series, title: pd.Series) -> pd.Series:
-    """Similarity of two normalised titles by matching blocks; at least 0.9 if the shorter (of 4 characters or more) is a run of words in the other."""
+    """Similarity of two normalised titles by matching blocks; at least 0.9 if all words of the query (of 4 characters or more) are in the title."""
 
-    def score(a: str | None, b: str | None) -> float | None:
+    def score(a: str | None, b: str | None) -> float:
         if not a or not b:
             return 0.0
         ratio = difflib.SequenceMatcher(None, a, b).ratio()
-        short, long = sorted((a, b), key=len)
-        return max(ratio, 0.9) if len(short) >= 4 and f" {short} " in f" {long} " else ratio
+        return max(ratio, 0.9) if len(a) >= 4 and {*a.split()} <= {*b.split()} else ratio
 
     return pd.Series([score(a, b) for a, b in zip(query, title)])
 
 
-def split_names(text: Column, separators: str = "[;,/]") -> Column:
+def split_names(text: Column, separators: str = "[;,/|]") -> Column:
     """Parts between separators, trimmed, without empty ones."""
     return F.filter(F.transform(F.split(text, separators), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def slug(text: Column, most: int = 80) -> Column:
-    """A name fit for a file: other characters than a-z, 0-9, _ and - become one -, cut at ``most``; ``untitled`` if nothing is left."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9_-]+", "-"), "^-+|-+$", "")
-    return F.coalesce(F.nullif(F.substring(plain, 1, most), F.lit("")), F.lit("untitled"))
+def slug(text: Column) -> Column:
+    """A name fit for a file: normalised, with _ between words; ``untitled`` if nothing is left."""
+    return F.coalesce(F.nullif(F.replace(normalize_name(text), F.lit(" "), F.lit("_")), F.lit("")), F.lit("untitled"))
 
 
 def episode_number(name: Column) -> Column:

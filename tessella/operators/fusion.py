@@ -77,7 +77,8 @@ def static_score(mood: Column, motion_rank: Column, intensity: Column, character
 
 
 def average_tags(df: DataFrame, key: str, line: str, weight: str, tags: str) -> DataFrame:
-    """Mean of tag maps, weighted: absent tags count 0, and no weight at all gives no row. 4 digits."""
-    total = df.groupBy(key).agg(F.sum(weight).alias("_total")).where("_total > 0")
-    parts = df.select(key, line, weight, F.explode(tags).alias("tag", "p")).groupBy(key, "tag").agg(F.sum(F.col(weight) * F.col("p")).alias("_sum"))
-    return parts.join(total, key).select(key, "tag", F.round(F.col("_sum") / F.col("_total"), 4).alias("p"))
+    """Mean of tag maps, weighted: absent tags count 0, and no weight at all gives no row. 4 digits, half up, by exact sums (weights and shares of up to 4 digits)."""
+    exact = lambda c: c.cast("decimal(18,4)")
+    total = df.groupBy(key).agg(F.sum(exact(F.col(weight))).cast("decimal(24,4)").alias("_total")).where("_total > 0")
+    parts = df.select(key, line, weight, F.explode(tags).alias("tag", "p")).groupBy(key, "tag").agg(F.sum(exact(F.col(weight)) * exact(F.col("p"))).cast("decimal(28,8)").alias("_sum"))
+    return parts.join(total, key).select(key, "tag", (F.expr("(_sum * 20000 + _total) div (2 * _total)") / 10000).alias("p"))

@@ -41,8 +41,14 @@ def densest_stretch(df: DataFrame, by: list[str], t: str, window: int) -> DataFr
 
 
 def crowd(df: DataFrame, by: list[str], t: str, window: int) -> DataFrame:
-    """Rows with ``crowd``: others and itself within ``window`` to either side."""
-    return df.withColumn("crowd", F.count("*").over(Window.partitionBy(*by).orderBy(t).rangeBetween(-window, window)))
+    """Rows with ``crowd``: how many rows the fullest span of length ``window`` holds that contains the row, itself included.
+
+    Some fullest span starts at a row, so the count of the rows from each row
+    on and the greatest of these counts over the starts that reach it suffice.
+    """
+    order = Window.partitionBy(*by).orderBy(t)
+    counted = df.withColumn("_from", F.count("*").over(order.rangeBetween(0, window)))
+    return counted.withColumn("crowd", F.max("_from").over(order.rangeBetween(-window, 0))).drop("_from")
 
 
 def systematic_sample(df: DataFrame, by: list[str], order: list[str], count: int) -> DataFrame:

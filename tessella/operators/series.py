@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,20 +32,31 @@ def merge_neighbours(df: DataFrame, by: list[str], i: str, label: str) -> DataFr
     return marked.groupBy(*by, "_run", label).agg(F.min(i).alias("first"), F.max(i).alias("last"), F.count("*").alias("n")).drop("_run")
 
 
-def novelty(df: DataFrame, by: list[str], i: str, value: str, width: int) -> DataFrame:
-    """``df`` with ``novelty``: distance of the means of ``width`` rows before and from each row on; 0 at the first."""
+def novelty(df: DataFrame, by: list[str], i: str, features: list[str], energy: str, width: int) -> DataFrame:
+    """``df`` with ``novelty``: how the ``width`` rows before differ from the ``width`` rows from each on; 0 at the first.
+
+    The distance of the mean features over the root of their number, and twice that of the mean energy.
+    """
     order = Window.partitionBy(*by).orderBy(i)
-    before, after = F.avg(value).over(order.rowsBetween(-width, -1)), F.avg(value).over(order.rowsBetween(0, width - 1))
-    return df.withColumn("novelty", F.coalesce(F.abs(before - after), F.lit(0.0)))
+    before, after = order.rowsBetween(-width, -1), order.rowsBetween(0, width - 1)
+    apart = lambda c: F.avg(c).over(before) - F.avg(c).over(after)
+    squares = reduce(lambda x, y: x + y, [apart(c) * apart(c) for c in features])
+    return df.withColumn("novelty", F.coalesce(F.sqrt(squares) / F.sqrt(F.lit(float(len(features)))) + F.lit(2.0) * F.abs(apart(energy)), F.lit(0.0)))
 
 
-def local_maxima(df: DataFrame, by: list[str], i: str, value: str, threshold: float) -> DataFrame:
-    """Rows that are no less than both neighbours and at least ``threshold`` of the group's greatest."""
-    order = Window.partitionBy(*by).orderBy(i)
-    v = F.col(value)
-    peak = (v >= F.coalesce(F.lag(value).over(order), v)) & (v >= F.coalesce(F.lead(value).over(order), v))
-    marked = df.withColumns({"_peak": peak, "_most": F.max(value).over(Window.partitionBy(*by))})
-    return marked.where(F.col("_peak") & (v > 0) & (v >= F.col("_most") * threshold)).drop("_peak", "_most")
+def boundaries(df: DataFrame, by: list[str], i: str, value: str, min_bars: int, threshold: float) -> DataFrame:
+    """``by``, ``i`` and ``value`` of the rows where a section starts: the first, and peaks at least ``min_bars`` from either end and from stronger ones.
+
+    Peaks are no less than both neighbours and at least ``threshold`` of the
+    greatest peak that far from the ends. Index ``i`` counts from 0.
+    """
+    part = Window.partitionBy(*by)
+    order, v = part.orderBy(i), F.col(value)
+    marked = df.withColumns({"_n": F.count("*").over(part), "_low": F.lag(value).over(order), "_high": F.lead(value).over(order)})
+    peaks = marked.where(F.col(i).between(max(1, min_bars), F.col("_n") - min_bars) & (v >= F.coalesce("_low", v)) & (v >= F.coalesce("_high", v)))
+    peaks = peaks.withColumn("_most", F.max(value).over(part)).where((F.col("_most") > 0) & (v >= F.col("_most") * threshold))
+    found = peaks if min_bars <= 1 else suppress(peaks, by, i, value, min_bars, 2**31 - 1)
+    return df.where(F.col(i) == 0).select(*by, i, value).unionByName(found.select(*by, i, value))
 
 
 def label_sections(df: DataFrame, by: list[str], i: str, energy: str, chorus: float = 0.7, relative: float = 0.85, calm: float = 0.35) -> DataFrame:
@@ -58,18 +71,18 @@ def label_sections(df: DataFrame, by: list[str], i: str, energy: str, chorus: fl
             "_after": F.coalesce(F.max(F.col("_c").cast("int")).over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)),
         }
     )
-    edge = (e <= calm) | (F.col("_n") > 2)
+    edge = (e < calm) | (F.col("_n") > 2)
     label = (
         F.when(F.col("_c"), "chorus").when((F.col("_at") == 1) & edge, "intro").when((F.col("_at") == F.col("_n")) & edge, "outro")
-        .when((F.col("_before") == 1) & (F.col("_after") == 1) & (e <= calm), "bridge").otherwise("verse")
+        .when((F.col("_before") == 1) & (F.col("_after") == 1) & (e < calm), "bridge").otherwise("verse")
     )
     return marked.withColumn("label", label).drop("_n", "_at", "_c", "_before", "_after")
 
 
 def jumps(df: DataFrame, by: list[str], i: str, value: str, width: int, min_jump: float, min_level: float) -> DataFrame:
-    """Candidate drops: rows where the mean of the next ``width`` rows exceeds that of the ``width`` before by ``min_jump`` and reaches ``min_level``."""
+    """Candidate drops: rows where the mean of the next ``width`` rows exceeds that of the ``width`` before by ``min_jump`` and reaches ``min_level``; all of the ``width`` before have to be there."""
     order = Window.partitionBy(*by).orderBy(i)
-    marked = df.withColumns({"_b": F.avg(value).over(order.rowsBetween(-width, -1)), "level": F.avg(value).over(order.rowsBetween(0, width - 1))})
+    marked = df.withColumns({"_b": F.when(F.count("*").over(order.rowsBetween(-width, -1)) == width, F.avg(value).over(order.rowsBetween(-width, -1))), "level": F.avg(value).over(order.rowsBetween(0, width - 1))})
     return marked.withColumn("jump", F.col("level") - F.col("_b")).where((F.col("jump") >= min_jump) & (F.col("level") >= min_level)).drop("_b")
 
 
@@ -105,6 +118,28 @@ def downbeat_phase(df: DataFrame, by: list[str], i: str, value: str, beats: int
     return means.withColumn("_at", at).where("_at = 1").drop("_at")
 
 
+def musical_key(histogram: DataFrame, key: str, pc: str, value: str, major: tuple[float, ...], minor: tuple[float, ...]) -> DataFrame:
+    """``tonic``, ``major``, ``strength`` and ``majorness`` of each ``key`` from its twelve semitones (``pc`` from 0, absent ones not counted).
+
+    The best of 24 rotated profiles by correlation, the lowest tonic of several
+    and major before minor. A lead of 0.1 of either mode is a clear one. A flat
+    histogram is tonic 0 in major, with strength 0 and majorness 0.5.
+    """
+    weight = lambda profile, tonic: F.element_at(F.array(*map(F.lit, profile)), ((F.col(pc) - tonic + 12) % 12 + 1).cast("int"))
+    tonics = F.array(*[F.struct(F.lit(t).cast("long").alias("tonic"), weight(major, t).alias("up"), weight(minor, t).alias("down")) for t in range(12)])
+    fit = lambda w: F.round(F.coalesce(F.covar_pop(value, w) / F.nullif(F.stddev_pop(value) * F.stddev_pop(w), F.lit(0.0)), F.lit(0.0)), 6)
+    fits = histogram.select(key, value, F.inline(tonics)).groupBy(key, "tonic").agg(fit("up").alias("up"), fit("down").alias("down"), F.stddev_pop(value).alias("dev"))
+    best = lambda c: F.max(F.struct(F.col(c).alias("r"), (-F.col("tonic")).alias("t")))
+    both = fits.groupBy(key).agg(best("up").alias("x"), best("down").alias("y"), F.max("dev").alias("dev"))
+    flat, up = F.coalesce(F.col("dev"), F.lit(0.0)) < 1e-9, F.col("x.r") >= F.col("y.r")
+    majorness = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.5) + F.lit(5.0) * (F.col("x.r") - F.col("y.r")))), 5)
+    pick = lambda a, b, none: F.when(flat, none).when(up, a).otherwise(b)
+    return both.select(
+        key, pick(-F.col("x.t"), -F.col("y.t"), F.lit(0).cast("long")).alias("tonic"), (flat | up).alias("major"),
+        pick(F.col("x.r"), F.col("y.r"), F.lit(0.0)).alias("strength"), F.when(flat, F.lit(0.5)).otherwise(majorness).alias("majorness"),
+    )
+
+
 def robust_unit(df: DataFrame, by: list[str], value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """``df`` with ``unit``: the value scaled from the low to the high percentile (interpolated) and clipped to 0 and 1."""
     ends = df.groupBy(*by).agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"))

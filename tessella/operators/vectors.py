@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import written
+
 #: More references than this are joined without a broadcast.
 BROADCAST_ROWS = 10_000
 
@@ -98,12 +100,12 @@ def identify(faces: DataFrame, references: DataFrame, rounds: int = 3, seed_p: f
     """
     f = faces.withColumnRenamed("face_id", "vec_id")
     units = references.select("ref", normalize(F.col("ref_embedding")).alias("ref_embedding"))
-    refs = mean_vectors(units, "ref", "ref_embedding").withColumnRenamed("mean", "ref_embedding").localCheckpoint()
+    refs = written(mean_vectors(units, "ref", "ref_embedding").withColumnRenamed("mean", "ref_embedding"), "references")
     unit = f.select("vec_id", normalize(F.col("embedding")).alias("embedding"))
     single = refs.count() == 1
     if single:
         face = mean_vectors(unit.withColumn("_all", F.lit(1)), "_all").select(F.lit(None).cast(refs.schema["ref"].dataType).alias("ref"), F.col("mean").alias("ref_embedding"))
-    seeds = first_seeds(similarities(f, refs), count=first).localCheckpoint()
+    seeds = written(first_seeds(similarities(f, refs), count=first), "seeds")
     best = None
     for k in range(max(1, rounds)):
         means = mean_vectors(seeds.join(unit, "vec_id"), "ref")
@@ -112,8 +114,8 @@ def identify(faces: DataFrame, references: DataFrame, rounds: int = 3, seed_p: f
         best = _leads(similarities(f, now.unionByName(face) if single else now), "vec_id", "ref", scale)
         if k + 1 < rounds:
             at = F.row_number().over(Window.partitionBy("ref").orderBy(F.col("p").desc(), "vec_id"))
-            sure = best.where(F.col("ref").isNotNull() & (F.col("p") >= seed_p)).withColumn("_at", at).where(F.col("_at") <= top).select("ref", "vec_id").localCheckpoint()
-            seeds = sure.unionByName(seeds.join(sure.select("ref").distinct(), "ref", "left_anti").select("ref", "vec_id")).localCheckpoint()
+            sure = written(best.where(F.col("ref").isNotNull() & (F.col("p") >= seed_p)).withColumn("_at", at).where(F.col("_at") <= top).select("ref", "vec_id"), "sure")
+            seeds = written(sure.unionByName(seeds.join(sure.select("ref").distinct(), "ref", "left_anti").select("ref", "vec_id")), "seeds")
     known = F.col("ref").isNotNull() & (F.col("p") >= least)
     return best.select(F.col("vec_id").alias("face_id"), F.when(known, F.col("ref")).alias("character"), F.when(known, F.round("p", 4)).otherwise(F.lit(0.0)).alias("p"))
 

@@ -231,7 +231,7 @@ def clip_stats(spark, sf):
 
 @query(
     "tag_weighted_average",
-    "WITH t AS (SELECT l_orderkey, sum(l_quantity) AS w FROM lineitem GROUP BY l_orderkey), p AS (SELECT l_orderkey, tag, sum(l_quantity * p) AS s FROM (SELECT l_orderkey, l_quantity, 'tax' AS tag, l_tax AS p FROM lineitem UNION ALL SELECT l_orderkey, l_quantity, 'discount', l_discount FROM lineitem) GROUP BY ALL) SELECT l_orderkey, tag, round(s / w, 4) + 0.0 AS p FROM t JOIN p USING (l_orderkey)",
+    "WITH t AS (SELECT l_orderkey, sum(CAST(round(l_quantity * 10000) AS HUGEINT)) AS w FROM lineitem GROUP BY l_orderkey), p AS (SELECT l_orderkey, tag, sum(CAST(round(l_quantity * 10000) AS HUGEINT) * CAST(round(p * 10000) AS HUGEINT)) AS s FROM (SELECT l_orderkey, l_quantity, 'tax' AS tag, l_tax AS p FROM lineitem UNION ALL SELECT l_orderkey, l_quantity, 'discount', l_discount FROM lineitem) GROUP BY ALL) SELECT l_orderkey, tag, CAST((s * 20000 + w * 10000) // (2 * w * 10000) AS DOUBLE) / 10000 AS p FROM t JOIN p USING (l_orderkey)",
 )
 def tag_weighted_average(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("tags", F.create_map(F.lit("tax"), F.col("l_tax"), F.lit("discount"), F.col("l_discount")))
@@ -371,29 +371,35 @@ def densest_stretch(spark, sf):
     return ranks.densest_stretch(spans(spark, sf), ["axis"], "s", 24 * HOUR)
 
 
-@query("crowd_count", f"WITH {SPANS} SELECT axis, seg, (SELECT count(*) FROM spans o WHERE o.axis = p.axis AND abs(o.s - p.s) <= {12 * HOUR}) AS crowd FROM spans p")
+@query("crowd_count", f"WITH {SPANS} SELECT axis, seg, max(n) OVER (PARTITION BY axis ORDER BY s RANGE BETWEEN {12 * HOUR} PRECEDING AND CURRENT ROW) AS crowd FROM (SELECT *, count(*) OVER (PARTITION BY axis ORDER BY s RANGE BETWEEN CURRENT ROW AND {12 * HOUR} FOLLOWING) AS n FROM spans)")
 def crowd_count(spark, sf):
     return ranks.crowd(spans(spark, sf).select("axis", "seg", "s"), ["axis"], "s", 12 * HOUR).select("axis", "seg", "crowd")
 
 
-NOVEL = f"WITH {SPANS}, {HOURLY}, nov AS (SELECT axis, i, energy, coalesce(round(abs(avg(energy) OVER (PARTITION BY axis ORDER BY i ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) - avg(energy) OVER (PARTITION BY axis ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)), 6), 0) AS novelty FROM hourly)"
+NOVEL = f"""WITH {SPANS}, {HOURLY}, units AS (SELECT axis, i, CAST(round(energy * 100000000) AS BIGINT) AS e, CAST(round(energy * energy * 100000000) AS BIGINT) AS q FROM hourly),
+d AS (SELECT axis, i, avg(e) OVER a - avg(e) OVER b AS de, avg(q) OVER a - avg(q) OVER b AS dq FROM units
+  WINDOW a AS (PARTITION BY axis ORDER BY i ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY axis ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+nov AS (SELECT axis, i, coalesce(round((sqrt(de * de + dq * dq) / sqrt(2.0::DOUBLE) + 2.0::DOUBLE * abs(de)) / 100000000, 6), 0) AS novelty FROM d)"""
 
 
 def novel(spark, sf):
-    return series.novelty(hourly(spark, sf), ["axis"], "i", "energy", 4).withColumn("novelty", F.round("novelty", 6))
+    """Features and energy as whole numbers, so that their sums are exact in any order."""
+    whole = lambda c: F.round(c * 100_000_000).cast("long")
+    units = hourly(spark, sf).select("axis", "i", whole(F.col("energy")).alias("e"), whole(F.col("energy") * F.col("energy")).alias("q"))
+    return series.novelty(units, ["axis"], "i", ["e", "q"], "e", 4).withColumn("novelty", F.round(F.col("novelty") / 100_000_000, 6))
 
 
 @query(
     "novelty_boundaries",
-    f"{NOVEL} SELECT axis, i, novelty FROM (SELECT *, lag(novelty) OVER (PARTITION BY axis ORDER BY i) AS p, lead(novelty) OVER (PARTITION BY axis ORDER BY i) AS n, max(novelty) OVER (PARTITION BY axis) AS most FROM nov) WHERE novelty >= coalesce(p, novelty) AND novelty >= coalesce(n, novelty) AND novelty > 0 AND novelty >= most * 0.5",
+    f"{NOVEL}, p AS (SELECT *, lag(novelty) OVER w AS p, lead(novelty) OVER w AS n FROM nov WINDOW w AS (PARTITION BY axis ORDER BY i)), e AS (SELECT *, max(novelty) OVER (PARTITION BY axis) AS most FROM p WHERE i >= 1 AND novelty >= coalesce(p, novelty) AND novelty >= coalesce(n, novelty)) SELECT axis, i, novelty FROM e WHERE most > 0 AND novelty >= most * 0.5 UNION ALL SELECT axis, i, novelty FROM nov WHERE i = 0",
 )
 def novelty_boundaries(spark, sf):
-    return series.local_maxima(novel(spark, sf), ["axis"], "i", "novelty", 0.5).select("axis", "i", "novelty")
+    return series.boundaries(novel(spark, sf), ["axis"], "i", "novelty", 1, 0.5)
 
 
 LABELS = f"""WITH {SPANS}, {HOURLY}, c AS (SELECT *, energy >= greatest(0.7, max(energy) OVER (PARTITION BY axis) * 0.85) AS hot, count(*) OVER (PARTITION BY axis) AS n FROM hourly),
 d AS (SELECT *, coalesce(bool_or(hot) OVER (PARTITION BY axis ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS before, coalesce(bool_or(hot) OVER (PARTITION BY axis ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS later FROM c),
-labels AS (SELECT axis, i, CASE WHEN hot THEN 'chorus' WHEN i = 0 AND (energy <= 0.35 OR n > 2) THEN 'intro' WHEN i = n - 1 AND (energy <= 0.35 OR n > 2) THEN 'outro' WHEN before AND later AND energy <= 0.35 THEN 'bridge' ELSE 'verse' END AS label FROM d)"""
+labels AS (SELECT axis, i, CASE WHEN hot THEN 'chorus' WHEN i = 0 AND (energy < 0.35 OR n > 2) THEN 'intro' WHEN i = n - 1 AND (energy < 0.35 OR n > 2) THEN 'outro' WHEN before AND later AND energy < 0.35 THEN 'bridge' ELSE 'verse' END AS label FROM d)"""
 
 
 def labelled(spark, sf):
@@ -416,7 +422,7 @@ def merge_neighbours(spark, sf):
 JUMPS = f"WITH {SPANS}, {HOURLY}, j AS (SELECT axis, i, avg(energy) OVER (PARTITION BY axis ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS level, avg(energy) OVER (PARTITION BY axis ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS b FROM hourly)"
 
 
-@query("drop_candidates", f"{JUMPS} SELECT axis, i, round(level, 6) AS level, round(level - b, 6) AS jump FROM j WHERE level - b >= 0.2003 AND level >= 0.5003")
+@query("drop_candidates", f"{JUMPS} SELECT axis, i, round(level, 6) AS level, round(level - b, 6) AS jump FROM j WHERE i >= 3 AND level - b >= 0.2003 AND level >= 0.5003")
 def drop_candidates(spark, sf):
     j = series.jumps(hourly(spark, sf), ["axis"], "i", "energy", 3, 0.2003, 0.5003)
     return j.select("axis", "i", F.round("level", 6).alias("level"), F.round("jump", 6).alias("jump"))
@@ -460,16 +466,24 @@ def systematic_sample(spark, sf):
     return ranks.systematic_sample(hourly(spark, sf), ["axis"], ["i"], 5).select("axis", "i")
 
 
-@query("key_estimate", "WITH h AS (SELECT l_suppkey % 50 AS song, month(l_shipdate) - 1 AS pc, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), p AS (SELECT unnest(range(0, 12)) AS k, unnest([6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]) AS w), c AS (SELECT song, t.tonic, round(corr(v, w), 6) AS r FROM h, (SELECT unnest(range(0, 12)) AS tonic) t, p WHERE p.k = (h.pc - t.tonic + 12) % 12 GROUP BY ALL) SELECT song, tonic, r FROM (SELECT *, row_number() OVER (PARTITION BY song ORDER BY r DESC, tonic) AS pos FROM c) WHERE pos = 1")
+# The weights of the twelve semitones from the tonic in major and minor keys (published key profiles).
+MAJOR = (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88)
+MINOR = (6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17)
+
+
+@query(
+    "key_estimate",
+    f"""WITH h AS (SELECT l_suppkey % 50 AS song, month(l_shipdate) - 1 AS pc, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
+p AS (SELECT true AS major, unnest(range(0, 12)) AS k, unnest({list(MAJOR)}) AS w UNION ALL SELECT false, unnest(range(0, 12)), unnest({list(MINOR)})),
+c AS (SELECT song, major, t.tonic, round(corr(v, w), 6) AS r FROM h, (SELECT unnest(range(0, 12)) AS tonic) t, p WHERE p.k = (h.pc - t.tonic + 12) % 12 GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY song, major ORDER BY r DESC, tonic) AS pos FROM c)
+SELECT x.song, CASE WHEN x.r >= y.r THEN x.tonic ELSE y.tonic END AS tonic, x.r >= y.r AS major, greatest(x.r, y.r) AS strength, round(greatest(0, least(1, 0.5::DOUBLE + 5.0::DOUBLE * (x.r - y.r))), 5) AS majorness
+FROM b x JOIN b y ON x.song = y.song AND x.major AND NOT y.major AND x.pos = 1 AND y.pos = 1""",
+)
 def key_estimate(spark, sf):
-    """Best major key of each song's twelve-bin histogram, by correlation with the rotated profile."""
-    profile = [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]
     li = table(spark, sf, "lineitem")
     h = li.groupBy((F.col("l_suppkey") % 50).alias("song"), (F.month("l_shipdate") - 1).alias("pc")).agg(F.sum("l_quantity").alias("v"))
-    weight = lambda tonic: F.element_at(F.array(*map(F.lit, profile)), (F.col("pc") - tonic + 12) % 12 + 1)
-    tonics = F.array(*[F.struct(F.lit(k).cast("long").alias("tonic"), weight(k).alias("w")) for k in range(12)])
-    c = h.select("song", "v", F.inline(tonics)).groupBy("song", "tonic").agg(F.round(F.corr("v", "w"), 6).alias("r"))
-    return ranks.top_k(c, 1, ["song"], F.col("r").desc(), F.col("tonic"))
+    return series.musical_key(h, "song", "pc", "v", MAJOR, MINOR)
 
 
 # Vectors ---------------------------------------------------------------------------------------------------------------------
@@ -557,7 +571,13 @@ def nms_boxes(spark, sf):
 
 
 # Scalars ---------------------------------------------------------------------------------------------------------------------
-@query("tempo", "WITH t AS (SELECT p_partkey, 60 + p_size * 2.4 AS bpm FROM part), d AS (SELECT *, [round(CASE WHEN bpm * f < 101 THEN (101 - bpm * f) / 101 WHEN bpm * f > 133 THEN (bpm * f - 133) / 133 ELSE 0 END, 6) FOR f IN [1.0, 2.0, 0.5]] AS ds FROM t), f AS (SELECT *, CASE WHEN ds[1] = list_min(ds) THEN 1.0 WHEN ds[2] = list_min(ds) THEN 2.0 ELSE 0.5 END AS factor FROM d) SELECT p_partkey, CAST(factor AS DOUBLE) AS factor, round(greatest(0, 1 - (CASE WHEN bpm * factor < 101 THEN (101 - bpm * factor) / 101 WHEN bpm * factor > 133 THEN (bpm * factor - 133) / 133 ELSE 0 END) / 0.4) * CASE WHEN factor = 1 THEN 1.0 ELSE 0.85 END, 3) AS fit FROM f")
+_AWAY = "(CASE WHEN bpm / {f} < 101 THEN 101 / (bpm / {f}) WHEN bpm / {f} > 133 THEN (bpm / {f}) / 133 ELSE 1.0::DOUBLE END)"
+
+
+@query(
+    "tempo",
+    f"WITH t AS (SELECT p_partkey, 60::DOUBLE + p_size * 2.4::DOUBLE AS bpm FROM part), d AS (SELECT *, round({_AWAY.format(f='1.0::DOUBLE')}, 6) AS d1, round({_AWAY.format(f='2.0::DOUBLE')}, 6) AS d2, round({_AWAY.format(f='0.5::DOUBLE')}, 6) AS d3 FROM t), f AS (SELECT *, CASE WHEN d1 = least(d1, d2, d3) THEN 1.0::DOUBLE WHEN d2 = least(d1, d2, d3) THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END AS factor FROM d) SELECT p_partkey, factor, round(greatest(0, 1 - ({_AWAY.format(f='factor')} - 1) / 0.4::DOUBLE) * CASE WHEN factor = 1 THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END, 3) AS fit FROM f",
+)
 def tempo(spark, sf):
     bpm = F.lit(60.0) + F.col("p_size") * F.lit(2.4)
     low, high = F.lit(101.0), F.lit(133.0)
@@ -578,13 +598,13 @@ def timing_map(spark, sf):
     return there.select("t", F.round("x", 6).alias("source"), F.round(music.edit_offset(F.col("x"), pieces), 6).alias("back"))
 
 
-@query("window_starts", "SELECT p_partkey, array_to_string([round(d * 0.1 + greatest(0, d * 0.8 - 10) * k / 5.0, 3) FOR k IN range(0, 6)], ',') AS starts FROM (SELECT p_partkey, p_size * 8.0 AS d FROM part)")
+@query("window_starts", "SELECT p_partkey, array_to_string(CASE WHEN d <= 10 THEN [0.0::DOUBLE] WHEN d * 0.9::DOUBLE - 10 <= d * 0.1::DOUBLE THEN [(d - 10) / 2] ELSE [round(d * 0.1::DOUBLE + (d * 0.9::DOUBLE - 10 - d * 0.1::DOUBLE) * k / 5.0::DOUBLE, 3) FOR k IN range(0, 6)] END, ',') AS starts FROM (SELECT p_partkey, p_size * 8.0::DOUBLE AS d FROM part)")
 def window_starts(spark, sf):
     starts = music.window_starts(F.col("p_size") * F.lit(8.0), 6, 10.0)
-    return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(starts, lambda x: F.round(x, 3).cast("string")), ",").alias("starts"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(starts, lambda x: x.cast("string")), ",").alias("starts"))
 
 
-@query("lut_grid", "WITH g AS (SELECT i, (i % 17) / 16.0 * 1.1 AS r, (i // 17 % 17) / 16.0 AS g, (i // 289) / 16.0 * 0.9 AS b FROM (SELECT unnest(range(0, 4913)) AS i)), l AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS y FROM g) SELECT i, round(greatest(0, least(1, 0.02 + (((y + (r - y) * 0.8) - 0.5) * 1.2 + 0.5) * 0.98)), 6) AS red, round(greatest(0, least(1, 0.02 + (((y + (g - y) * 0.8) - 0.5) * 1.2 + 0.5) * 0.98)), 6) AS green, round(greatest(0, least(1, 0.02 + (((y + (b - y) * 0.8) - 0.5) * 1.2 + 0.5) * 0.98)), 6) AS blue FROM l")
+@query("lut_grid", "WITH g AS (SELECT i, (i % 17) / 16.0 * 1.015 AS r, (i // 17 % 17) / 16.0 * 1.003 AS g, (i // 289) / 16.0 * 0.985 AS b FROM (SELECT unnest(range(0, 4913)) AS i)), l AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS y FROM g) SELECT i, round(greatest(0, least(1, 0.02 + greatest(0, least(1, ((y + (r - y) * 0.8) - 0.5) * 1.2 + 0.5)) * 0.98)), 6) AS red, round(greatest(0, least(1, 0.02 + greatest(0, least(1, ((y + (g - y) * 0.8) - 0.5) * 1.2 + 0.5)) * 0.98)), 6) AS green, round(greatest(0, least(1, 0.02 + greatest(0, least(1, ((y + (b - y) * 0.8) - 0.5) * 1.2 + 0.5)) * 0.98)), 6) AS blue FROM l")
 def lut_grid(spark, sf):
     i = F.col("id")
     g = [(i % 17) / 16.0, (F.floor(i / 17) % 17) / 16.0, F.floor(i / 289) / 16.0]
@@ -598,9 +618,9 @@ def name_score(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.name_score(F.lit("red widget"), name).alias("full_score"), text.name_score(F.lit("ring"), name).alias("part_score"))
 
 
-@query("normalize_name", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(left(text, 40))), '[^a-z0-9]+', ' ', 'g')) AS name FROM documents")
+@query("normalize_name", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS name FROM documents")
 def normalize_name(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.normalize_name(F.expr("left(text, 40)")).alias("name"))
+    return table(spark, sf, "documents").select("doc_id", text.normalize_name("text").alias("name"))
 
 
 @query("normalize_name_whole")
@@ -614,9 +634,9 @@ def title_score(spark, sf):
     return p.select("p_partkey", F.round(text.title_score(text.normalize_name("p_name"), F.lit("red widget")), 6).alias("score"))
 
 
-@query("split_genres", "SELECT doc_id, array_to_string(list_filter([trim(x) FOR x IN regexp_split_to_array(left(text, 60), '[;,/]')], lambda x: x <> ''), '|') AS parts FROM documents")
+@query("split_genres", "SELECT doc_id, array_to_string(list_filter([trim(x) FOR x IN regexp_split_to_array(text, '[;,/|]')], lambda x: x <> ''), '|') AS parts FROM documents")
 def split_genres(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(text.split_names(F.expr("left(text, 60)")), "|").alias("parts"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(text.split_names(F.col("text")), "|").alias("parts"))
 
 
 @query("split_genres_whole")
@@ -624,7 +644,7 @@ def split_genres_whole(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(text.split_names(F.col("text")), "|").alias("parts"))
 
 
-@query("slugs", "SELECT page_id, coalesce(nullif(left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), ''), 'untitled') AS slug FROM pages")
+@query("slugs", "SELECT page_id, coalesce(nullif(replace(trim(regexp_replace(lower(strip_accents(url)), '[^a-z0-9]+', ' ', 'g')), ' ', '_'), ''), 'untitled') AS slug FROM pages")
 def slugs(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.slug(F.col("url")).alias("slug"))
 
@@ -730,10 +750,15 @@ def suggest_topk_capped(spark, sf):
 
 @query("suggest_explain")
 def suggest_explain(spark, sf):
-    """Up to three reasons (parts from 0.7) and two concerns (below 0.45) of each song, the weightiest first."""
-    parts = F.array(*[F.struct((-F.lit(w) * F.col(k)).alias("v"), F.lit(k).alias("k"), F.col(k).alias("p")) for k, w in (("mood", 1.0), ("tempo", 0.5), ("energy", 0.5))])
-    take = lambda test, n: F.array_join(F.transform(F.slice(F.array_sort(F.filter(parts, test)), 1, n), lambda x: x["k"]), ",")
-    return rated(spark, sf).select("song", take(lambda x: x["p"] >= 0.7, 3).alias("reasons"), take(lambda x: x["p"] < 0.45, 2).alias("concerns"))
+    """Up to three reasons (parts from 0.7, the mood from 0.6; by weight times part) and two concerns (below 0.45; by weight times what is missing) of each song."""
+    weights, good = {"mood": 1.0, "tempo": 0.5, "energy": 0.5}, {"mood": 0.6}
+
+    def take(rank, test, n: int):
+        parts = F.array(*[F.struct((-F.lit(w) * rank(F.col(k))).alias("v"), F.lit(k).alias("k"), test(k, F.col(k)).alias("in")) for k, w in weights.items()])
+        return F.array_join(F.transform(F.slice(F.array_sort(F.filter(parts, lambda x: x["in"])), 1, n), lambda x: x["k"]), ",")
+
+    reasons = take(lambda v: v, lambda k, v: v >= good.get(k, 0.7), 3)
+    return rated(spark, sf).select("song", reasons.alias("reasons"), take(lambda v: 1 - v, lambda k, v: v < 0.45, 2).alias("concerns"))
 
 
 # The catalogue -----------------------------------------------------------------------------------------------------------------

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -38,3 +39,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(ROOT.parent)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table below ``spark.checkpoint.dir``: lineage ends here. Where that is unset, below a temporary folder in local mode, an error on a cluster."""
+    spark = df.sparkSession
+    shared, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not shared and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    path = f"{(shared or 'file://' + tempfile.mkdtemp(prefix='tessella-')).rstrip('/')}/tessella/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

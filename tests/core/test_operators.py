@@ -77,7 +77,11 @@ def test_music(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(music.ramp(4, F.lit(4.0), F.lit(1.0))) == [4, 2, 2, 1]
     assert one(music.ramp(2, F.lit(4.0), F.lit(1.0))) == [4, 1] and one(music.ramp(1, F.lit(4.0), F.lit(1.0))) == [1]
-    assert one(music.tempo_factor(F.lit(70.0), F.lit(120.0), F.lit(150.0))) == 2.0
+    factor = lambda *x: one(music.tempo_factor(*map(F.lit, x)))
+    assert factor(150.0, 70.0, 100.0) == 2.0 and factor(70.0, 120.0, 150.0) == 0.5 and factor(90.0, 70.0, 100.0) == 1.0 and factor(0.0, 70.0, 100.0) == 1.0
+    assert one(music.tempo_fit(F.lit(150.0), F.lit(70.0), F.lit(100.0))) == 0.85 and one(music.tempo_fit(F.lit(110.0), F.lit(70.0), F.lit(100.0))) == 0.75
+    assert one(music.window_starts(F.lit(8.0), 6, 10.0)) == [0.0] and one(music.window_starts(F.lit(200.0), 1, 10.0)) == [95.0] and one(music.window_starts(F.lit(0.0), 6, 10.0)) == []
+    assert one(music.window_starts(F.lit(100.0), 3, 10.0)) == [10.0, 45.0, 80.0] and one(music.window_starts(F.lit(12.0), 6, 10.0)) == [1.0]
 
 
 def test_text(spark):
@@ -127,3 +131,26 @@ def test_readers(spark, tmp_path):
     lacking = spark.createDataFrame([(1,)], "id int")
     schema = spark.createDataFrame([(1, "x")], "id int, note string").schema
     assert rows(readers.conform(lacking, schema)) == [(1, None)]
+
+
+def test_fullest_span_that_holds_a_row(spark):
+    df = spark.createDataFrame([(0, 1), (30, 1), (70, 1)], "t int, k int")
+    assert {r.t: r.crowd for r in ranks.crowd(df, ["k"], "t", 60).collect()} == {0: 2, 30: 2, 70: 2}
+
+
+def test_keys_of_both_modes_and_flat(spark):
+    from tessella.plans.queries import MAJOR, MINOR
+
+    rotated = lambda p, t: [p[(k - t) % 12] for k in range(12)]
+    songs = {1: rotated(MAJOR, 7), 2: rotated(MINOR, 9), 3: [1.0] * 12}
+    df = spark.createDataFrame([(s, k, v) for s, p in songs.items() for k, v in enumerate(p)], "song int, pc int, v double")
+    got = {r.song: r for r in series.musical_key(df, "song", "pc", "v", MAJOR, MINOR).collect()}
+    assert [(got[s].tonic, got[s].major) for s in (1, 2, 3)] == [(7, True), (9, False), (0, True)]
+    assert got[1].strength == got[2].strength == 1.0 and got[1].majorness > 0.5 > got[2].majorness and (got[3].strength, got[3].majorness) == (0.0, 0.5)
+
+
+def test_boundaries_keep_their_distance(spark):
+    nov = [0.0, 9.0, 1.0, 5.0, 1.0, 4.0, 1.0, 1.0, 6.0, 1.0, 0.5, 8.0]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(nov)], "k int, i int, v double")
+    of = lambda least: sorted(r.i for r in series.boundaries(df, ["k"], "i", "v", least, 0.5).collect())
+    assert of(3) == [0, 3, 8] and of(1) == [0, 1, 3, 8, 11]
