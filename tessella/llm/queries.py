@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe_count, chat, decontam, html_diff, langid, packing, secret_scan, simhash, syncmers, warc
+from tessella.llm import bpe_count, chat, decontam, exact_dedup, html_diff, langid, packing, secret_scan, simhash, syncmers, warc
 from tessella.llm.common import new_path
 
 
@@ -105,12 +105,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.groups_of(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_html_extraction, op2_simhash_near_dedup, op3_syncmer_fingerprints, op4_warc_archives, op5_chat_formatting,
-            op6_benchmark_decontamination, op7_secret_scan, op8_token_counts, op9_language_id, op10_best_fit_packing,
+            op6_benchmark_decontamination, op7_secret_scan, op8_token_counts, op9_language_id, op10_best_fit_packing, op11_exact_dedup,
         )
     }
 
@@ -167,5 +172,12 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+OP11_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_archives": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL}
+    return {"op4_warc_archives": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL, "op11_exact_dedup": OP11_SQL}
