@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe_count, chat, decontam, exact_dedup, html_diff, langid, packing, secret_scan, simhash, syncmers, warc
-from tessella.llm.common import new_path
+from tessella.llm import bpe_count, chat, decontam, exact_dedup, html_diff, langid, packing, prefix_trie, secret_scan, simhash, syncmers, warc
+from tessella.llm.common import new_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,12 +110,18 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie(prefix_trie.rebuilt(written(prefix_trie.sequences(turns), "sequences")))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_html_extraction, op2_simhash_near_dedup, op3_syncmer_fingerprints, op4_warc_archives, op5_chat_formatting,
             op6_benchmark_decontamination, op7_secret_scan, op8_token_counts, op9_language_id, op10_best_fit_packing, op11_exact_dedup,
+            op13_prefix_trie,
         )
     }
 
@@ -179,5 +185,26 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP13_SQL = """
+WITH t AS (SELECT coalesce(conv_id, -9223372036854775808) AS c, turn, left(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS d,
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w FROM conversations),
+o AS (SELECT c, list(d ORDER BY turn NULLS FIRST, d) AS l, list(w ORDER BY turn NULLS FIRST, d) AS ws,
+  xor(4294967295, list_reduce(flatten([[ord(ch), 0, 0, 0, 0, 0, 0, 0] FOR ch IN string_split(CAST(c AS VARCHAR), '')]),
+    lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384), 4294967295)) % 4 AS h FROM t GROUP BY c),
+r AS (SELECT o.c, list_concat(coalesce(b.l[1 : o.h], []), o.l[o.h + 1 :]) AS l, list_concat(coalesce(b.ws[1 : o.h], []), o.ws[o.h + 1 :]) AS ws FROM o LEFT JOIN o b ON b.c = o.c - o.c % 20),
+p AS (SELECT c, l, len(l) AS n, ws, unnest(range(0, len(l) + 1)) AS depth FROM r),
+q AS (SELECT *, sha256(array_to_string(l[1 : depth], '')) AS node, CASE WHEN depth > 0 THEN ws[depth] ELSE 0 END AS w FROM p),
+nodes AS (SELECT node, depth, min(c) AS conv_id, arg_min(l, c) AS l, count(*) AS n_convs, any_value(w) AS w,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = depth), '')) AS ends_sha256 FROM q GROUP BY node, depth),
+parents AS (SELECT *, CASE WHEN depth > 0 THEN sha256(array_to_string(l[1 : depth - 1], '')) END AS parent FROM nodes),
+children AS (SELECT parent AS node, count(*) AS n_children FROM parents WHERE depth > 0 GROUP BY parent),
+up AS (SELECT x.node, coalesce(n_children, 0) AS n_children, (n_convs - 1) * w AS saved, sha256(array_to_string(l[1 : k], '')) AS top
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM parents) x LEFT JOIN children USING (node)),
+sums AS (SELECT top AS node, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM up GROUP BY top)
+SELECT x.conv_id, x.depth, y.conv_id AS parent_conv_id, x.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, x.ends_sha256
+FROM parents x LEFT JOIN parents y ON y.node = x.parent LEFT JOIN children ON children.node = x.node JOIN sums ON sums.node = x.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_archives": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL, "op11_exact_dedup": OP11_SQL}
+    return {"op4_warc_archives": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL, "op11_exact_dedup": OP11_SQL, "op13_prefix_trie": OP13_SQL}
