@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe_count, chat, decontam, exact_dedup, html_diff, langid, packing, prefix_trie, secret_scan, simhash, syncmers, warc
+from tessella.llm import bpe_count, chat, decontam, exact_dedup, hard_negatives, html_diff, langid, packing, prefix_trie, secret_scan, simhash, syncmers, warc
 from tessella.llm.common import new_path, written
 
 
@@ -110,6 +110,13 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    items = e.select(F.col("vec_id").alias("id"), label.alias("label"), hard_negatives.whole_vectors(e).alias("v"))
+    return hard_negatives.mine(items, F.col("id") % 100 == 0)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return prefix_trie.trie(prefix_trie.rebuilt(written(prefix_trie.sequences(turns), "sequences")))
@@ -121,7 +128,7 @@ def queries() -> dict:
         for f in (
             op1_html_extraction, op2_simhash_near_dedup, op3_syncmer_fingerprints, op4_warc_archives, op5_chat_formatting,
             op6_benchmark_decontamination, op7_secret_scan, op8_token_counts, op9_language_id, op10_best_fit_packing, op11_exact_dedup,
-            op13_prefix_trie,
+            op12_hard_negatives, op13_prefix_trie,
         )
     }
 
@@ -185,6 +192,15 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP12_SQL = """
+WITH u AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+v AS (SELECT id, label, [floor(256 * x) FOR x IN e] AS e FROM u WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.id AS a, v.id, a.label = v.label AS same, CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score FROM v a, v WHERE a.id % 100 = 0),
+p AS (SELECT a, id, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS k FROM s WHERE same AND id <> a) WHERE k <= 5),
+n AS (SELECT p.a, p.id AS positive, s.id, p.score AS ps, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.id ORDER BY s.score DESC, s.id) AS k
+  FROM p JOIN s ON s.a = p.a AND NOT same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT a AS anchor_id, positive AS positive_id, CAST(k AS INT) AS rank, id AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE k <= 5
+"""
 OP13_SQL = """
 WITH t AS (SELECT coalesce(conv_id, -9223372036854775808) AS c, turn, left(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS d,
   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w FROM conversations),
@@ -207,4 +223,4 @@ FROM parents x LEFT JOIN parents y ON y.node = x.parent LEFT JOIN children ON ch
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_archives": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL, "op11_exact_dedup": OP11_SQL, "op13_prefix_trie": OP13_SQL}
+    return {"op4_warc_archives": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL, "op11_exact_dedup": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_prefix_trie": OP13_SQL}
