@@ -590,12 +590,12 @@ def ramp(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(steps, lambda x: x.cast("string")), ",").alias("steps"))
 
 
-@query("timing_map", "WITH g AS (SELECT unnest(range(0, 121)) / 10.0 AS t) SELECT CAST(t AS DOUBLE) AS t, round(least(t, 2.0) * 1.0 + greatest(0, least(t, 5.0) - 2.0) * 0.5 + greatest(0, t - 5.0) * 2.0, 6) AS source, CAST(t AS DOUBLE) AS back FROM g")
+@query("timing_map", "WITH g AS (SELECT p_partkey, p_retailprice * 0.01::DOUBLE AS t, 0.25::DOUBLE * (1 + p_size % 8) AS v FROM part) SELECT p_partkey, round(least(t, 2.0::DOUBLE) + greatest(0, least(t, 5.0::DOUBLE) - 2.0::DOUBLE) * v + greatest(0, t - 5.0::DOUBLE) * 2.0::DOUBLE, 6) AS source, round(t, 6) AS back FROM g")
 def timing_map(spark, sf):
-    pieces = F.array(*[F.struct(F.lit(u).alias("until"), F.lit(v).alias("speed")) for u, v in ((2.0, 1.0), (5.0, 0.5), (8.0, 2.0))])
-    g = spark.range(0, 121, 1, 1).select((F.col("id") / 10.0).alias("t"))
-    there = g.withColumn("x", music.source_offset(F.col("t"), pieces))
-    return there.select("t", F.round("x", 6).alias("source"), F.round(music.edit_offset(F.col("x"), pieces), 6).alias("back"))
+    p = table(spark, sf, "part").select("p_partkey", (F.col("p_retailprice") * F.lit(0.01)).alias("t"), (F.lit(0.25) * (1 + F.col("p_size") % 8)).alias("v"))
+    pieces = F.array(*[F.struct(F.lit(u).alias("until"), v.alias("speed")) for u, v in ((2.0, F.lit(1.0)), (5.0, F.col("v")), (8.0, F.lit(2.0)))])
+    there = p.withColumn("x", music.source_offset(F.col("t"), pieces))
+    return there.select("p_partkey", F.round("x", 6).alias("source"), F.round(music.edit_offset(F.col("x"), pieces), 6).alias("back"))
 
 
 @query("window_starts", "SELECT p_partkey, array_to_string(CASE WHEN d <= 10 THEN [0.0::DOUBLE] WHEN d * 0.9::DOUBLE - 10 <= d * 0.1::DOUBLE THEN [(d - 10) / 2] ELSE [round(d * 0.1::DOUBLE + (d * 0.9::DOUBLE - 10 - d * 0.1::DOUBLE) * k / 5.0::DOUBLE, 3) FOR k IN range(0, 6)] END, ',') AS starts FROM (SELECT p_partkey, p_size * 8.0::DOUBLE AS d FROM part)")
@@ -604,12 +604,13 @@ def window_starts(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(starts, lambda x: x.cast("string")), ",").alias("starts"))
 
 
-@query("lut_grid", "WITH g AS (SELECT i, (i % 17) / 16.0 * 1.015 AS r, (i // 17 % 17) / 16.0 * 1.003 AS g, (i // 289) / 16.0 * 0.985 AS b FROM (SELECT unnest(range(0, 4913)) AS i)), l AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS y FROM g) SELECT i, round(greatest(0, least(1, 0.02 + greatest(0, least(1, ((y + (r - y) * 0.8) - 0.5) * 1.2 + 0.5)) * 0.98)), 6) AS red, round(greatest(0, least(1, 0.02 + greatest(0, least(1, ((y + (g - y) * 0.8) - 0.5) * 1.2 + 0.5)) * 0.98)), 6) AS green, round(greatest(0, least(1, 0.02 + greatest(0, least(1, ((y + (b - y) * 0.8) - 0.5) * 1.2 + 0.5)) * 0.98)), 6) AS blue FROM l")
+@query("lut_grid", "WITH c AS (SELECT p_partkey, (p_partkey % 17) / 16.0::DOUBLE * 1.015::DOUBLE AS r, (p_size % 17) / 16.0::DOUBLE * 1.003::DOUBLE AS g, (p_partkey // 17 % 17) / 16.0::DOUBLE * 0.985::DOUBLE AS b FROM part), l AS (SELECT *, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS y FROM c) SELECT p_partkey, round(greatest(0, least(1, 0.02::DOUBLE + greatest(0, least(1, ((y + (r - y) * 0.8::DOUBLE) - 0.5::DOUBLE) * 1.2::DOUBLE + 0.5::DOUBLE)) * 0.98::DOUBLE)), 6) AS red, round(greatest(0, least(1, 0.02::DOUBLE + greatest(0, least(1, ((y + (g - y) * 0.8::DOUBLE) - 0.5::DOUBLE) * 1.2::DOUBLE + 0.5::DOUBLE)) * 0.98::DOUBLE)), 6) AS green, round(greatest(0, least(1, 0.02::DOUBLE + greatest(0, least(1, ((y + (b - y) * 0.8::DOUBLE) - 0.5::DOUBLE) * 1.2::DOUBLE + 0.5::DOUBLE)) * 0.98::DOUBLE)), 6) AS blue FROM l")
 def lut_grid(spark, sf):
-    i = F.col("id")
-    g = [(i % 17) / 16.0, (F.floor(i / 17) % 17) / 16.0, F.floor(i / 289) / 16.0]
-    out = music.apply_look(*g, warmth=0.1, saturation=0.8, contrast=1.2, lift=0.02)
-    return spark.range(0, 4913, 1, 1).select(i.alias("i"), *[F.round(c, 6).alias(n) for c, n in zip(out, ("red", "green", "blue"))])
+    """The colour of each part, taken from a grid of 17 steps a channel, graded by one look."""
+    step = lambda c: c % 17 / 16.0
+    colours = [step(F.col("p_partkey")), step(F.col("p_size")), step(F.floor(F.col("p_partkey") / 17))]
+    out = music.apply_look(*colours, warmth=0.1, saturation=0.8, contrast=1.2, lift=0.02)
+    return table(spark, sf, "part").select("p_partkey", *[F.round(c, 6).alias(n) for c, n in zip(out, ("red", "green", "blue"))])
 
 
 @query("name_score", "SELECT p_partkey, CASE WHEN p_name = 'red widget' THEN 3 WHEN list_has_all(string_split(p_name, ' '), ['red', 'widget']) THEN 2 WHEN contains(p_name, 'red widget') THEN 1 ELSE 0 END AS full_score, CASE WHEN p_name = 'ring' THEN 3 WHEN list_contains(string_split(p_name, ' '), 'ring') THEN 2 WHEN contains(p_name, 'ring') THEN 1 ELSE 0 END AS part_score FROM part")
@@ -623,11 +624,6 @@ def normalize_name(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.normalize_name("text").alias("name"))
 
 
-@query("normalize_name_whole")
-def normalize_name_whole(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.normalize_name("text").alias("name"))
-
-
 @query("title_score")
 def title_score(spark, sf):
     p = table(spark, sf, "part")
@@ -639,11 +635,6 @@ def split_genres(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(text.split_names(F.col("text")), "|").alias("parts"))
 
 
-@query("split_genres_whole")
-def split_genres_whole(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(text.split_names(F.col("text")), "|").alias("parts"))
-
-
 @query("slugs", "SELECT page_id, coalesce(nullif(replace(trim(regexp_replace(lower(strip_accents(url)), '[^a-z0-9]+', ' ', 'g')), ' ', '_'), ''), 'untitled') AS slug FROM pages")
 def slugs(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.slug(F.col("url")).alias("slug"))
