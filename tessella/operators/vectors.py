@@ -1,7 +1,7 @@
 """Vectors as array columns: normalising, similarity to a small set of references, classification.
 
 The references (prompts, prototypes, characters) are few and fixed; their
-count is checked before they are broadcast.
+count is checked before they go to every task.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tessella.session import written
 
-#: More references than this are joined without a broadcast.
-BROADCAST_ROWS = 10_000
+#: References at most; they travel as one value.
+MOST_REFERENCES = 10_000
 
 
 def doubles(v: Column) -> Column:
@@ -33,12 +33,17 @@ def normalize(v: Column) -> Column:
 
 
 def similarities(vectors: DataFrame, references: DataFrame, key: str = "vec_id", vector: str = "embedding", ref: str = "ref", ref_vector: str = "ref_embedding") -> DataFrame:
-    """``key``, the columns of ``references`` but its vector, and ``sim`` (cosine) for each vector and reference."""
+    """``key``, the columns of ``references`` but its vector, and ``sim`` (cosine) for each vector and reference.
+
+    The references go to every task as one array, so nothing is joined. More
+    than ``MOST_REFERENCES`` of them are an error.
+    """
     unit = vectors.select(key, normalize(F.col(vector)).alias("_v"))
     refs = references.withColumn("_r", normalize(F.col(ref_vector))).drop(ref_vector)
-    if refs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        refs = F.broadcast(refs)
-    return unit.join(refs).withColumn("sim", dot(F.col("_v"), F.col("_r"))).drop("_v", "_r")
+    if refs.limit(MOST_REFERENCES + 1).count() > MOST_REFERENCES:
+        raise ValueError(f"more than {MOST_REFERENCES} references")
+    listed = refs.agg(F.collect_list(F.struct("*"))).scalar()
+    return unit.select("*", F.inline(listed)).withColumn("sim", dot(F.col("_v"), F.col("_r"))).drop("_v", "_r")
 
 
 def confidence(sims: DataFrame, key: str, ref: str, scale: float = 50.0) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.operators import song
+from tessella.operators import clips, matching, media, song
 from tessella.plans.queries import HOUR, SPANS, query, spans
+from tessella.sources.readers import table
 
 STEP, LENGTH, MIN_SLOT = 6 * HOUR, 12 * 24 * HOUR, HOUR
 RULES = song.CutRules(shortest=2 * HOUR)
@@ -156,3 +157,132 @@ def song_slots(spark, sf):
 @query("song_slot_summary", f"{WALKED} SELECT axis, section, count(*) AS n, round(sum(\"end\" - start) / count(*), 3) AS mean, min(slot_no) AS first FROM slots GROUP BY axis, section")
 def song_slot_summary(spark, sf):
     return song.slot_summary(slots_of(spark, sf), "axis").withColumn("mean", F.round("mean", 3))
+
+
+# Shared segments ---------------------------------------------------------------------------------------------------------------
+HALF_DAY, ALIKE = 12 * HOUR, 0.73
+KINDS = ("view", "click", "purchase", "signup", "error")
+
+
+def frames_of(spark, sf):
+    """Every user as a series of half days, each a vector of how often each kind of event happened."""
+    s = spans(spark, sf)
+    i = (F.expr(f"s div {HALF_DAY}") - F.min(F.expr(f"s div {HALF_DAY}")).over(Window.partitionBy("axis"))).alias("i")
+    count = [F.count_if(F.col("event_type") == k) for k in KINDS]
+    return s.select("axis", i, "event_type").groupBy(F.col("axis").alias("series"), "i").agg(F.array(*[c.cast("double") for c in count]).alias("v"))
+
+
+@query(
+    "shared_segments",
+    f"""WITH {SPANS}, f AS (SELECT axis, i, {', '.join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in KINDS)} FROM
+  (SELECT axis, s // {HALF_DAY} - min(s // {HALF_DAY}) OVER (PARTITION BY axis) AS i, event_type FROM spans) GROUP BY axis, i),
+m AS (SELECT a.axis AS a, b.axis AS b, b.i - a.i AS k, a.i FROM f a JOIN f b ON b.axis - a.axis IN (1, 2, 3)
+  WHERE ({' + '.join(f'a.{k} * b.{k}' for k in KINDS)}) / sqrt(({' + '.join(f'a.{k} * a.{k}' for k in KINDS)}) * ({' + '.join(f'b.{k} * b.{k}' for k in KINDS)})) >= {ALIKE}),
+c AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY a, b, k) AS hits FROM m) WHERE hits >= 8 * 0.5),
+g AS (SELECT *, CASE WHEN i - lag(i) OVER w > 3 THEN 1 ELSE 0 END AS fresh FROM c WINDOW w AS (PARTITION BY a, b, k ORDER BY i)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY a, b, k ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM g),
+runs AS (SELECT a, b, k, min(i) AS first, max(i) - min(i) + 1 AS length, count(*) AS n FROM r GROUP BY a, b, k, run),
+longest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b, k ORDER BY length DESC, first) AS pos FROM runs) WHERE pos = 1 AND length BETWEEN 8 AND 40 AND n / length >= 0.5)
+SELECT a, b, first AS start_a, first + k AS start_b, length, round(n / length, 6) AS coverage FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY length DESC, k) AS best FROM longest) WHERE best = 1""",
+)
+def shared_segments(spark, sf):
+    """Each user against the three next ones, as an episode against the nearest others."""
+    frames = frames_of(spark, sf)
+    users = frames.select(F.col("series").alias("a")).distinct()
+    pairs = users.select("a", F.explode(F.array(*[F.col("a") + d for d in (1, 2, 3)])).alias("b")).join(users.select(F.col("a").alias("b")), "b")
+    return matching.shared_segments(frames, pairs, ALIKE, 8, 40, 2, 0.5).withColumn("coverage", F.round("coverage", 6))
+
+
+# Clips ---------------------------------------------------------------------------------------------------------------------------
+HOURS = f"""{SPANS}, counted AS (SELECT axis, s // {HOUR} - min(s // {HOUR}) OVER (PARTITION BY axis) AS i, CAST(floor(value) AS BIGINT) AS v FROM spans),
+sizes AS (SELECT axis, max(i) AS n FROM counted GROUP BY axis),
+curve AS (SELECT x.axis, x.i, coalesce(v, 0) AS value FROM (SELECT axis, unnest(range(0, n + 1)) AS i FROM sizes) x LEFT JOIN (SELECT axis, i, CAST(sum(v) AS BIGINT) AS v FROM counted GROUP BY ALL) y ON x.axis = y.axis AND x.i = y.i),
+cl AS (SELECT axis, seg, s - (min(s // {HOUR}) OVER (PARTITION BY axis)) * {HOUR} AS a, e - (min(s // {HOUR}) OVER (PARTITION BY axis)) * {HOUR} AS z FROM spans)"""
+
+
+def hours_of(spark, sf):
+    """An hourly curve for each user, 0 where nothing happens, and the user's events as clips on it."""
+    zero = F.min(F.expr(f"s div {HOUR}")).over(Window.partitionBy("axis"))
+    s = spans(spark, sf).withColumn("zero", zero)
+    counted = s.groupBy("axis", (F.expr(f"s div {HOUR}") - F.col("zero")).alias("i")).agg(F.sum(F.floor("value")).alias("value"))
+    dense = counted.groupBy("axis").agg(F.max("i").alias("n")).select("axis", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("i"))
+    own = s.select("axis", "seg", (F.col("s") - F.col("zero") * HOUR).alias("start"), (F.col("e") - F.col("zero") * HOUR).alias("end"))
+    return dense.join(counted, ["axis", "i"], "left").select("axis", "i", F.coalesce("value", F.lit(0).cast("long")).alias("value")), own
+
+
+@query(
+    "clip_motion",
+    f"""WITH {HOURS}, f AS (SELECT axis, seg, (a + {HOUR - 1}) // {HOUR} AS f0, least(n, z // {HOUR}) AS l0, (a + {3 * HOUR - 1}) // {HOUR} AS f1, least(least(n, z // {HOUR}), (z - {2 * HOUR}) // {HOUR}) AS l1 FROM cl JOIN sizes USING (axis)),
+g AS (SELECT axis, seg, CASE WHEN l1 - f1 >= 1 THEN f1 ELSE f0 END AS a, CASE WHEN l1 - f1 >= 1 THEN l1 ELSE l0 END AS z FROM f WHERE f0 <= l0),
+v AS (SELECT g.axis, seg, c.i, value, sum(value) OVER (PARTITION BY g.axis, seg ORDER BY c.i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS around, count(*) OVER (PARTITION BY g.axis, seg) AS n FROM g JOIN curve c ON c.axis = g.axis AND c.i BETWEEN a AND z),
+h AS (SELECT *, CASE WHEN n >= 3 THEN around ELSE value END AS height FROM v)
+SELECT axis, seg, round(avg(value), 4) AS motion, arg_max(i, (height, -i)) * {HOUR} AS peak FROM h GROUP BY axis, seg""",
+)
+def clip_motion(spark, sf):
+    curve, own = hours_of(spark, sf)
+    return clips.clip_motion(own, curve, "axis", "seg", HOUR, edge=2 * HOUR, smooth=3)
+
+
+FRAMES = f"""c AS (SELECT axis, seg, a / {HOUR}.0::DOUBLE AS a, z / {HOUR}.0::DOUBLE AS z FROM cl), n AS (SELECT *, (z - 0.5::DOUBLE) - (a + 0.5::DOUBLE) AS inside, CAST(least(3, floor((z - a) / 2.0::DOUBLE) + 1) AS INT) AS k FROM c),
+t AS (SELECT axis, seg, CASE WHEN inside < 0.25 THEN [(a + z) / 2] ELSE [(a + 0.5::DOUBLE) + (x + 0.5::DOUBLE) * (inside / k) FOR x IN range(0, k)] END AS times FROM n),
+f AS (SELECT axis, seg, [CAST(round_even(x * 4.0::DOUBLE, 0) AS BIGINT) FOR x IN times] AS all_frames FROM t),
+d AS (SELECT axis, seg, list_sort(list_distinct(all_frames)) AS fs FROM f)"""
+
+
+@query("plan_frames", f"WITH {HOURS}, {FRAMES} SELECT axis, seg, unnest(fs) AS frame, unnest([x = fs[len(fs) // 2 + 1] FOR x IN fs]) AS thumbnail FROM d")
+def plan_frames(spark, sf):
+    return frames_planned(spark, sf)
+
+
+def frames_planned(spark, sf):
+    own = hours_of(spark, sf)[1]
+    in_hours = own.select("axis", "seg", (F.col("start") / float(HOUR)).alias("start"), (F.col("end") / float(HOUR)).alias("end"))
+    return clips.plan_frames(in_hours, "axis", "seg", 4.0, 0.5, 2.0, 3)
+
+
+@query("frame_owners", f"WITH {HOURS}, {FRAMES}, p AS (SELECT axis, seg, unnest(fs) AS frame, unnest([x = fs[len(fs) // 2 + 1] FOR x IN fs]) AS thumbnail FROM d) SELECT axis, frame, string_agg(seg || CASE WHEN thumbnail THEN '*' ELSE '' END, ',' ORDER BY seg) AS owners FROM p GROUP BY axis, frame")
+def frame_owners(spark, sf):
+    o = clips.frame_owners(frames_planned(spark, sf), "axis", "seg")
+    return o.withColumn("owners", F.array_join(F.transform("owners", lambda x: F.concat(x["seg"].cast("string"), F.when(x["thumbnail"], "*").otherwise(""))), ","))
+
+
+# Media ---------------------------------------------------------------------------------------------------------------------------
+def payloads(spark, sf):
+    """Every part as a media entry in JSON: a prequel, and a sequel some parts on that may be of another kind."""
+    edge = lambda kind, to, type_, format_: F.struct(F.lit(kind).alias("relationType"), F.struct(to.alias("id"), type_.alias("type"), format_.alias("format")).alias("node"))
+    size, key = F.col("p_size"), F.col("p_partkey")
+    season = F.when(size % 9 == 0, "MOVIE").otherwise("TV")
+    edges = F.array(
+        edge("PREQUEL", key - 1, F.lit("ANIME"), F.lit("TV")), edge("SEQUEL", key + 3, F.when(size % 7 == 0, "MANGA").otherwise("ANIME"), season), edge("SEQUEL", key + 1 + size % 5, F.lit("ANIME"), F.lit("ONA"))
+    )
+    media_ = F.struct(
+        key.alias("id"), (key * 2).alias("idMal"), F.when(size % 4 == 0, "MOVIE").otherwise("TV").alias("format"), F.struct(F.col("p_type").alias("romaji"), F.when(size % 3 == 0, F.lit("")).otherwise(F.col("p_name")).alias("english")).alias("title"),
+        F.array(F.col("p_brand")).alias("synonyms"), F.struct(edges.alias("edges")).alias("relations"),
+    )
+    return table(spark, sf, "part").select(F.col("p_brand").alias("search"), (F.col("p_retailprice") % 100 / 100).alias("score"), F.to_json(media_).alias("payload"))
+
+
+SEQUEL = "CASE WHEN p_size % 7 <> 0 AND p_size % 9 <> 0 THEN p_partkey + 3 ELSE p_partkey + 1 + p_size % 5 END"
+
+
+@query("parse_media", f"SELECT p_partkey AS id, p_partkey * 2 AS mal_id, CASE WHEN p_size % 3 = 0 THEN p_type ELSE p_name END AS title, CASE WHEN p_size % 3 = 0 THEN 2 ELSE 3 END AS titles, {SEQUEL} AS sequel_id FROM part")
+def parse_media(spark, sf):
+    m = payloads(spark, sf).select(media.parse_media(F.col("payload")).alias("m"))
+    return m.select("m.id", "m.mal_id", "m.title", F.size("m.titles").alias("titles"), "m.sequel_id")
+
+
+@query(
+    "season_of",
+    f"""WITH RECURSIVE c AS (SELECT p_brand AS search, p_partkey AS id, p_retailprice % 100 / 100 AS score FROM part WHERE p_size % 4 <> 0),
+best AS (SELECT search, arg_min(id, (-score, id)) AS first, max(score) AS score FROM c GROUP BY search),
+asked AS (SELECT search, number, first FROM (SELECT search, first, unnest(range(1, 41)) AS number FROM best WHERE score >= 0.75)),
+links AS (SELECT p_partkey AS id, {SEQUEL} AS next FROM part),
+walk AS (SELECT search, number, first, first AS here, 1 AS step FROM asked UNION ALL SELECT search, number, first, next, step + 1 FROM walk JOIN links ON id = here WHERE step < number)
+SELECT a.search, a.number, a.first, w.here AS found FROM asked a LEFT JOIN walk w ON w.search = a.search AND w.number = a.number AND w.step = a.number""",
+)
+def season_of(spark, sf):
+    """Seasons 1 to 40 of the best match of each brand."""
+    m = payloads(spark, sf).select("search", "score", media.parse_media(F.col("payload")).alias("m")).select("search", "score", "m.id", "m.format", "m.sequel_id")
+    searches = m.select("search").distinct().select("search", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(40).cast("long"))).alias("number"))
+    candidates = m.where(F.col("format").isin(*media.SEASON_FORMATS)).select("search", "id", "score", F.col("id").alias("place"))
+    return media.season_of(searches, candidates, m.select("id", F.col("sequel_id").alias("next")))
