@@ -2,8 +2,8 @@
 
 The assignment is a fold: each choice depends on those before. It runs once
 for each edit in ``applyInPandas``, many edits side by side, over all clips of
-the edit as numpy columns; everything that does not depend on earlier choices
-is a column before that. All clips of one edit have to fit one task.
+the edit's season as numpy columns; everything that does not depend on earlier
+choices is a column before that. The clips of one season have to fit one task.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.music import source_offset
+
 PLAN = "edit_id long, slot_no int, clip_id long, episode int, source_start double, aligned boolean, score double, crowd int"
 
 
@@ -47,72 +49,123 @@ def align_start(start: float, end: float, peak: float | None, length: float, hit
     return min(max(peak - (hits[0] if hits else 0.0), start), latest), False
 
 
+def fullest_span(times: np.ndarray, at: float, window: float) -> int:
+    """How many of ``times`` and ``at`` itself lie in the fullest span of length ``window`` that holds ``at``. Some fullest span begins at one of them."""
+    near = np.sort(np.append(times[np.abs(times - at) <= window], at))
+    begins = near[near <= at]
+    return int((np.searchsorted(near, begins + window, side="right") - np.searchsorted(near, begins)).max())
+
+
+class _Edit:
+    """What the choices of one edit share: the clips as columns, and what was chosen so far."""
+
+    def __init__(self, clips: pd.DataFrame, slots: int, settings: dict):
+        c = clips.sort_values("clip_id", kind="stable")
+        self.s, self.slots = settings, slots
+        self.ids = c["clip_id"].to_numpy(np.int64)
+        self.start, self.end, self.peak, self.rank, self.static = (c[k].to_numpy(float) for k in ("start", "end", "peak", "motion_rank", "static"))
+        self.tier, self.in_pool = c["tier"].fillna(0).to_numpy(int), c["in_pool"].fillna(False).to_numpy(bool)
+        self.cast = [frozenset(x) if x is not None else frozenset() for x in c["characters"]]
+        self.known = c["episode"].notna().to_numpy()
+        self.episode = c["episode"].fillna(0).to_numpy(np.int64)
+        self.episodes = len({*self.episode[self.known].tolist()})
+        # The place of each clip in the season, by episode and time.
+        self.place = np.empty(len(c), np.int64)
+        self.place[np.lexsort((self.start, self.episode))] = np.arange(len(c))
+        self.free, self.crowd, self.chosen = np.ones(len(c), bool), np.ones(len(c), np.int64), []
+
+    def fitting(self, length: float) -> np.ndarray:
+        """Clips that are long enough, unused ones if there are; else the longest."""
+        fit = np.flatnonzero(self.end - self.start >= length - 1e-6)
+        fresh = fit[self.free[fit]]
+        return fresh if len(fresh) else fit if len(fit) else np.array([np.argmax(self.end - self.start)])
+
+    def in_story(self, pool: np.ndarray, number: int) -> np.ndarray:
+        """Clips behind the last one, as far ahead as the slot is in the edit and two slots more; enough of them stay for the slots to come."""
+        last = self.place[self.chosen[-1]] if self.chosen else -1
+        ahead = pool[self.place[pool] > last]
+        ahead = ahead[np.argsort(self.place[ahead])]
+        ahead = ahead[: max(1, len(ahead) - (self.slots - number - 1))]
+        near = ahead[self.place[ahead] * max(1, self.slots) < (number + 2) * len(self.ids)]
+        return next((p for p in (near, ahead) if len(p)), pool)
+
+    def repeated(self) -> frozenset:
+        """Characters of every one of the last clips."""
+        n = self.s["same_character"]
+        return frozenset.intersection(*[self.cast[i] for i in self.chosen[-n:]]) if 0 < n <= len(self.chosen) else frozenset()
+
+    def narrowed(self, pool: np.ndarray, slot: dict, number: int, story: bool) -> np.ndarray:
+        """The pool after all wishes in order; one that would leave nothing is passed over."""
+
+        def wish(pool: np.ndarray, test: np.ndarray) -> np.ndarray:
+            return pool[test] if test.any() else pool
+
+        if story:
+            pool = self.in_story(pool, number)
+        best = self.tier[pool].max()
+        pool = wish(pool, self.tier[pool] >= best) if best > 0 else pool
+        pool = wish(pool, self.in_pool[pool])
+        if self.s["crowd"] > 0:
+            pool = pool[self.crowd[pool] <= max(self.s["crowd"], self.crowd[pool].min())]
+        tail = self.chosen[-self.s["run"] :] if self.s["run"] > 0 and not story else []
+        if tail and len(tail) == self.s["run"] and self.known[tail].all() and len({*self.episode[tail].tolist()}) == 1:
+            pool = wish(pool, (self.episode[pool] != self.episode[tail[0]]) | ~self.known[pool])
+        again = self.repeated() - frozenset(self.s["characters"])
+        if again:
+            pool = wish(pool, np.array([not self.cast[i] & again for i in pool]))
+        latest = self.end[pool] - slot["need"]
+        fits = np.zeros(len(pool), bool)
+        for h in slot["hits"]:
+            at = self.peak[pool] - h
+            fits |= (self.start[pool] - 1e-6 <= at) & (at <= latest + 1e-6)
+        return wish(pool, fits)
+
+    def scores(self, pool: np.ndarray, intensity: float) -> np.ndarray:
+        s, own, known = self.s, self.episode[pool], self.known[pool]
+        recent, before = self.chosen[-s["repeat"] :] if s["repeat"] > 0 else [], self.chosen
+        share = lambda among: np.array([np.sum(self.episode[among][self.known[among]] == e) for e in own]) if len(among) else np.zeros(len(own))
+        repeat = np.where(known, share(recent) / max(1, len(recent)), 0.0)
+        fair = len(before) / max(1, self.episodes)
+        over = np.clip((share(before) - fair) / (fair + 1), 0.0, 1.0) * (known & (self.episodes > 1) & (len(before) > 0))
+        rank = np.nan_to_num(self.rank[pool], nan=0.5)
+        return np.round(np.nan_to_num(self.static[pool]) + s["energy"] * (1 - np.abs(rank - intensity)) - s["w_repeat"] * repeat - s["w_overuse"] * over, 4)
+
+    def take(self, i: int) -> int:
+        """Marks a clip as used; how full the fullest span around it is with it."""
+        crowd = int(self.crowd[i])
+        self.chosen.append(int(i))
+        self.free[i] = False
+        own = [k for k in self.chosen if self.episode[k] == self.episode[i] and self.known[k] == self.known[i]]
+        times = self.start[own]
+        for k in np.flatnonzero((self.episode == self.episode[i]) & (self.known == self.known[i]) & (np.abs(self.start - self.start[i]) <= self.s["window"])):
+            self.crowd[k] = fullest_span(times, self.start[k], self.s["window"])
+        return crowd
+
+
 def _fold(mode: str, settings: dict):
     def plan(key: tuple, slots: pd.DataFrame, clips: pd.DataFrame) -> pd.DataFrame:
-        edit = int(key[0])
-        rng = random.Random(settings["seed"] + edit)
-        clips = clips.sort_values("clip_id", kind="stable")
-        ids, start, end, peak, rank, static, position = (clips[c].to_numpy(float if c != "clip_id" else np.int64) for c in ("clip_id", "start", "end", "peak", "motion_rank", "static", "position"))
-        wanted, in_pool = (clips[c].fillna(False).to_numpy(bool) for c in ("wanted", "in_pool"))
-        names, episode = np.unique(clips["episode"].to_numpy(np.int64), return_inverse=True)
-        free, crowd = np.ones(len(ids), bool), np.zeros(len(ids), np.int64)
-        taken = np.zeros(len(names), np.int64)
-        episodes: list[int] = []
-        out = []
-        ordered = slots.sort_values("slot_no").to_dict("records")
-
-        def narrow(pool: np.ndarray, test: np.ndarray) -> np.ndarray:
-            kept = pool[test]
-            return kept if len(kept) else pool
-
+        edit, rng, out = int(key[0]), random.Random(settings["seed"] + int(key[0])), []
+        ordered = slots.sort_values("slot_no").to_dict("records") if len(clips) else []
+        state = _Edit(clips, len(ordered), settings) if ordered else None
         for number, slot in enumerate(ordered):
-            length = slot["end"] - slot["start"]
-            pool = np.flatnonzero(end - start >= length - 1e-6)
-            if not len(pool):
-                pool = np.array([np.argmax(end - start)]) if len(ids) else pool
-            if not len(pool):
-                break
-            pool = narrow(pool, free[pool])
-            if mode == "story" and out:
-                last, at = episodes[-1], out[-1][4]
-                place = number / max(1, len(ordered) - 1)
-                pool = narrow(pool, (episode[pool] > last) | (episode[pool] == last) & (start[pool] > at))
-                pool = narrow(pool, np.abs(position[pool] - place) <= 0.15)
-            hits = [float(h) for h in slot["hits"]]
-            placed = lambda i: align_start(float(start[i]), float(end[i]), None if np.isnan(peak[i]) else float(peak[i]), length, hits)
-            if mode != "random":
-                pool = narrow(pool, wanted[pool])
-                pool = narrow(pool, in_pool[pool])
-                pool = pool[crowd[pool] < max(settings["crowd"], crowd[pool].min() + 1)]
-                tail = episodes[-settings["run"] :]
-                if len(tail) == settings["run"] and len({*tail}) == 1:
-                    pool = narrow(pool, episode[pool] != tail[0])
-                latest = np.maximum(start[pool], end[pool] - length)
-                fits = [(start[pool] - 1e-6 <= peak[pool] - h) & (peak[pool] - h <= latest + 1e-6) for h in hits]
-                pool = narrow(pool, np.any(fits, axis=0) if fits else np.zeros(len(pool), bool))
-                recent = np.bincount(episodes[-settings["repeat"] :], minlength=len(names)) if episodes else taken
-                fair = len(out) / max(1, len(names))
-                own = episode[pool]
-                total = (
-                    static[pool] - settings["energy"] * np.abs(rank[pool] - slot["intensity"]) - settings["w_repeat"] * recent[own] / settings["repeat"]
-                    - settings["w_overuse"] * np.minimum(1.0, np.maximum(0.0, (taken[own] - fair) / (fair + 1)))
-                )
-                total = np.where(np.isnan(total), -np.inf, total)
-                top = min(settings["top"], len(pool))
-                near = total >= np.partition(total, len(total) - top)[len(total) - top] - 1e-8  # more than rounding moves
-                best = sorted((-round(float(t), 9), int(ids[i]), i) for t, i in zip(total[near], pool[near]))[:top]
-                score, _, pick = rng.choice(best)
-                at, aligned = placed(pick)
-                score = -score
+            length, hits = float(slot["need"]), [float(h) for h in slot["hits"]]
+            pool = state.fitting(length)
+            if mode == "random":
+                i, score = int(rng.choice(pool)), 0.0
+                at, aligned = state.start[i] + rng.uniform(0.0, max(0.0, state.end[i] - state.start[i] - length)), False
             else:
-                pick = rng.choice(pool)
-                at, aligned, score = start[pick] + rng.random() * max(0.0, end[pick] - start[pick] - length), False, 0.0
-            out.append((edit, int(slot["slot_no"]), int(ids[pick]), int(names[episode[pick]]), float(at), bool(aligned), float(score), int(crowd[pick]) + 1))
-            free[pick] = False
-            crowd += (episode == episode[pick]) & (np.abs(start[pick] - start) <= settings["window"])
-            episodes.append(int(episode[pick]))
-            taken[episode[pick]] += 1
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PLAN.split(", ")])
+                pool = state.narrowed(pool, {"need": length, "hits": hits}, number, mode == "story")
+                total = state.scores(pool, float(slot["intensity"]))
+                best = np.lexsort((state.ids[pool], -total))[: max(1, settings["top"])]
+                pick = rng.choice(best.tolist())
+                i, score = int(pool[pick]), float(total[pick])
+                peak = None if np.isnan(state.peak[i]) else float(state.peak[i])
+                at, aligned = align_start(float(state.start[i]), float(state.end[i]), peak, length, hits)
+            crowd = state.take(i)
+            episode = int(state.episode[i]) if state.known[i] else None
+            out.append((edit, int(slot["slot_no"]), int(state.ids[i]), episode, float(at), bool(aligned), score, crowd))
+        made = pd.DataFrame(out, columns=[c.split()[0] for c in PLAN.split(", ")])
+        return made.astype({"episode": "Int32"})
 
     return plan
 
@@ -120,12 +173,27 @@ def _fold(mode: str, settings: dict):
 def assign(slots: DataFrame, clips: DataFrame, mode: str = "beats", **settings) -> DataFrame:
     """A clip for each slot of each edit.
 
-    ``slots``: edit_id, slot_no, start, end, intensity, hits. ``clips``:
-    edit_id, clip_id, episode, start, end, peak, motion_rank, static, wanted,
-    in_pool, position. Every wish narrows the pool only if something is left:
-    unused, in story order (``mode`` story), wanted characters, style pool,
-    uncrowded, no third of one episode in a row, alignable; then one of the
-    ``top`` best by score. ``mode`` random takes any that fits.
+    ``slots``: edit_id, slot_no, start, end, intensity, hits, and ``pieces``
+    (array<struct<until, speed>>) where slots run slower or faster. ``clips``:
+    edit_id, clip_id, episode, start, end, peak, motion_rank, ``static`` (the
+    weighted parts of the score that no choice changes), ``tier`` (2 with all
+    wanted characters, 1 with some, else 0), in_pool, characters.
+
+    Every wish narrows the pool only if something is left: long enough, unused;
+    in story order (``mode`` story) with room for the slots to come; the best
+    tier of wanted characters; the style's pool; at most ``crowd`` clips of
+    any span of ``window`` seconds, more only where all are fuller; not ``run``
+    clips of one episode in a row (but in story order); no character, other
+    than ``characters``, of all the last ``same_character`` clips; alignable.
+    One of the ``top`` best by score is drawn. ``mode`` random takes any clip
+    that fits, at any place. An edit without clips has no rows.
     """
-    s = {"seed": 7, "window": 60.0, "crowd": 2, "run": 2, "repeat": 6, "energy": 1.0, "w_repeat": 0.3, "w_overuse": 0.3, "top": 8} | settings
-    return slots.groupBy("edit_id").cogroup(clips.groupBy("edit_id")).applyInPandas(_fold(mode, s), PLAN)
+    s = {"seed": 7, "window": 60.0, "crowd": 2, "run": 2, "same_character": 0, "characters": (), "repeat": 6, "energy": 1.0, "w_repeat": 0.3, "w_overuse": 0.3, "top": 8} | settings
+    length = F.col("end") - F.col("start")
+    need, hits = length, F.col("hits")
+    if "pieces" in slots.columns:
+        timed = F.coalesce(F.size("pieces"), F.lit(0)) > 0
+        need = F.when(timed, source_offset(length, F.col("pieces"))).otherwise(length)
+        hits = F.when(timed, F.transform("hits", lambda h: source_offset(h, F.col("pieces")))).otherwise(hits)
+    asked = slots.select("edit_id", "slot_no", "intensity", need.alias("need"), hits.alias("hits"))
+    return asked.groupBy("edit_id").cogroup(clips.groupBy("edit_id")).applyInPandas(_fold(mode, s), PLAN)

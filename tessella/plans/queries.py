@@ -677,16 +677,22 @@ def slot_summary(spark, sf):
 
 
 def edit_inputs(spark, sf):
-    """Twelve edits with 24 slots each over the clips of a season each; times in seconds."""
-    c = moods(spark, sf).withColumns({"clip_id": F.row_number().over(Window.partitionBy("season").orderBy(*KEY)).cast("long"), "mr": ranks.index_rank("motion", ["season"], list(KEY)), "start": (F.col("day") % 1000) * 2.0})
-    c = c.withColumn("position", F.percent_rank().over(Window.partitionBy("season").orderBy("episode", "start")))
-    def edits():
-        return spark.range(0, 12, 1, 1).select(F.col("id").alias("edit_id"), F.element_at(F.array(*map(F.lit, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])), (F.col("id") % 5 + 1).cast("int")).alias("season"))
-
-    own = c.join(F.broadcast(edits()), "season")
-    clips_ = own.select("edit_id", "clip_id", "episode", "start", (F.col("start") + F.col("length")).alias("end"), F.when(F.col("motion").isNotNull(), F.col("start") + F.col("length") / 3).alias("peak"), F.col("mr").alias("motion_rank"), F.round(0.5 * F.col("action"), 6).alias("static"), (F.col("flag") != "N").alias("wanted"), (F.col("action") >= 0.5).alias("in_pool"), "position")
-    slots = edits().select("edit_id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("slot_no")).select("edit_id", "slot_no", (F.col("slot_no") * 2.0).alias("start"), (F.col("slot_no") * 2.0 + 2.0).alias("end"), ((F.col("slot_no") % 8) / 7.0).alias("intensity"), F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0)).alias("hits"))
-    return slots, clips_
+    """An edit for each season, a hundred customers each, so that edits grow with the data and seasons do not; the slots are those of a user's events, a tenth of an hour a second."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    c = clips(spark, sf).join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("edit_id", F.expr("o_custkey div 100"))
+    w = Window.partitionBy("edit_id")
+    c = c.withColumns({"clip_id": F.row_number().over(w.orderBy(*KEY)).cast("long"), "mr": ranks.index_rank("motion", ["edit_id"], list(KEY)), "start": (F.col("day") % 1000) * 2.0, "who": F.col("l_suppkey") % 20})
+    c = c.withColumn("fit", fusion.mood_match({"action": F.col("mr"), "calm": 1 - F.col("mr")}, TARGET))
+    c = c.withColumn("in_pool", F.row_number().over(w.orderBy(F.col("fit").desc(), F.col("clip_id").desc())) <= F.greatest(F.lit(1), F.bround(F.count("*").over(w) * F.lit(0.3)).cast("long")))
+    own = c.select(
+        "edit_id", "clip_id", "episode", "start", (F.col("start") + F.col("length")).alias("end"), F.when(F.col("motion").isNotNull(), F.col("start") + F.col("length") / 3).alias("peak"), F.col("mr").alias("motion_rank"),
+        F.round(0.5 * F.col("fit"), 6).alias("static"), F.when(F.col("who") == 3, 2).when(F.col("who").isin(7, 9), 1).otherwise(0).alias("tier"), "in_pool", F.array("who").alias("characters"),
+    )
+    tenth = lambda k: F.round(F.col(k) / HOUR / 10, 3)
+    first = F.min("start").over(Window.partitionBy("axis"))
+    slots = slots_of(spark, sf).withColumns({"end": F.col("end") - first, "start": F.col("start") - first}).join(own.select(F.col("edit_id").alias("axis")).distinct(), "axis")
+    slots = slots.select(F.col("axis").alias("edit_id"), "slot_no", tenth("start").alias("start"), tenth("end").alias("end"), ((F.col("slot_no") % 8) / 7.0).alias("intensity"), F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0)).alias("hits"))
+    return slots, own
 
 
 @query("assign_greedy")
@@ -704,15 +710,23 @@ def assign_random(spark, sf):
     return planner.assign(*edit_inputs(spark, sf), mode="random")
 
 
-@query("assign_checks", "SELECT unnest(range(0, 12)) AS edit_id, 24 AS slots, 0 AS repeated, 0 AS outside")
+@query(
+    "assign_checks",
+    f"""WITH {SLOTS}, e AS (SELECT DISTINCT o_custkey // 100 AS axis FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT axis AS edit_id, count(*) AS slots, 0 AS repeated, 0 AS outside, 0 AS unordered FROM slots JOIN e USING (axis) GROUP BY axis""",
+)
 def assign_checks(spark, sf):
-    """What a plan has to keep, as a report: every slot filled, no clip twice, every start inside its clip."""
+    """What plans have to keep, as a report: every slot filled, no clip twice, every start inside its clip, the story in the order of the season."""
     slots, c = edit_inputs(spark, sf)
-    plan = planner.assign(slots, c)
-    j = plan.join(c.select("edit_id", "clip_id", "start", "end"), ["edit_id", "clip_id"], "left")
-    outside = F.count_if(~((F.col("source_start") >= F.col("start") - 1e-6) & (F.col("source_start") + 2 <= F.col("end") + 1e-6)))
+    plan, story = planner.assign(slots, c), planner.assign(slots, c, mode="story")
+    j = plan.join(c.select("edit_id", "clip_id", "start", "end"), ["edit_id", "clip_id"], "left").join(slots.select("edit_id", "slot_no", (F.col("end") - F.col("start")).alias("size")), ["edit_id", "slot_no"])
+    latest = F.greatest(F.col("end") - F.col("size"), F.col("start"))
+    outside = F.count_if(~F.col("source_start").between(F.col("start") - 1e-6, latest + 1e-6))
     g = j.groupBy("edit_id").agg(F.count("*").alias("slots"), (F.count("*") - F.count_distinct("clip_id")).alias("repeated"), outside.alias("outside"))
-    return g.select("edit_id", *[F.col(k).cast("int").alias(k) for k in ("slots", "repeated", "outside")])
+    s = story.join(c.select("edit_id", "clip_id", "start"), ["edit_id", "clip_id"])
+    before = F.lag(F.struct("episode", "start")).over(Window.partitionBy("edit_id").orderBy("slot_no"))
+    back = s.withColumn("back", before > F.struct("episode", "start")).groupBy("edit_id").agg(F.count_if("back").alias("unordered"))
+    return g.join(back, "edit_id").select("edit_id", "slots", *[F.col(k).cast("int").alias(k) for k in ("repeated", "outside", "unordered")])
 
 
 RATED = "r AS (SELECT p_partkey AS song, p_brand AS artist, CASE WHEN p_size % 7 = 0 THEN NULL ELSE round((p_size % 11) / 10.0, 3) END AS mood, round(greatest(0, 1 - abs(p_size * 2.4 - 60) / 101), 3) AS tempo, round(p_retailprice % 100 / 100, 3) AS energy FROM part), s AS (SELECT *, round((coalesce(mood * 1.0, 0) + tempo * 0.3 + energy * 0.6) / (CASE WHEN mood IS NULL THEN 0.0 ELSE 1.0 END + 0.3 + 0.6), 3) AS score FROM r)"
