@@ -729,43 +729,6 @@ def assign_checks(spark, sf):
     return g.join(back, "edit_id").select("edit_id", "slots", *[F.col(k).cast("int").alias(k) for k in ("repeated", "outside", "unordered")])
 
 
-RATED = "r AS (SELECT p_partkey AS song, p_brand AS artist, CASE WHEN p_size % 7 = 0 THEN NULL ELSE round((p_size % 11) / 10.0, 3) END AS mood, round(greatest(0, 1 - abs(p_size * 2.4 - 60) / 101), 3) AS tempo, round(p_retailprice % 100 / 100, 3) AS energy FROM part), s AS (SELECT *, round((coalesce(mood * 1.0, 0) + tempo * 0.3 + energy * 0.6) / (CASE WHEN mood IS NULL THEN 0.0 ELSE 1.0 END + 0.3 + 0.6), 3) AS score FROM r)"
-
-
-def rated(spark, sf):
-    p = table(spark, sf, "part")
-    size = F.col("p_size")
-    r = p.select(
-        F.col("p_partkey").alias("song"), F.col("p_brand").alias("artist"), F.when(size % 7 != 0, F.round((size % 11) / 10.0, 3)).alias("mood"),
-        F.round(F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(size * F.lit(2.4) - 60) / 101), 3).alias("tempo"), F.round(F.col("p_retailprice") % 100 / 100, 3).alias("energy"),
-    )
-    return r.withColumn("score", fusion.weighted_mean({k: F.col(k) for k in ("mood", "tempo", "energy")}, {"mood": 1.0, "tempo": 0.3, "energy": 0.6}))
-
-
-@query("suggest_rate", f"WITH {RATED} SELECT song, mood, tempo, energy, score FROM s")
-def suggest_rate(spark, sf):
-    return rated(spark, sf).select("song", "mood", "tempo", "energy", "score")
-
-
-@query("suggest_topk_capped", f"WITH {RATED} SELECT song, artist, score FROM (SELECT *, row_number() OVER (PARTITION BY artist ORDER BY score DESC, song) AS pos FROM s) WHERE pos <= 2 ORDER BY score DESC, song LIMIT 10")
-def suggest_topk_capped(spark, sf):
-    capped = ranks.top_k(rated(spark, sf), 2, ["artist"], F.col("score").desc(), F.col("song"))
-    return capped.orderBy(F.col("score").desc(), "song").limit(10).select("song", "artist", "score")
-
-
-@query("suggest_explain")
-def suggest_explain(spark, sf):
-    """Up to three reasons (parts from 0.7, the mood from 0.6; by weight times part) and two concerns (below 0.45; by weight times what is missing) of each song."""
-    weights, good = {"mood": 1.0, "tempo": 0.5, "energy": 0.5}, {"mood": 0.6}
-
-    def take(rank, test, n: int):
-        parts = F.array(*[F.struct((-F.lit(w) * rank(F.col(k))).alias("v"), F.lit(k).alias("k"), test(k, F.col(k)).alias("in")) for k, w in weights.items()])
-        return F.array_join(F.transform(F.slice(F.array_sort(F.filter(parts, lambda x: x["in"])), 1, n), lambda x: x["k"]), ",")
-
-    reasons = take(lambda v: v, lambda k, v: v >= good.get(k, 0.7), 3)
-    return rated(spark, sf).select("song", reasons.alias("reasons"), take(lambda v: 1 - v, lambda k, v: v < 0.45, 2).alias("concerns"))
-
-
 # The catalogue -----------------------------------------------------------------------------------------------------------------
 @query("upsert_season", "WITH o AS (SELECT c_custkey AS key, c_name AS title, c_nationkey AS number, c_custkey * 10 AS id FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 4 = 0 THEN c_name || '!' ELSE c_name END AS title, c_nationkey AS number FROM customer WHERE c_custkey % 5 <> 0) SELECT coalesce(o.key, n.key) AS key, CASE WHEN n.key IS NULL THEN o.title ELSE n.title END AS title, CASE WHEN n.key IS NULL THEN o.number ELSE n.number END AS number, CASE WHEN o.key IS NULL OR (n.key IS NOT NULL AND (o.title <> n.title OR o.number <> n.number)) THEN NULL ELSE id END AS anilist_id, o.key IS NOT NULL AND NOT (n.key IS NOT NULL AND (o.title <> n.title OR o.number <> n.number)) AS done FROM o FULL JOIN n ON o.key = n.key")
 def upsert_season(spark, sf):

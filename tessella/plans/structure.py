@@ -6,7 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.operators import clips, matching, media, song
-from tessella.plans.queries import HOUR, SPANS, query, spans
+from tessella.operators import suggest as songs_for
+from tessella.operators.fusion import MOODS
+from tessella.plans.queries import HOUR, POOL, SPANS, query, spans, top_pool
+from tessella.session import written
 from tessella.sources.readers import table
 
 STEP, LENGTH, MIN_SLOT = 6 * HOUR, 12 * 24 * HOUR, HOUR
@@ -140,7 +143,7 @@ hits AS (SELECT axis, slot_no, string_agg(CAST(hit AS VARCHAR), ',' ORDER BY off
 
 
 def slots_of(spark, sf):
-    beats, songs, sections, drops, sums = parts_of(spark, sf)
+    beats, songs, sections, drops, sums = (written(df, "song") for df in parts_of(spark, sf))
     down, starts = starts_of(beats, songs, sections, drops)
     return song.song_slots(zones_of(beats, songs, sections, drops), songs, down, sums, starts, "axis", LENGTH, RULES, STEP, MIN_SLOT)
 
@@ -286,3 +289,95 @@ def season_of(spark, sf):
     searches = m.select("search").distinct().select("search", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(40).cast("long"))).alias("number"))
     candidates = m.where(F.col("format").isin(*media.SEASON_FORMATS)).select("search", "id", "score", F.col("id").alias("place"))
     return media.season_of(searches, candidates, m.select("id", F.col("sequel_id").alias("next")))
+
+
+# Songs for a season ----------------------------------------------------------------------------------------------------------------
+STYLE = songs_for.Style(mood={"action": 1.0, "calm": -0.5, "funny": 0.25}, bpm=(100.0, 140.0), song_drop=0.75, drop_full=200.0)
+
+
+def library(spark, sf):
+    """Every user as a song, for each season: moods by the kinds of its events, the cuts of its edit and the strongest drop in it, the profile and size of the season's pool."""
+    beats, songs, sections, drops, _ = parts_of(spark, sf)
+    _, starts = starts_of(beats, songs, sections, drops)
+    inside = drops.join(starts, "axis").where((F.col("time") >= F.col("song_start")) & (F.col("time") < F.col("song_start") + LENGTH)).groupBy("axis").agg(F.max("strength").alias("drop"))
+    cuts = slots_of(spark, sf).groupBy("axis").agg(F.count("*").alias("cuts"))
+    share = lambda k: F.round(F.count_if(F.col("event_type") == k) / F.count("*"), 3)
+    moods = spans(spark, sf).groupBy("axis").agg(F.struct(*[share(k).alias(m) for m, k in zip(MOODS, KINDS)]).alias("moods"))
+    own = songs.join(cuts, "axis").join(inside, "axis", "left").join(moods, "axis")
+    own = own.select(
+        F.col("axis").alias("song"), F.concat(F.lit("Artist "), F.col("axis") % 12).alias("artist"), F.concat(F.lit("Song "), F.col("axis") % 40).alias("label"), "duration",
+        (60 + F.expr("beat div 1000000") % 120).cast("double").alias("bpm"), "cuts", "drop", "moods",
+    )
+    half = F.lit(0.5)
+    of = {"action": F.round(F.avg("action"), 3), "calm": F.round(F.avg("calm"), 3)}
+    seasons = top_pool(spark, sf).groupBy("season").agg(F.count("*").alias("pool"), *[c.alias(k) for k, c in of.items()])
+    seasons = seasons.select("season", (F.col("pool") / 60).alias("pool"), F.when(F.col("season") != "5-LOW", F.struct(*[(F.col(m) if m in of else half).alias(m) for m in MOODS])).alias("profile"))
+    # A row for each song and season, by an equi-join of the songs with the few seasons of each slice of them.
+    return own.withColumn("season", F.explode(F.array(*map(F.lit, SEASONS)))).join(seasons, "season").withColumnRenamed("season", "season_key")
+
+
+SEASONS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+_OFF = "(CASE WHEN bpm / {f} < 100 THEN 100 / (bpm / {f}) WHEN bpm / {f} > 140 THEN (bpm / {f}) / 140 ELSE 1.0::DOUBLE END)"
+_OWN, _SCENES = [f"m{k}" for k in range(5)], ["0.5::DOUBLE", "action", "0.5::DOUBLE", "0.5::DOUBLE", "calm"]
+_MEAN = {"o": f"(({' + '.join(_OWN)}) / 5)", "s": f"(({' + '.join(_SCENES)}) / 5)"}
+_DOT = " + ".join(f"({a} - {_MEAN['o']}) * ({b} - {_MEAN['s']})" for a, b in zip(_OWN, _SCENES))
+_NORM = f"sqrt(({' + '.join(f'({a} - {_MEAN['o']}) * ({a} - {_MEAN['o']})' for a in _OWN)}) * ({' + '.join(f'({b} - {_MEAN['s']}) * ({b} - {_MEAN['s']})' for b in _SCENES)}))"
+
+
+def _out(values: list[str], mean: str) -> str:
+    items = ", ".join(f"{{'v': -({v}), 'i': {i}, 'm': '{m}'}}" for i, (v, m) in enumerate(zip(values, MOODS)))
+    return f"array_to_string(list_transform(list_sort(list_filter([{items}], lambda x: -x.v > {mean})), lambda x: x.m)[1:2], ',')"
+
+
+RATED = f"""WITH RECURSIVE {SONG}, {ZONES}, {START}, {SLOT}, {POOL},
+inside_drops AS (SELECT axis, max(strength) AS strongest FROM drops JOIN starts USING (axis) WHERE time >= song_start AND time < song_start + {LENGTH} GROUP BY axis),
+lib AS (SELECT s.axis AS song, 'Artist ' || s.axis % 12 AS artist, 'Song ' || s.axis % 40 AS label, duration, CAST(60 + beat // 1000000 % 120 AS DOUBLE) AS bpm, c.cuts, strongest,
+  {', '.join(f"m.{x}" for x in _OWN)} FROM songs s JOIN (SELECT axis, count(*) AS cuts FROM slots GROUP BY axis) c USING (axis) LEFT JOIN inside_drops USING (axis)
+  JOIN (SELECT axis, {', '.join(f"round(count(*) FILTER (event_type = '{k}') / count(*), 3) AS m{i}" for i, k in enumerate(KINDS))} FROM spans GROUP BY axis) m USING (axis)),
+prof AS (SELECT season, count(*) / 60 AS pool, round(avg(action), 3) AS action, round(avg(calm), 3) AS calm FROM pool GROUP BY season),
+j AS (SELECT *, round({_OFF.format(f='1.0::DOUBLE')}, 6) AS d1, round({_OFF.format(f='2.0::DOUBLE')}, 6) AS d2, round({_OFF.format(f='0.5::DOUBLE')}, 6) AS d3 FROM lib, prof),
+g AS (SELECT *, CASE WHEN d1 = least(d1, d2, d3) THEN 1.0::DOUBLE WHEN d2 = least(d1, d2, d3) THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END AS factor FROM j),
+p AS (SELECT *, round(greatest(0.0, least(1.0, (1.0::DOUBLE * m1 + -0.5::DOUBLE * m4 + 0.25::DOUBLE * m3 + 0.5::DOUBLE) / 1.75::DOUBLE)), 3) AS mood,
+  CASE WHEN season = '5-LOW' THEN 0.5::DOUBLE ELSE round(CASE WHEN {_NORM} > 1e-12 THEN (1.0::DOUBLE + ({_DOT}) / {_NORM}) / 2 ELSE 0.5::DOUBLE END, 3) END AS season_part,
+  round(greatest(0, 1 - ({_OFF.format(f='factor')} - 1) / 0.4::DOUBLE) * CASE WHEN factor = 1 THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END, 3) AS tempo,
+  round(least(1.0::DOUBLE, coalesce(strongest / 200.0::DOUBLE, 0)), 3) AS drop_part, round(least(1.0::DOUBLE, pool / greatest(1.0::DOUBLE, cuts * 2.0::DOUBLE)), 3) AS material FROM g),
+rated AS (SELECT *, CASE WHEN season = '5-LOW' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS ws,
+  round((1.0::DOUBLE * mood + CASE WHEN season = '5-LOW' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END * season_part + 0.5::DOUBLE * tempo + 0.375::DOUBLE * drop_part + 0.5::DOUBLE * material)
+    / (1.0::DOUBLE + CASE WHEN season = '5-LOW' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END + 0.5::DOUBLE + 0.375::DOUBLE + 0.5::DOUBLE), 3) AS score FROM p)"""
+
+
+def rated_of(spark, sf):
+    return written(songs_for.rate(written(library(spark, sf), "library"), STYLE), "rated")
+
+
+@query("suggest_rate", f"{RATED} SELECT season, song, mood, season_part, tempo, drop_part, material, factor, cuts, score FROM rated")
+def suggest_rate(spark, sf):
+    r = rated_of(spark, sf)
+    # The part named like the key of the season is told apart.
+    return r.select(F.col("season_key").alias("season"), "song", "mood", F.col("season").alias("season_part"), "tempo", F.col("drop").alias("drop_part"), "material", "factor", "cuts", "score")
+
+
+_GOOD = [("mood", "1.0", "mood >= 0.6"), ("season", "ws", "season <> '5-LOW' AND scenes <> '' AND season_part >= 0.7 AND own <> scenes"), ("tempo", "0.5", "tempo >= 0.7"), ("drop", "0.375", "strongest IS NOT NULL AND drop_part >= 0.7")]
+_BAD = [("mood", "1.0", "mood < 0.45"), ("season", "ws", "season <> '5-LOW' AND scenes <> '' AND season_part < 0.45"), ("tempo", "0.5", "tempo < 0.45"), ("drop", "0.375", "drop_part < 0.45"), ("material", "0.5", "material < 0.45")]
+
+
+def _listed(rules: list, value: str, n: int) -> str:
+    col = {"season": "season_part", "drop": "drop_part"}
+    items = ", ".join(f"{{'v': -({w}::DOUBLE * ({value.format(v=col.get(k, k))})), 'i': {i}, 'k': '{k}', 'ok': {test}}}" for i, (k, w, test) in enumerate(rules))
+    return f"array_to_string(list_transform(list_sort(list_filter([{items}], lambda x: x.ok)), lambda x: x.k)[1:{n}], ',')"
+
+
+@query("suggest_explain", f"{RATED}, named AS (SELECT *, {_out(_OWN, _MEAN['o'])} AS own, {_out(_SCENES, _MEAN['s'])} AS scenes FROM rated) SELECT season, song, {_listed(_GOOD, '{v}', 3)} AS reasons, {_listed(_BAD, '1 - {v}', 2)} AS concerns FROM named")
+def suggest_explain(spark, sf):
+    e = songs_for.explain(rated_of(spark, sf), STYLE)
+    return e.select(F.col("season_key").alias("season"), "song", F.array_join("reasons", ",").alias("reasons"), F.array_join("concerns", ",").alias("concerns"))
+
+
+@query(
+    "suggest_topk_capped",
+    f"""{RATED}, n AS (SELECT *, row_number() OVER (PARTITION BY season, artist ORDER BY score DESC, lower(label), song) AS nth FROM rated WHERE duration >= {LENGTH}),
+t AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY score DESC, lower(label), song) AS place FROM n WHERE nth <= 2) SELECT season, place, song, artist, score FROM t WHERE place <= 10""",
+)
+def suggest_topk_capped(spark, sf):
+    s = songs_for.suggest(rated_of(spark, sf), ["season_key"], LENGTH, top=10)
+    return s.select(F.col("season_key").alias("season"), "place", "song", "artist", "score")
