@@ -1,4 +1,4 @@
-"""Interval algebra on axes: every operator works inside an axis key, so its joins and windows are partitioned by it.
+"""Interval algebra on axes: every operator works inside an axis key; windows are partitioned by it, joins by it and stretches of it.
 
 Intervals are half-open, ``s <= t < e``. Times may be of any ordered numeric
 type; the column names are parameters.
@@ -37,33 +37,52 @@ def overlap_ratio(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.when(hull > 0, overlap(s1, e1, s2, e2) / hull).otherwise(F.lit(0.0))
 
 
+def meet(a: DataFrame, b: DataFrame, axis: str, s1: str, e1: str, s2: str, e2: str) -> DataFrame:
+    """Pairs of rows of ``a`` and ``b`` on one axis whose intervals overlap; ``b`` has no other columns of ``a`` than the axis.
+
+    The axis is cut into stretches twice as long as intervals are on average,
+    and rows are joined by axis and stretch, so a long axis is no task and no
+    cross product. An interval goes to every stretch it touches, which makes two
+    and a half rows of each on average, however long single ones are. A pair
+    comes from the first stretch both touch.
+    """
+    long = lambda df, s, e: df.agg(F.sum((F.col(e) - F.col(s)).cast("double")).alias("t"), F.count("*").alias("n")).first()
+    sizes = [long(a, s1, e1), long(b, s2, e2)]
+    n, total = sum(x.n for x in sizes), sum(x.t or 0.0 for x in sizes)
+    width = F.lit(2 * total / n if n and total > 0 else 1.0)
+    first = lambda s: F.floor(F.col(s) / width)
+    dealt = lambda df, s, e: df.withColumn("_at", F.explode(F.sequence(first(s), F.greatest(first(s), F.floor(F.col(e) / width)))))
+    met = dealt(a, s1, e1).join(dealt(b, s2, e2), [axis, "_at"])
+    return met.where(overlapping(F.col(s1), F.col(e1), F.col(s2), F.col(e2)) & (F.col("_at") == F.greatest(first(s1), first(s2)))).drop("_at")
+
+
 def subtract(segments: DataFrame, cuts: DataFrame, axis: str = "axis", key: str = "seg", min_length: float = 0) -> DataFrame:
     """What remains of each segment (``axis, key, s, e``) after the cuts (``axis, s, e``); remainders shorter than ``min_length`` go."""
-    c = merge(cuts, axis).select(F.col(axis).alias("_axis"), F.col("s").alias("cs"), F.col("e").alias("ce"))
-    met = segments.join(c, (F.col(axis) == F.col("_axis")) & (F.col("ce") > F.col("s")) & (F.col("cs") < F.col("e")), "left")
+    c = merge(cuts, axis).select(axis, F.col("s").alias("cs"), F.col("e").alias("ce"))
+    met = meet(segments.select(axis, key, "s", "e"), c, axis, "s", "e", "cs", "ce")
+    whole = segments.join(met.select(axis, key).distinct(), [axis, key], "left_anti").select(axis, key, F.col("s").alias("a"), F.col("e").alias("b"))
     order = Window.partitionBy(axis, key).orderBy("cs")
     placed = met.withColumns({"_n": F.row_number().over(order), "_next": F.lead("cs").over(order)})
-    first = placed.where("_n = 1").select(axis, key, F.col("s").alias("a"), F.coalesce("cs", "e").alias("b"))
-    rest = placed.where("cs is not null").select(axis, key, F.col("ce").alias("a"), F.coalesce("_next", "e").alias("b"))
-    kept = first.unionByName(rest).where((F.col("b") > F.col("a")) & (F.col("b") - F.col("a") >= min_length))
+    first = placed.where("_n = 1").select(axis, key, F.col("s").alias("a"), F.col("cs").alias("b"))
+    rest = placed.select(axis, key, F.col("ce").alias("a"), F.coalesce("_next", "e").alias("b"))
+    kept = whole.unionByName(first).unionByName(rest).where((F.col("b") > F.col("a")) & (F.col("b") - F.col("a") >= min_length))
     return kept.select(axis, key, F.col("a").alias("s"), F.col("b").alias("e"))
 
 
 def lines_in(clips: DataFrame, lines: DataFrame, axis: str, min_overlap: float) -> DataFrame:
     """Pairs of clips (``clip, s, e``) and lines (``line, ls, le``) that overlap by ``min_overlap`` or half of the line."""
     o = overlap(F.col("s"), F.col("e"), F.col("ls"), F.col("le"))
-    pairs = clips.join(lines, axis).where(overlapping(F.col("s"), F.col("e"), F.col("ls"), F.col("le"))).withColumn("overlap", o)
+    pairs = meet(clips, lines, axis, "s", "e", "ls", "le").withColumn("overlap", o)
     return pairs.where((F.col("overlap") >= min_overlap) | (2 * F.col("overlap") >= F.col("le") - F.col("ls")))
 
 
 def overlap_share(clips: DataFrame, segments: DataFrame, axis: str, key: str) -> DataFrame:
     """Share of each clip that its axis's segments (``ss, se``) cover, counted once for each segment, at most 1."""
-    other = segments.select(F.col(axis).alias("_axis"), "ss", "se")
-    met = clips.join(other, (F.col(axis) == F.col("_axis")) & (F.col("se") > F.col("s")) & (F.col("ss") < F.col("e")), "left")
-    o = F.when(F.col("ss").isNotNull(), overlap(F.col("s"), F.col("e"), F.col("ss"), F.col("se"))).otherwise(F.lit(0))
-    total = met.groupBy(axis, key, "s", "e").agg(F.sum(o).alias("_o"))
-    share = F.when(F.col("e") > F.col("s"), F.least(F.lit(1.0), F.col("_o") / F.nullif(F.col("e") - F.col("s"), F.lit(0)))).otherwise(F.lit(0.0))
-    return total.select(axis, key, F.round(share, 3).alias("share"))
+    own = clips.select(axis, key, "s", "e")
+    met = meet(own, segments.select(axis, "ss", "se"), axis, "s", "e", "ss", "se")
+    total = met.groupBy(axis, key).agg(F.sum(overlap(F.col("s"), F.col("e"), F.col("ss"), F.col("se"))).alias("_o"))
+    share = F.when(F.col("e") > F.col("s"), F.least(F.lit(1.0), F.coalesce("_o", F.lit(0)) / F.nullif(F.col("e") - F.col("s"), F.lit(0)))).otherwise(F.lit(0.0))
+    return own.join(total, [axis, key], "left").select(axis, key, F.round(share, 3).alias("share"))
 
 
 def section_at(points: DataFrame, sections: DataFrame, axis: str) -> DataFrame:

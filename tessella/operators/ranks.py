@@ -1,31 +1,78 @@
-"""Ranks, pools, density and selection; every window is partitioned."""
+"""Ranks, pools, density and selection. Ranks over large groups run over ranges of values, so a group is no task."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import written
 
-def percentile_rank(value: str, by: list[str]) -> Column:
-    """Rank from 0 to 1 among the values that are not null; ties share the mean position, a single value has 0.5, null stays null."""
-    n = F.count(value).over(Window.partitionBy(*by))
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    below = F.rank().over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())) - 1
-    return F.when(F.col(value).isNull(), None).when(n == 1, F.lit(0.5)).otherwise((below + (ties - 1) / 2) / F.nullif(n - 1, F.lit(0)))
 
+def positions(df: DataFrame, by: list[str], order: list[Column], name: str = "_pos") -> DataFrame:
+    """``df`` with the place of each row in its group, from 0, and ``_n``, the rows of the group; ties have any order.
 
-def index_rank(value: str, by: list[str], ordinal: list[str]) -> Column:
-    """Rank from 0 to 1 with ties in the order of ``ordinal``; 0.5 for null and for a single value."""
-    n = F.count(value).over(Window.partitionBy(*by))
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last(), *ordinal)) - 1
-    return F.when(F.col(value).isNull() | (n <= 1), F.lit(0.5)).otherwise(at / F.nullif(n - 1, F.lit(0)))
-
-
-def top_share(df: DataFrame, score: str, ordinal: str, by: list[str], share: float) -> DataFrame:
-    """The best ``share`` of each group (half-even rounding, at least one); ties go to the higher ordinal."""
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(score).desc_nulls_last(), F.col(ordinal).desc()))
-    keep = F.greatest(F.lit(1), F.bround(F.count("*").over(Window.partitionBy(*by)) * F.lit(share)).cast("long"))
-    return df.withColumns({"_at": at, "_keep": keep}).where("_at <= _keep").drop("_at", "_keep")
+    The rows are dealt by range over group and order, numbered within each
+    range, and moved on by the rows of the ranges before. So a group of any
+    size spreads over as many tasks as it needs; only one row for each range
+    and group meets in a window.
+    """
+    table = written(df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = table.groupBy(*by, "_p").agg(F.count("*").alias("_m"))
+    whole = Window.partitionBy(*by)
+    before = F.sum("_m").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.withColumns({"_before": F.coalesce(before, F.lit(0)), "_n": F.sum("_m").over(whole)}).drop("_m")
+    inside = table.withColumn(name, F.row_number().over(Window.partitionBy("_p", *by).orderBy(*order)) - 1)
+    return _met(inside, offsets, [*by, "_p"]).withColumn(name, F.col(name) + F.col("_before")).drop("_p", "_before")
+
+
+def _met(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the row of ``small`` that has its keys; null is a key like any other."""
+    renamed = small.withColumnsRenamed({k: f"_{k}_" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys]
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    return df.join(renamed, condition).drop(*[f"_{k}_" for k in keys])
+
+
+def percentile_rank(df: DataFrame, by: list[str], **values: str) -> DataFrame:
+    """``df`` with a column for each of ``values`` (its name and the column ranked): the rank from 0 to 1 among the group's values that are not null.
+
+    Ties share the mean position, a single value has 0.5, null stays null.
+    Values are counted first; the sums below each of them run over ranges of
+    values (see ``positions``), so no task holds a group.
+    """
+    for name, value in values.items():
+        counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+        table = written(counts.repartitionByRange(*by, "_v").withColumn("_p", F.spark_partition_id()), "values")
+        whole = Window.partitionBy(*by)
+        upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+        sums = table.groupBy(*by, "_p").agg(F.sum("_c").alias("_m"))
+        sums = sums.withColumns({"_before": F.coalesce(F.sum("_m").over(upto(whole.orderBy("_p"))), F.lit(0)), "_n": F.sum("_m").over(whole)}).drop("_m")
+        inside = table.withColumn("_in", F.coalesce(F.sum("_c").over(upto(Window.partitionBy("_p", *by).orderBy("_v"))), F.lit(0)))
+        below = F.col("_before") + F.col("_in")
+        rank = F.when(F.col("_n") == 1, F.lit(0.5)).otherwise((below + (F.col("_c") - 1) / 2) / F.nullif(F.col("_n") - 1, F.lit(0)))
+        found = _met(inside, sums, [*by, "_p"]).select(*by, F.col("_v"), rank.alias(name)).withColumnsRenamed({k: f"_{k}_" for k in by})
+        same = F.col(value) == F.col("_v")
+        for k in by:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}_"))
+        df = df.join(found, same, "left").drop("_v", *[f"_{k}_" for k in by])
+    return df
+
+
+def index_rank(df: DataFrame, by: list[str], ordinal: list[str], name: str, value: str) -> DataFrame:
+    """``df`` with ``name``: the rank of ``value`` from 0 to 1 with ties in the order of ``ordinal``; 0.5 for null and for a single value."""
+    table = positions(df, by, [F.col(value).asc_nulls_last(), *[F.col(c) for c in ordinal]])
+    n = table.groupBy(*by).agg(F.count(value).alias("_measured"))
+    rank = F.when(F.col(value).isNull() | (F.col("_measured") <= 1), F.lit(0.5)).otherwise(F.col("_pos") / F.nullif(F.col("_measured") - 1, F.lit(0)))
+    return _met(table, n, by).withColumn(name, rank).drop("_pos", "_n", "_measured")
+
+
+def top_share(df: DataFrame, score: str, ordinal: list[str], by: list[str], share: float) -> DataFrame:
+    """The best ``share`` of each group (half-even rounding, at least one); ties go to what comes later by ``ordinal``."""
+    placed = positions(df, by, [F.col(score).desc_nulls_last(), *[F.col(c).desc() for c in ordinal]])
+    keep = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(share)).cast("long"))
+    return placed.where(F.col("_pos") < keep).drop("_pos", "_n")
 
 
 def top_k(df: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:

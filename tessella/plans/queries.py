@@ -73,8 +73,7 @@ TARGET = {"action": 1.0, "calm": -0.5}
 
 
 def moods(spark: SparkSession, sf: str) -> DataFrame:
-    c = clips(spark, sf)
-    c = c.withColumns({"rm": ranks.percentile_rank("motion", ["season"]), "rl": ranks.percentile_rank("loudness", ["season"])})
+    c = ranks.percentile_rank(clips(spark, sf), ["season"], rm="motion", rl="loudness")
     action = fusion.weighted_mean({"motion": F.col("rm"), "loudness": F.col("rl")}, {"motion": 2.0, "loudness": 1.0})
     calm = fusion.weighted_mean({"motion": 1.0 - F.col("rm"), "loudness": 1.0 - F.col("rl")}, {"motion": 1.0, "loudness": 3.0})
     return c.withColumns({"action": action, "calm": calm})
@@ -89,8 +88,7 @@ moods AS (SELECT *, round((coalesce(rm * 2.0, 0) + rl * 1.0) / (CASE WHEN rm IS
 def top_pool(spark: SparkSession, sf: str) -> DataFrame:
     m = moods(spark, sf)
     fit = F.round(fusion.mood_match({"action": F.col("action"), "calm": F.col("calm")}, TARGET), 6)
-    m = m.withColumns({"fit": fit, "ordinal": F.row_number().over(Window.partitionBy("season").orderBy(*KEY))})
-    return ranks.top_share(m, "fit", "ordinal", ["season"], 0.3)
+    return ranks.top_share(m.withColumn("fit", fit), "fit", list(KEY), ["season"], 0.3)
 
 
 POOL = f"""{MOODS}, fitted AS (SELECT *, round(greatest(0.0, least(1.0, (1.0 * action + -0.5 * calm + 0.5) / 1.5)), 6) AS fit, row_number() OVER (PARTITION BY season ORDER BY {KEYS}) AS ordinal FROM moods),
@@ -104,7 +102,7 @@ def moods_top_pool(spark, sf):
 
 @query("percentile_rank_avg", f"WITH {CLIPS} SELECT {KEYS}, season, round({RANK.format(v='motion')}, 9) AS r FROM clips")
 def percentile_rank_avg(spark, sf):
-    return clips(spark, sf).select(*KEY, "season", F.round(ranks.percentile_rank("motion", ["season"]), 9).alias("r"))
+    return ranks.percentile_rank(clips(spark, sf), ["season"], r="motion").select(*KEY, "season", F.round("r", 9).alias("r"))
 
 
 @query(
@@ -112,7 +110,7 @@ def percentile_rank_avg(spark, sf):
     f"WITH {CLIPS} SELECT {KEYS}, season, round(CASE WHEN motion IS NULL OR count(motion) OVER (PARTITION BY season) <= 1 THEN 0.5 ELSE (row_number() OVER (PARTITION BY season ORDER BY motion NULLS LAST, {KEYS}) - 1) / (count(motion) OVER (PARTITION BY season) - 1) END, 9) AS r FROM clips",
 )
 def motion_rank(spark, sf):
-    return clips(spark, sf).select(*KEY, "season", F.round(ranks.index_rank("motion", ["season"], list(KEY)), 9).alias("r"))
+    return ranks.index_rank(clips(spark, sf), ["season"], list(KEY), "r", "motion").select(*KEY, "season", F.round("r", 9).alias("r"))
 
 
 @query("season_profile", f"WITH {POOL} SELECT season, count(*) AS n, round(avg(action), 6) AS action, round(avg(calm), 6) AS calm FROM pool GROUP BY season")
@@ -681,7 +679,8 @@ def edit_inputs(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     c = clips(spark, sf).join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("edit_id", F.expr("o_custkey div 100"))
     w = Window.partitionBy("edit_id")
-    c = c.withColumns({"clip_id": F.row_number().over(w.orderBy(*KEY)).cast("long"), "mr": ranks.index_rank("motion", ["edit_id"], list(KEY)), "start": (F.col("day") % 1000) * 2.0, "who": F.col("l_suppkey") % 20})
+    c = ranks.index_rank(c.withColumn("clip_id", F.row_number().over(w.orderBy(*KEY)).cast("long")), ["edit_id"], list(KEY), "mr", "motion")
+    c = c.withColumns({"start": (F.col("day") % 1000) * 2.0, "who": F.col("l_suppkey") % 20})
     c = c.withColumn("fit", fusion.mood_match({"action": F.col("mr"), "calm": 1 - F.col("mr")}, TARGET))
     c = c.withColumn("in_pool", F.row_number().over(w.orderBy(F.col("fit").desc(), F.col("clip_id").desc())) <= F.greatest(F.lit(1), F.bround(F.count("*").over(w) * F.lit(0.3)).cast("long")))
     own = c.select(

@@ -49,10 +49,10 @@ def test_intervals(spark):
 
 def test_ranks_and_fusion(spark):
     df = spark.createDataFrame([("x", 0, 3.0), ("x", 1, 1.0), ("x", 2, None), ("x", 3, 2.0), ("y", 4, 5.0), ("y", 5, 5.0), ("y", 6, 1.0), ("z", 7, 7.0)], "k string, i int, v double")
-    got = {r.i: r.r for r in df.select("i", ranks.percentile_rank("v", ["k"]).alias("r")).collect()}
+    got = {r.i: r.r for r in ranks.percentile_rank(df, ["k"], r="v").collect()}
     assert got == {0: 1.0, 1: 0.0, 2: None, 3: 0.5, 4: 0.75, 5: 0.75, 6: 0.0, 7: 0.5}
     sixty = spark.range(60).select(F.lit("s").alias("k"), "id", (F.col("id") % 3).cast("double").alias("v"))
-    assert ranks.top_share(sixty, "v", "id", ["k"], 0.3).count() == 18
+    assert ranks.top_share(sixty, "v", ["id"], ["k"], 0.3).count() == 18
     one = spark.range(1)
     none = F.lit(None).cast("double")
     assert one.select(fusion.weighted_mean({"a": none, "b": none}, {"a": 1, "b": 2})).first()[0] == 0.5
@@ -114,7 +114,7 @@ def test_alignment_and_plans(spark, small):
     assert planner.align_start(10, 14, None, 2.0, [0]) == (11.0, False)
     for mode in ("assign_greedy", "assign_story", "assign_random"):
         plan = plans.QUERIES[mode](spark, small).collect()
-        assert len(plan) == 12 * 24 and len({(r.edit_id, r.clip_id) for r in plan}) == len(plan)
+        assert len(plan) == plans.edit_inputs(spark, small)[0].count() > 20 and len({(r.edit_id, r.clip_id) for r in plan}) == len(plan)
     again = plans.QUERIES["assign_greedy"](spark, small).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, plans.QUERIES["assign_greedy"](spark, small).collect()))
 
