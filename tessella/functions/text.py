@@ -66,12 +66,10 @@ def clean_title(name: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[ ._-]+", " "))
 
 
-def song_label(title: Column, rounds: int = 4) -> Column:
-    """A song title without trailing remarks on the video, removed one after another until none is left."""
-    out = title
-    for _ in range(rounds):
-        out = F.regexp_replace(F.trim(out), r"(?i)\s*[\[(]?(official( music)? video|official audio|lyrics?( video)?|audio|hd|hq|4k|mv)[\])]?$", "")
-    return F.trim(out)
+def song_label(title: Column) -> Column:
+    """A song title without the remarks on the video at its end, in brackets or not, however many there are."""
+    remark = r"(?:official(?: music)? video|official audio|lyrics?(?: video)?|audio|hd|hq|4k|mv)"
+    return F.trim(F.regexp_replace(F.trim(title), rf"(?i)(?:\s*[\[(]\s*{remark}\s*[\])]|\s+{remark})+\s*$", ""))
 
 
 def artist_and_title(name: Column) -> list[Column]:

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.operators import clips, matching, media, song
+from tessella.operators import effects as fx
 from tessella.operators import suggest as songs_for
 from tessella.operators.fusion import MOODS
-from tessella.plans.queries import HOUR, POOL, SPANS, query, spans, top_pool
+from tessella.plans.queries import HOUR, POOL, SLOTS, SPANS, query, spans, top_pool
+from tessella.plans.queries import slots_of as uniform
 from tessella.session import written
 from tessella.sources.readers import table
 
@@ -381,3 +383,62 @@ t AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY score DESC, lowe
 def suggest_topk_capped(spark, sf):
     s = songs_for.suggest(rated_of(spark, sf), ["season_key"], LENGTH, top=10)
     return s.select(F.col("season_key").alias("season"), "place", "song", "artist", "score")
+
+
+# Effects ---------------------------------------------------------------------------------------------------------------------------
+ZONE_NAMES = ("verse", "buildup", "drop", "drop", "chorus", "chorus", "outro")
+CUTS = fx.Transitions("crossfade", downbeat="flash", section="whip", drop="dip_white", beats=0.75)
+RAMP, SLOW, FREEZE = fx.Rule(("verse", "buildup"), 0.6, (0.5, 2.0, 0.25)), fx.Rule((), 3.0, (0.75,)), fx.Rule(("outro", "chorus"), 1.0, (0.25,))
+PUNCH, SHAKE, PUSH = fx.Rule(("drop", "chorus"), 0.0, (0.12,), at="downbeats"), fx.Rule(("drop",), 0.0, (0.02,)), fx.Rule((), 4.0, (0.06,))
+
+
+def edited_slots(spark, sf):
+    """The slots of each user's events on a grid of quarter seconds, with zones in turn; every second clip is aligned, its peak half way."""
+    s = uniform(spark, sf)
+    first = F.min("start").over(Window.partitionBy("axis"))
+    grid = lambda c: F.floor((F.col(c) - first) / (3 * HOUR)) * 0.25
+    s = s.withColumns({"a": grid("start"), "z": grid("end")}).select("axis", "slot_no", F.col("a").alias("start"), F.col("z").alias("end")).where("end > start")
+    zone = F.element_at(F.array(*map(F.lit, ZONE_NAMES)), ((F.col("axis") + F.col("slot_no")) % 7 + 1).cast("int"))
+    hits = F.filter(F.array(*map(F.lit, (0.0, 0.5, 1.0, 1.5))), lambda h: h < F.col("end") - F.col("start"))
+    s = s.withColumns({"section": zone, "hits": hits, "aligned": F.col("slot_no") % 2 == 0, "peak": (F.col("end") - F.col("start")) / 2})
+    bars = s.groupBy("axis").agg(F.max("end").alias("last")).select("axis", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / 2).cast("int"))).alias("k"))
+    return s, bars.select("axis", (F.col("k") * 2.0).alias("d"))
+
+
+EDITED = f"""{SLOTS}, q AS (SELECT axis, slot_no, floor((start - min(start) OVER w) / {3 * HOUR}) * 0.25::DOUBLE AS a, floor(("end" - min(start) OVER w) / {3 * HOUR}) * 0.25::DOUBLE AS z FROM slots WINDOW w AS (PARTITION BY axis)),
+e AS (SELECT *, z - a AS size, {list(ZONE_NAMES)}[(axis + slot_no) % 7 + 1] AS section, list_filter([0.0::DOUBLE, 0.5, 1.0, 1.5], lambda h: h < z - a) AS hits FROM q WHERE z > a)"""
+
+
+@query(
+    "plan_transitions",
+    f"""WITH {EDITED}, r AS (SELECT *, CAST(coalesce(lead(round_even(a * 24, 0)) OVER w, round_even(z * 24, 0)) - round_even(a * 24, 0) AS BIGINT) AS frames FROM e WINDOW w AS (PARTITION BY axis ORDER BY slot_no)),
+n AS (SELECT *, lag(section) OVER w AS zone, lag(frames) OVER w AS before, a - floor(a / 2) * 2 < 0.125 AS down FROM r WINDOW w AS (PARTITION BY axis ORDER BY slot_no)),
+wished AS (SELECT *, CASE WHEN before IS NULL THEN 'cut' WHEN section = 'drop' AND zone <> 'drop' THEN 'dip_white' WHEN section <> zone THEN 'whip' WHEN down THEN 'flash' ELSE 'crossfade' END AS wish FROM n),
+l AS (SELECT *, CASE WHEN wish = 'cut' THEN 0 WHEN wish = 'flash' THEN CASE WHEN least(4, floor(0.5 * frames)) >= 2 THEN least(4, floor(0.5 * frames)) ELSE 0 END
+  ELSE floor(floor(least(CASE WHEN wish = 'whip' THEN 4.8 ELSE 9.0 END, 0.5 * least(before, frames))) / 2) END AS length FROM wished)
+SELECT axis, slot_no, frames, CASE WHEN length > 0 THEN wish ELSE 'cut' END AS kind, CAST(length AS INT) AS length, coalesce(lead(CASE WHEN length > 0 THEN wish ELSE 'cut' END) OVER w, 'cut') AS out_kind,
+  CAST(coalesce(lead(length) OVER w, 0) AS INT) AS out_length FROM l WINDOW w AS (PARTITION BY axis ORDER BY slot_no)""",
+)
+def plan_transitions(spark, sf):
+    s, bars = edited_slots(spark, sf)
+    t = fx.transitions(s, bars, "axis", CUTS, 0.5, 24, flash=0.16)
+    return t.select("axis", "slot_no", "frames", "kind", F.col("length").cast("int").alias("length"), "out_kind", F.col("out_length").cast("int").alias("out_length"))
+
+
+@query(
+    "plan_effects",
+    f"""WITH {EDITED}, p AS (SELECT *, (section IN ('verse', 'buildup') AND size >= 0.6) AS ramp, (NOT (section IN ('verse', 'buildup') AND size >= 0.6) AND size >= 3) AS slow, (section IN ('outro', 'chorus') AND size >= 1) AS still,
+  CASE WHEN section IN ('drop', 'chorus') THEN [k * 2.0 - a FOR k IN range(CAST(ceil((a - 0.125) / 2) AS BIGINT), CAST(ceil((z - 0.125) / 2) AS BIGINT))] ELSE [] END AS punches FROM e),
+f AS (SELECT *, CASE WHEN still AND len(hits) > 1 THEN list_concat(list_transform(list_sort([{{'d': abs(h - 0.6::DOUBLE * size), 'h': h}} FOR h IN list_filter(hits, lambda h: h >= 0.3::DOUBLE * size)]), lambda x: x.h), list_filter(hits, lambda h: h < 0.3::DOUBLE * size)) ELSE hits END AS moved,
+  CASE WHEN ramp THEN NULL WHEN slow THEN size / 2 / 0.75 ELSE size / 2 END AS peak_at FROM p),
+c AS (SELECT *, (still AND slot_no % 2 = 0 AND peak_at >= 0.25 * size AND peak_at <= size - 0.3) AS frozen FROM f)
+SELECT axis, slot_no, array_to_string(moved, ',') AS hits, array_to_string([greatest(0.0, round(x, 4)) FOR x IN punches], ',') AS punches, CASE WHEN section = 'drop' THEN 0.02::DOUBLE ELSE 0.0 END AS shake, CASE WHEN size >= 4 THEN 0.06::DOUBLE ELSE 0.0 END AS push_in,
+  CASE WHEN frozen THEN round(peak_at, 4) END AS freeze_at,
+  array_to_string(list_filter([CASE WHEN ramp THEN 'tempo 0.5x>2x' WHEN slow THEN 'tempo 0.75x' END, CASE WHEN len(punches) > 0 THEN 'zoom_punch x' || len(punches) END, CASE WHEN section = 'drop' THEN 'shake' END, CASE WHEN size >= 4 THEN 'push_in' END,
+    CASE WHEN frozen THEN 'freeze' END], lambda x: x IS NOT NULL), ', ') AS labels FROM c""",
+)
+def plan_effects(spark, sf):
+    s, bars = edited_slots(spark, sf)
+    e = fx.effects(fx.prepare(s, RAMP, SLOW, FREEZE), bars, "axis", 0.5, PUNCH, SHAKE, PUSH, FREEZE)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return e.select("axis", "slot_no", text("hits"), text("punches"), "shake", "push_in", "freeze_at", F.array_join("labels", ", ").alias("labels"))

@@ -55,12 +55,12 @@ def songs(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("mp3"
     return files(spark, folder, extensions, recursive=True).select("path", "length", artist.alias("artist"), title.alias("title"))
 
 
-_TIME = r"(\d+):(\d\d):(\d\d)[.,](\d{1,3})"
+_TIME = r"(?:(\d+):)?(\d\d):(\d\d)[.,](\d{1,3})"
 
 
 def _seconds(mark: Column) -> Column:
     part = lambda k: F.regexp_extract(mark, _TIME, k)
-    return part(1).try_cast("double") * 3600 + part(2).try_cast("double") * 60 + part(3).try_cast("double") + F.rpad(part(4), 3, "0").try_cast("double") / 1000
+    return F.coalesce(part(1).try_cast("double"), F.lit(0.0)) * 3600 + part(2).try_cast("double") * 60 + part(3).try_cast("double") + F.rpad(part(4), 3, "0").try_cast("double") / 1000
 
 
 def subtitles(spark: SparkSession, path: str, skip_style: str = "(?i)sign|song|karaoke|op|ed") -> DataFrame:
