@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators import boxes
+
 
 def runs(df: DataFrame, by: list[str], i: str, max_gap: int = 0) -> DataFrame:
     """Gaps and islands: maximal runs of indexes ``i`` in which no step is over ``max_gap`` + 1 (first, last, rows)."""
@@ -87,15 +89,12 @@ def jumps(df: DataFrame, by: list[str], i: str, value: str, width: int, min_jump
 
 
 def suppress(df: DataFrame, by: list[str], i: str, strength: str, distance: int, most: int) -> DataFrame:
-    """Greedy suppression: strongest first (ties: earlier), each removes those nearer than ``distance``; at most ``most`` a group, in order of ``i``."""
-    items = F.array_sort(F.collect_list(F.struct((-F.col(strength)).alias("v"), F.col(i).cast("long").alias("i"))))
-    empty = F.array().cast("array<struct<v:double,i:bigint>>")
-    kept = F.aggregate(
-        items,
-        empty,
-        lambda acc, x: F.when((F.size(acc) < most) & ~F.exists(acc, lambda y: F.abs(y["i"] - x["i"]) < distance), F.concat(acc, F.array(F.struct(x["v"].cast("double").alias("v"), x["i"].alias("i"))))).otherwise(acc),
-    )
-    return df.groupBy(*by).agg(kept.alias("_kept")).select(*by, F.explode("_kept").alias("_item")).select(*by, F.col("_item.i").alias(i), (-F.col("_item.v")).alias(strength))
+    """Greedy suppression: strongest first (ties: earlier), each removes those nearer than ``distance``; at most ``most`` a group, the strongest."""
+    rows = df.select(*by, F.col(i).cast("long").alias(i), F.col(strength).cast("double").alias(strength))
+    gone = boxes.beaten(boxes.nearby(rows, by, i, F.col(strength), distance), by).withColumnRenamed("id", i)
+    kept = rows.join(gone, [*by, i], "left_anti")
+    at = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(strength).desc(), i))
+    return kept.withColumn("_at", at).where(F.col("_at") <= most).drop("_at")
 
 
 def zscore(value: str, by: list[str]) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators import boxes
 from tessella.session import written
 
 #: References at most; they travel as one value.
@@ -134,11 +135,7 @@ def box_iou(a: list[Column], b: list[Column]) -> Column:
     return F.when(union > 0, inter / F.nullif(union, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def nms(boxes: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
-    """Greedy suppression of boxes (``box_id, x, y, w, h, score``) in each group: best score first, ties by id; those that overlap a kept one go."""
-    item = F.struct((-F.col("score")).alias("v"), "box_id", "x", "y", "w", "h")
-    items = F.array_sort(F.collect_list(item))
-    kind = "array<struct<v:double,box_id:bigint,x:double,y:double,w:double,h:double>>"
-    sides = lambda z: [z[c] for c in "xywh"]
-    kept = F.aggregate(items.cast(kind), F.array().cast(kind), lambda acc, z: F.when(F.exists(acc, lambda y: box_iou(sides(y), sides(z)) > threshold), acc).otherwise(F.concat(acc, F.array(z))))
-    return boxes.groupBy(*by).agg(kept.alias("_k")).select(*by, F.explode("_k").alias("_item")).select(*by, F.col("_item.box_id").alias("box_id"), (-F.col("_item.v")).alias("score"))
+def nms(found: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
+    """Greedy suppression of boxes (``box_id, x, y, w, h, score``) in each group: best score first, ties by id; those that overlap a kept one by more than ``threshold`` go."""
+    gone = boxes.beaten(boxes.overlaps(found, by, threshold, box_iou), by).withColumnRenamed("id", "box_id")
+    return found.join(gone, [*by, "box_id"], "left_anti").select(*by, "box_id", F.col("score").cast("double").alias("score"))

@@ -553,10 +553,10 @@ def identify(spark, sf):
 def boxes(spark, sf):
     p = table(spark, sf, "part")
     at = lambda m: ((F.col("p_partkey") * m) % 40).cast("double")
-    return p.select((F.col("p_partkey") % 20).alias("frame"), F.col("p_partkey").alias("box_id"), at(7).alias("x"), at(11).alias("y"), (F.col("p_size") % 20 + 5).cast("double").alias("w"), (F.col("p_size") % 15 + 5).cast("double").alias("h"), F.col("p_retailprice").alias("score"))
+    return p.select(F.expr("p_partkey div 100").alias("frame"), F.col("p_partkey").alias("box_id"), at(7).alias("x"), at(11).alias("y"), (F.col("p_size") % 20 + 5).cast("double").alias("w"), (F.col("p_size") % 15 + 5).cast("double").alias("h"), F.col("p_retailprice").alias("score"))
 
 
-@query("box_iou", "WITH b AS (SELECT p_partkey % 20 AS frame, p_partkey AS box_id, CAST(p_partkey * 7 % 40 AS DOUBLE) AS x, CAST(p_partkey * 11 % 40 AS DOUBLE) AS y, CAST(p_size % 20 + 5 AS DOUBLE) AS w, CAST(p_size % 15 + 5 AS DOUBLE) AS h FROM part), n AS (SELECT box_id, x, y, w, h, lead(x) OVER o AS x2, lead(y) OVER o AS y2, lead(w) OVER o AS w2, lead(h) OVER o AS h2 FROM b WINDOW o AS (PARTITION BY frame ORDER BY box_id)), i AS (SELECT *, greatest(0, least(x + w, x2 + w2) - greatest(x, x2)) * greatest(0, least(y + h, y2 + h2) - greatest(y, y2)) AS inter FROM n WHERE x2 IS NOT NULL) SELECT box_id, round(inter / (w * h + w2 * h2 - inter), 6) AS iou FROM i")
+@query("box_iou", "WITH b AS (SELECT p_partkey // 100 AS frame, p_partkey AS box_id, CAST(p_partkey * 7 % 40 AS DOUBLE) AS x, CAST(p_partkey * 11 % 40 AS DOUBLE) AS y, CAST(p_size % 20 + 5 AS DOUBLE) AS w, CAST(p_size % 15 + 5 AS DOUBLE) AS h FROM part), n AS (SELECT box_id, x, y, w, h, lead(x) OVER o AS x2, lead(y) OVER o AS y2, lead(w) OVER o AS w2, lead(h) OVER o AS h2 FROM b WINDOW o AS (PARTITION BY frame ORDER BY box_id)), i AS (SELECT *, greatest(0, least(x + w, x2 + w2) - greatest(x, x2)) * greatest(0, least(y + h, y2 + h2) - greatest(y, y2)) AS inter FROM n WHERE x2 IS NOT NULL) SELECT box_id, round(inter / (w * h + w2 * h2 - inter), 6) AS iou FROM i")
 def box_iou(spark, sf):
     o = Window.partitionBy("frame").orderBy("box_id")
     n = boxes(spark, sf).withColumns({f"{c}2": F.lead(c).over(o) for c in "xywh"}).where("x2 is not null")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.operators import clips, matching, media, song
+from tessella.operators import boxes, clips, matching, media, song
 from tessella.operators import effects as fx
 from tessella.operators import suggest as songs_for
 from tessella.operators.fusion import MOODS
@@ -442,3 +442,20 @@ def plan_effects(spark, sf):
     e = fx.effects(fx.prepare(s, RAMP, SLOW, FREEZE), bars, "axis", 0.5, PUNCH, SHAKE, PUSH, FREEZE)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return e.select("axis", "slot_no", text("hits"), text("punches"), "shake", "push_in", "freeze_at", F.array_join("labels", ", ").alias("labels"))
+
+
+# Detector output -------------------------------------------------------------------------------------------------------------------
+@query(
+    "decode_boxes",
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+r AS (SELECT vec_id, k, v[k * 6 + 1] AS x, v[k * 6 + 2] AS y, v[k * 6 + 3] - v[k * 6 + 1] AS w, v[k * 6 + 4] - v[k * 6 + 2] AS h, v[k * 6 + 5] AS score FROM (SELECT *, unnest(range(0, 10)) AS k FROM v WHERE vec_id % 2 = 0)),
+c AS (SELECT vec_id, k, v[k + 1] - v[k + 17] / 2 AS x, v[k + 9] - v[k + 25] / 2 AS y, v[k + 17] AS w, v[k + 25] AS h, greatest(v[k + 33], v[k + 41], v[k + 49], v[k + 57]) AS score FROM (SELECT *, unnest(range(0, 8)) AS k FROM v WHERE vec_id % 2 = 1)),
+b AS (SELECT * FROM r UNION ALL SELECT * FROM c)
+SELECT vec_id, k AS box_id, score, round(greatest(0.0, least(1.0, (x + 0.25) / 0.5 / 1.6::DOUBLE)), 4) AS x0, round(greatest(0.0, least(1.0, (y + 0.5) / 0.5 / 2.0)), 4) AS y0,
+  round(greatest(0.0, least(1.0, (x + w + 0.25) / 0.5 / 1.6::DOUBLE)), 4) AS x1, round(greatest(0.0, least(1.0, (y + h + 0.5) / 0.5 / 2.0)), 4) AS y1 FROM b WHERE score >= 0.1""",
+)
+def decode_boxes(spark, sf):
+    """Every vector as the raw output of a detector: ten boxes by row, or eight by column with four classes."""
+    even = F.col("vec_id") % 2 == 0
+    raw = table(spark, sf, "embeddings").select("vec_id", F.when(even, 10).otherwise(8).alias("rows"), F.when(even, 6).otherwise(8).alias("columns"), F.col("embedding").alias("values"))
+    return boxes.in_image(boxes.decode(raw, "vec_id", 0.1), 0.5, -0.25, -0.5, 1.6, 2.0)
