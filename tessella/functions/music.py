@@ -88,3 +88,28 @@ def apply_look(r: Column, g: Column, b: Column, warmth: float = 0.0, tint: float
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(lift) + F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * F.lit(1 - lift)))
 
     return [channel(c) for c in (r, g, b)]
+
+
+def scaled_mean(weights: dict[str, float], ranges: dict[str, tuple[float, float]]) -> Column:
+    """The weighted mean of measured columns, each scaled from its range to 0 to 1 and cut there (those without a range as they are), 3 digits; 0.5 without weight above 0."""
+    used = {k: w for k, w in weights.items() if w > 0}
+    if not used:
+        return F.lit(0.5)
+    unit = lambda k: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(k) - ranges[k][0]) / (ranges[k][1] - ranges[k][0]))) if k in ranges else F.col(k)
+    total = F.lit(0.0)
+    for k, w in used.items():
+        total = total + unit(k) * w
+    return F.round(total / sum(used.values()), 3)
+
+
+def place_fit(arousal: Column, valence: Column, at: tuple[float, float], spread: float) -> Column:
+    """How near a song is to the place of a mood: 1 there, falling with the square of the distance; 3 digits."""
+    d = (arousal - at[0]) * (arousal - at[0]) + (valence - at[1]) * (valence - at[1])
+    return F.round(F.exp(-d / (2 * spread * spread)), 3)
+
+
+def describe(arousal: Column, valence: Column) -> Column:
+    """Words for a place: ``calm``, ``medium tempo`` or ``energetic``, and ``rather sad``, ``neutral`` or ``rather happy``; null for null."""
+    energy = F.when(arousal < 0.35, "calm").when(arousal > 0.65, "energetic").when(arousal.isNotNull(), "medium tempo")
+    mood = F.when(valence < 0.4, "rather sad").when(valence > 0.6, "rather happy").when(valence.isNotNull(), "neutral")
+    return F.concat(energy, F.lit(", "), mood)

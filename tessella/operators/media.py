@@ -70,3 +70,31 @@ def season_of(searches: DataFrame, candidates: DataFrame, links: DataFrame, leas
     first = best_match(candidates, "search", "score", "place", least).select("search", "id")
     asked = searches.join(first, "search").select("search", "number", "id", (F.col("number") - 1).alias("hops"))
     return follow(asked, links).select("search", "number", F.col("id").alias("first"), F.col("reached").alias("found"))
+
+
+#: Kinds of spans that a player may skip.
+SKIP_KINDS = ("op", "ed", "recap", "mixed-op", "mixed-ed")
+SKIPS = "found boolean, results array<struct<skipType string, interval struct<startTime double, endTime double>, episodeLength double>>"
+EPISODES = "data array<struct<mal_id int, title string, filler boolean, recap boolean>>"
+
+
+def skip_times(payloads: DataFrame, key: str, payload: str, duration: str, most: float = 15.0) -> DataFrame:
+    """``key, kind, start, end`` of the spans in each episode's payload that fit its ``duration``.
+
+    Of each kind the entry counts whose file is nearest in length, the first of
+    several; those that differ by more than ``most`` do not count, as their
+    times belong to another cut. A null duration or length fits by 0. Payloads
+    that are no JSON, say nothing was found, or name other kinds give no rows.
+    """
+    p = payloads.select(key, duration, F.from_json(F.col(payload), SKIPS).alias("p")).where("p.found")
+    r = p.select(key, duration, F.posexplode("p.results").alias("_at", "r")).where(F.col("r.skipType").isin(*SKIP_KINDS))
+    r = r.withColumn("_off", F.coalesce(F.abs(F.col("r.episodeLength") - F.col(duration)), F.lit(0.0))).where(F.col("_off") <= most)
+    best = r.groupBy(key, F.col("r.skipType").alias("kind")).agg(F.min_by("r.interval", F.struct("_off", "_at")).alias("i"))
+    return best.select(key, "kind", F.col("i.startTime").alias("start"), F.col("i.endTime").alias("end"))
+
+
+def episode_list(pages: DataFrame, key: str, page: str, payload: str) -> DataFrame:
+    """``key, number, title, filler, recap`` of the episodes in the pages of each series; the last page that has a number counts, its last entry first."""
+    e = pages.select(key, page, F.posexplode(F.from_json(F.col(payload), EPISODES)["data"]).alias("_at", "e")).where("e.mal_id is not null")
+    last = e.groupBy(key, F.col("e.mal_id").alias("number")).agg(F.max_by("e", F.struct(page, "_at")).alias("e"))
+    return last.select(key, "number", "e.title", F.coalesce("e.filler", F.lit(False)).alias("filler"), F.coalesce("e.recap", F.lit(False)).alias("recap"))

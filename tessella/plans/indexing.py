@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.operators import framing, stages
+from tessella.functions import music
+from tessella.operators import framing, media, people, stages
 from tessella.operators.stages import Stage
 from tessella.plans.queries import HOUR, SPANS, _sig, query, spans
 from tessella.sources.readers import table
@@ -182,3 +183,127 @@ def skips_written(spark, sf):
 @query("skips_source", f"WITH {FOUND} SELECT doc_id, coalesce(string_agg(DISTINCT part, '+' ORDER BY part), 'none') AS skips_source FROM (SELECT doc_id, unnest(coalesce(string_split(source, '+'), [NULL])) AS part FROM found) GROUP BY doc_id")
 def skips_source(spark, sf):
     return skips_of(spark, sf)[1]
+
+
+# Characters, spans and moods -------------------------------------------------------------------------------------------------------
+CAST = """cast_ AS (SELECT p_brand AS season, p_partkey AS character_id, p_name AS name, p_size AS position, CASE p_partkey % 3 WHEN 0 THEN 'MAIN' WHEN 1 THEN 'SUPPORTING' ELSE 'OTHER' END AS role, CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END AS r FROM part),
+names AS (SELECT DISTINCT p_brand AS season, p_type AS request, unnest([split_part(p_name, ' ', 2), p_name, split_part(p_name, ' ', 1)]) AS search FROM part),
+hits AS (SELECT n.season, n.search, c.character_id, name, CASE WHEN name = search THEN 3 WHEN list_contains(string_split(name, ' '), search) THEN 2 ELSE 1 END AS score, row_number() OVER (PARTITION BY n.season, n.search ORDER BY CASE WHEN name = search THEN 3 WHEN list_contains(string_split(name, ' '), search) THEN 2 ELSE 1 END DESC, r, position, character_id) - 1 AS place
+  FROM (SELECT DISTINCT season, search FROM names) n JOIN cast_ c ON c.season = n.season AND contains(name, search))"""
+
+
+def cast_of(spark, sf):
+    key = F.col("p_partkey")
+    p = table(spark, sf, "part")
+    characters = p.select(F.col("p_brand").alias("season"), key.alias("character_id"), F.col("p_name").alias("name"), F.when(key % 3 == 0, "MAIN").when(key % 3 == 1, "SUPPORTING").otherwise("OTHER").alias("role"), F.col("p_size").alias("position"))
+    part = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
+    asked = p.select(F.col("p_brand").alias("season"), F.col("p_type").alias("request"), F.explode(F.array(part(2), F.col("p_name"), part(1))).alias("search"))
+    return characters, asked.distinct()
+
+
+@query("find_characters", f"WITH {CAST} SELECT season, search, character_id, score, place FROM hits")
+def find_characters(spark, sf):
+    """Whole names and their words, upper-cased, against the parts of each brand."""
+    characters, asked = cast_of(spark, sf)
+    found = people.find(asked.select("season", F.upper("search").alias("search")), characters, "season", "search")
+    return found.select("season", F.lower("search").alias("search"), "character_id", "score", "place")
+
+
+@query(
+    "pick_characters",
+    f"""WITH {CAST}, lists AS (SELECT season, request, search, row_number() OVER (PARTITION BY season, request ORDER BY search) - 1 AS position FROM (SELECT * FROM names UNION SELECT season, request, 'nobody' FROM names)),
+m AS (SELECT l.*, h.character_id FROM lists l LEFT JOIN hits h ON h.season = l.season AND h.search = l.search AND place = 0),
+o AS (SELECT season, search, string_agg(name, ',' ORDER BY place) AS others FROM hits WHERE place BETWEEN 1 AND 3 GROUP BY ALL)
+SELECT m.season, request, position, m.search, coalesce(character_id, -1) AS character_id, CASE WHEN character_id IS NULL THEN 'unknown' WHEN row_number() OVER (PARTITION BY m.season, request, character_id ORDER BY position) > 1 THEN 'repeated' ELSE 'found' END AS status, coalesce(others, '') AS others
+FROM m LEFT JOIN o ON o.season = m.season AND o.search = m.search""",
+)
+def pick_characters(spark, sf):
+    characters, asked = cast_of(spark, sf)
+    every = asked.unionByName(asked.select("season", "request", F.lit("nobody").alias("search"))).distinct()
+    lists = every.groupBy("season", "request").agg(F.array_join(F.array_sort(F.collect_list("search")), ", ").alias("text"))
+    p = people.pick(lists, characters, "season", "request", "text")
+    return p.withColumns({"position": F.col("position").cast("long"), "character_id": F.coalesce("character_id", F.lit(-1).cast("long")), "others": F.array_join("others", ",")})
+
+
+PEOPLE = """faces AS (SELECT o_orderpriority AS season, l_orderkey AS clip, l_orderkey * 8 + l_linenumber AS face_id, CASE WHEN l_suppkey % 9 > 0 THEN l_suppkey % 9 END AS character_id, l_discount AS probability, l_quantity AS height FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def people_of(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("season"))
+    who = F.col("l_suppkey") % 9
+    return table(spark, sf, "lineitem").join(o, "l_orderkey").select(
+        "season", F.col("l_orderkey").alias("clip"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("face_id"), F.when(who > 0, who).alias("character_id"), F.col("l_discount").alias("probability"), F.col("l_quantity").alias("height")
+    )
+
+
+@query(
+    "character_overview",
+    f"""WITH {PEOPLE}, c AS (SELECT season, unnest(range(1, 11)) AS character_id FROM (SELECT DISTINCT season FROM faces))
+SELECT c.season, c.character_id, count(DISTINCT clip) AS clips, count(f.character_id) AS faces, coalesce(round(CAST(sum(CAST(round(probability * 100, 0) AS BIGINT)) AS BIGINT) / count(f.character_id), 4), -1.0) AS mean FROM c LEFT JOIN faces f ON f.season = c.season AND f.character_id = c.character_id GROUP BY ALL""",
+)
+def character_overview(spark, sf):
+    """Ten characters a season, of whom two are never seen; probabilities in hundredths, so that sums are exact."""
+    faces = people_of(spark, sf).withColumn("probability", F.round(F.col("probability") * 100).cast("long"))
+    cast = faces.select("season").distinct().select("season", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(10).cast("long"))).alias("character_id")).withColumns({"name": F.lit(""), "role": F.lit("MAIN")})
+    return people.overview(cast, faces, "season").drop("name", "role").withColumn("mean", F.coalesce(F.round("mean", 4), F.lit(-1.0)))
+
+
+@query(
+    "character_sheet",
+    f"""WITH {PEOPLE}, o AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY season, character_id) AS n FROM faces WINDOW w AS (PARTITION BY season, character_id ORDER BY CASE WHEN character_id IS NULL THEN -height ELSE -probability END, face_id)),
+s AS (SELECT * FROM o WHERE CASE WHEN character_id IS NULL THEN i < 12 ELSE n <= 12 OR list_contains([CAST(round_even(k * (n - 1) / 11, 0) AS BIGINT) FOR k IN range(0, 12)], i) END)
+SELECT season, coalesce(character_id, 0) AS character_id, face_id, row_number() OVER (PARTITION BY season, character_id ORDER BY i) - 1 AS place FROM s""",
+)
+def character_sheet(spark, sf):
+    s = people.sheet(people_of(spark, sf), "season", 12)
+    return s.select("season", F.coalesce("character_id", F.lit(0).cast("long")).alias("character_id"), "face_id", "place")
+
+
+@query(
+    "skip_times",
+    """WITH r AS (SELECT l_orderkey, l_linenumber, ['op', 'ed', 'intro'][l_suppkey % 3 + 1] AS kind, l_partkey % 60 + 1400 AS length, l_quantity AS start, o_custkey % 60 + 1400 AS duration, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT l_orderkey, kind, arg_min(start, (abs(length - duration), l_linenumber, start)) AS start, arg_min(start, (abs(length - duration), l_linenumber, start)) + 90 AS "end" FROM r WHERE o_orderstatus <> 'P' AND kind <> 'intro' AND abs(length - duration) <= 15 GROUP BY ALL""",
+)
+def skip_times(spark, sf):
+    """Every order an episode whose line items are the entries of its payload."""
+    kind = F.element_at(F.array(F.lit("op"), F.lit("ed"), F.lit("intro")), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    entry = F.struct(F.col("l_linenumber").alias("n"), kind.alias("skipType"), F.struct(F.col("l_quantity").alias("startTime"), (F.col("l_quantity") + 90).alias("endTime")).alias("interval"), (F.col("l_partkey") % 60 + 1400).cast("double").alias("episodeLength"))
+    items = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("results"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 60 + 1400).cast("double").alias("duration"), (F.col("o_orderstatus") != "P").alias("found"))
+    payload = F.to_json(F.struct("found", "results")).alias("payload")
+    return media.skip_times(items.join(o, "l_orderkey").select("l_orderkey", "duration", payload), "l_orderkey", "payload", "duration")
+
+
+@query("episode_list", "SELECT o_custkey, CAST(o_orderkey % 7 AS INT) AS number, arg_max(o_orderstatus, o_orderkey) AS title, arg_max(o_orderpriority, o_orderkey) = '5-LOW' AS filler, false AS recap FROM orders GROUP BY ALL")
+def episode_list(spark, sf):
+    """Every order a page of one episode of its customer's series; later orders are later pages."""
+    row = F.struct((F.col("o_orderkey") % 7).alias("mal_id"), F.col("o_orderstatus").alias("title"), F.when(F.col("o_orderpriority") == "5-LOW", True).alias("filler"))
+    pages = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.to_json(F.struct(F.array(row).alias("data"))).alias("payload"))
+    return media.episode_list(pages, "o_custkey", "o_orderkey", "payload")
+
+
+#: What measures mean 0 and 1, how they weigh, and where each mood lies (arousal, valence).
+MEASURES = {"tempo": (60, 180), "onsets": (1.0, 7.0), "percussive": (0.1, 0.5), "brightness": (800, 3000), "loudness": (-22, -8)}
+AROUSAL = {"tempo": 0.15, "onsets": 0.3, "percussive": 0.3, "brightness": 0.15, "loudness": 0.1}
+VALENCE = {"major": 0.6, "brightness": 0.25, "tempo": 0.15}
+PLACES = {"action": (0.85, 0.4), "funny": (0.7, 0.85), "romance": (0.35, 0.65), "calm": (0.15, 0.55), "sad": (0.2, 0.15)}
+MEASURED = {"tempo": "(p_size * 5)", "onsets": "(p_size % 9)", "percussive": "(p_partkey % 7 / 10)", "brightness": "(p_retailprice * 1.5)", "loudness": "(p_partkey % 20 - 25)", "major": "(p_partkey % 5 / 4)"}
+
+
+def _weighed(weights: dict[str, float]) -> str:
+    unit = lambda k: f"least(1.0, greatest(0.0, ({MEASURED[k]}::DOUBLE - {MEASURES[k][0]}) / {MEASURES[k][1] - MEASURES[k][0]}::DOUBLE))" if k in MEASURES else f"{MEASURED[k]}::DOUBLE"
+    return f"round(({' + '.join(f'{unit(k)} * {w}::DOUBLE' for k, w in weights.items())}) / {sum(weights.values())!r}::DOUBLE, 3)"
+
+
+@query(
+    "song_feature_moods",
+    f"""WITH m AS (SELECT p_partkey, {_weighed(AROUSAL)} AS arousal, {_weighed(VALENCE)} AS valence FROM part)
+SELECT *, {', '.join(f"round(exp(-((arousal - {a}::DOUBLE) * (arousal - {a}::DOUBLE) + (valence - {v}::DOUBLE) * (valence - {v}::DOUBLE)) / {2 * 0.3 * 0.3!r}::DOUBLE), 3) AS {k}" for k, (a, v) in PLACES.items())},
+  CASE WHEN arousal < 0.35 THEN 'calm' WHEN arousal > 0.65 THEN 'energetic' ELSE 'medium tempo' END || ', ' || CASE WHEN valence < 0.4 THEN 'rather sad' WHEN valence > 0.6 THEN 'rather happy' ELSE 'neutral' END AS description FROM m""",
+)
+def song_feature_moods(spark, sf):
+    """Every part a song with measures of its columns."""
+    p = table(spark, sf, "part").select("p_partkey", *[F.expr(f"cast({e} as double)").alias(k) for k, e in MEASURED.items()])
+    p = p.select("p_partkey", music.scaled_mean(AROUSAL, MEASURES).alias("arousal"), music.scaled_mean(VALENCE, MEASURES).alias("valence"))
+    a, v = F.col("arousal"), F.col("valence")
+    return p.select("*", *[music.place_fit(a, v, at, 0.3).alias(k) for k, at in PLACES.items()], music.describe(a, v).alias("description"))
