@@ -27,7 +27,7 @@ from tessella.llm.common import bounded_batches, neighbours, text_id, written
 
 # Elements and words of HTML. -----------------------------------------------------------------------------
 #: Elements whose content is never text of the page.
-SILENT = "script style noscript template iframe object svg math canvas audio video select textarea title datalist".split()
+SILENT = "script style noscript template iframe svg canvas select textarea title datalist".split()
 #: Elements that are furniture wherever they stand.
 FURNITURE = "nav footer aside form menu dialog button".split()
 #: Elements that start a new block.
@@ -50,6 +50,8 @@ NAMES = (
 ).split()
 #: Those of them that do so inside an article too.
 INSIDE = "ad ads adsense advert adverts advertisement advertising sponsored promo newsletter comment comments disqus share sharing".split()
+#: Last parts of names that mark what readers write, wherever it stands; not after these first parts, which are of pages that have it.
+READERS, HAVING = "comment comments reply replies response responses disqus discussion".split(), "has have with no without show hide".split()
 #: ARIA roles that mark furniture.
 ROLES = "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
 # -------------------------------------------------------------------------------------------------------------------------
@@ -64,7 +66,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s>/=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_SETS = {k: frozenset(v) for k, v in (("furniture", FURNITURE), ("blocks", BLOCKS), ("nested", NESTED), ("leaves", LEAVES), ("names", NAMES), ("inside", INSIDE), ("roles", ROLES))}
+_SETS = {k: frozenset(v) for k, v in (("furniture", FURNITURE), ("blocks", BLOCKS), ("nested", NESTED), ("leaves", LEAVES), ("names", NAMES), ("inside", INSIDE), ("roles", ROLES), ("readers", READERS), ("having", HAVING))}
 
 
 def _marked(attrs: str, names: str = "names") -> bool:
@@ -77,11 +79,19 @@ def _marked(attrs: str, names: str = "names") -> bool:
         value = "".join(values).lower()
         if name.lower() in ("class", "id") and any(w in _SETS[names] or _WORD.match(w) and _WORD.match(w)[0] in _SETS[names] for w in value.split()):
             return True
+        if name.lower() in ("class", "id") and any(_of_readers(w) for w in value.split()):
+            return True
         if name.lower() == "role" and value.strip() in _SETS["roles"]:
             return True
     return False
 
 
+def _of_readers(name: str) -> bool:
+    """Whether a name such as ``reader-responses`` or ``post_comments`` is of what readers write."""
+    parts = _WORD.findall(name)
+    return len(parts) > 1 and parts[-1] in _SETS["readers"] and parts[0] not in _SETS["having"]
+
+
 def page_lines(page: str | None) -> tuple[list[str], list[int]]:
     """The text lines of a page in order, and what the markup says of each: PLAIN, ARTICLE, LINKS (most of it is link text) or DROPPED."""
     lines: list[str] = []
