@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators import ranks
 from tessella.session import written
 
 
@@ -84,3 +85,9 @@ def nearby(df: DataFrame, by: list[str], i: str, strength: Column, distance: int
     other = own.select(*by, F.col("a").alias("b"), F.col("_s").alias("_t"), F.explode(F.array(*[F.col("_c") + k for k in (-1, 0, 1)])).alias("_c"))
     before = (F.col("_s") > F.col("_t")) | ((F.col("_s") == F.col("_t")) & (F.col("a") < F.col("b")))
     return own.join(other, [*by, "_c"]).where(before & (F.abs(F.col("a") - F.col("b")) < distance)).select(*by, "a", "b")
+
+
+def keep_largest(faces: DataFrame, frame: list[str], least_height: float, most: int, *ties: str) -> DataFrame:
+    """Faces (``x0, y0, x1, y1``) at least ``least_height`` high and not without width, the ``most`` largest by area of each frame; ``ties`` settle equal ones."""
+    width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return ranks.top_k(faces.where((height >= least_height) & (width > 0)), most, frame, (width * height).desc(), *[F.col(c) for c in ties])

@@ -56,3 +56,42 @@ def plan_frames(clips: DataFrame, axis: str, clip: str, fps: float, edge: float,
 def frame_owners(plan: DataFrame, axis: str, clip: str) -> DataFrame:
     """For each frame to read once, the clips it is for, in order."""
     return plan.groupBy(axis, "frame").agg(F.array_sort(F.collect_list(F.struct(clip, "thumbnail"))).alias("owners"))
+
+
+def usable(scenes: DataFrame, skip_start: Column, skip_end: Column) -> DataFrame:
+    """``scenes`` cut to their video (``duration``) without its first and last seconds; what is empty then goes."""
+    cut = scenes.withColumns({"start": F.greatest(F.col("start"), skip_start), "end": F.least(F.col("end"), F.col("duration") - skip_end)})
+    return cut.where("end > start")
+
+
+def clip_audio(clips: DataFrame, audio: DataFrame, axis: str, clip: str, rate: int, block: int, full: float = 1.0) -> DataFrame:
+    """``axis, clip, loudness`` (dBFS, 2 digits): the root mean square of the samples of each clip against ``full`` scale.
+
+    ``clips``: ``start, end`` in seconds, of samples from floor(start * rate) to
+    before floor(end * rate); those beyond the audio do not count. ``audio``:
+    ``block`` (from 0, without gaps) and ``samples``, ``block`` many of them but
+    in the last. A clip without samples, or a silent one, has -100, one
+    whose axis has no audio null.
+
+    The squares of every block are summed once; a clip takes two look-ups of
+    the sum before a sample, whatever its length, and samples meet only the
+    ends of clips that lie in their block.
+    """
+    square = lambda a, x: a + x.cast("double") * x.cast("double")
+    energy = lambda xs: F.aggregate(xs, F.lit(0.0), square)
+    blocks = audio.select(axis, F.col("block").cast("long").alias("block"), F.size("samples").alias("_len"), energy(F.col("samples")).alias("_own"))
+    before = Window.partitionBy(axis).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocks.withColumn("_before", F.coalesce(F.sum("_own").over(before), F.lit(0.0)))
+    whole = blocks.groupBy(axis).agg(F.sum("_len").alias("_n"), F.sum("_own").alias("_all"))
+    sample = lambda c: F.least(F.greatest(F.floor(F.col(c) * rate), F.lit(0)), F.col("_n"))
+    asked = clips.join(whole, axis, "left").select(axis, clip, "_n", "_all", sample("start").alias("_a"), sample("end").alias("_b"))
+    ends = asked.where("_n is not null").select(axis, F.explode(F.array("_a", "_b")).alias("_at"), F.col("_n")).where("_at < _n").select(axis, "_at").distinct()
+    ends = ends.withColumns({"block": F.expr(f"_at div {block}"), "_rest": (F.col("_at") % block).cast("int")})
+    partial = ends.join(audio.select(axis, F.col("block").cast("long").alias("block"), "samples"), [axis, "block"]).select(axis, "block", "_at", energy(F.slice("samples", F.lit(1), F.col("_rest"))).alias("_part"))
+    upto = partial.join(sums.select(axis, "block", "_before"), [axis, "block"]).select(axis, "_at", (F.col("_before") + F.col("_part")).alias("_upto"))
+    look = lambda k: upto.select(axis, F.col("_at").alias(k), F.col("_upto").alias(f"{k}_sum"))
+    met = asked.join(look("_a"), [axis, "_a"], "left").join(look("_b"), [axis, "_b"], "left")
+    total = F.coalesce("_b_sum", "_all") - F.coalesce("_a_sum", "_all")
+    rms = F.sqrt(F.greatest(total, F.lit(0.0)) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0))) / F.lit(full)
+    decibel = F.round(F.greatest(F.lit(-100.0), 20 * F.log10(rms + 1e-10)), 2)
+    return met.select(axis, clip, F.when(F.col("_n").isNotNull(), F.when(F.col("_b") > F.col("_a"), decibel).otherwise(F.lit(-100.0))).alias("loudness"))

@@ -53,13 +53,25 @@ def profile_similarity(a: list[Column], b: list[Column]) -> Column:
     return F.round(F.when(norm > 1e-12, (F.lit(1.0) + dot / F.nullif(norm, F.lit(0.0))) / 2).otherwise(F.lit(0.5)), 3)
 
 
-def quality(darkest: Column, brightest: Column, contrast: Column, sharpness: Column, typical: Column) -> Column:
-    """(score, issue) of a clip, by the first rule that holds: dark, bright, flat, blurry, fine."""
+def quality(darkest: Column, brightest: Column, contrast: Column, sharpness: Column, typical: Column, prompts: dict[str, Column] | None = None, threshold: float = 0.5) -> Column:
+    """(score, issue) of a clip, by the first rule that holds: dark, bright, flat, a group of ``prompts``, blurry, fine.
+
+    ``prompts`` are probabilities of faults; the greatest (the first of
+    several) counts from ``threshold`` on. Below it they take up to half the
+    score of a fine clip, by their sum. Null means not measured.
+    """
     case = F.when(brightest < 0.06, F.struct(F.lit(0.0).alias("score"), F.lit("dark").alias("issue")))
     case = case.when(darkest > 0.95, F.struct(F.lit(0.0).alias("score"), F.lit("bright").alias("issue")))
     case = case.when(contrast < 0.03, F.struct(F.lit(0.0).alias("score"), F.lit("flat").alias("issue")))
+    fine = F.lit(1.0)
+    if prompts:
+        known = {g: F.coalesce(p, F.lit(0.0)) for g, p in prompts.items()}
+        worst = F.array_max(F.array(*[F.struct(p.alias("p"), F.lit(-i).alias("i"), F.lit(g).alias("g")) for i, (g, p) in enumerate(known.items())]))
+        case = case.when(worst["p"] >= threshold, F.struct(F.lit(0.0).alias("score"), worst["g"].alias("issue")))
+        share = reduce(lambda a, b: a + b, known.values()) / max(threshold, 1e-6)
+        fine = F.round(F.greatest(F.lit(0.5), 1.0 - 0.5 * F.least(F.lit(1.0), share)), 3)
     case = case.when(sharpness < typical * 0.2, F.struct(F.lit(0.2).alias("score"), F.lit("blurry").alias("issue")))
-    return case.otherwise(F.struct(F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("issue")))
+    return case.otherwise(F.struct(fine.alias("score"), F.lit(None).cast("string").alias("issue")))
 
 
 def dialog_flag(subtitle: Column, speech: Column, least: float = 0.3) -> Column:

@@ -110,8 +110,11 @@ def bpm(df: DataFrame, by: list[str], i: str, t: str) -> DataFrame:
     return g.select(*by, F.when((F.col("_n") >= 2) & (F.col("_s") > 0), F.lit(60.0) / F.nullif("_s", F.lit(0.0))).otherwise(F.lit(0.0)).alias("bpm"))
 
 
-def downbeat_phase(df: DataFrame, by: list[str], i: str, value: str, beats: int = 4) -> DataFrame:
-    """The phase of ``beats`` with the greatest mean, the first of several."""
+def downbeat_phase(df: DataFrame, by: list[str], i: str, value: str | list[str], beats: int = 4) -> DataFrame:
+    """The phase of ``beats`` with the greatest mean, the first of several. Several signals count by the sum of their z-scores in the group."""
+    if not isinstance(value, str):
+        df = df.withColumn("_sum", reduce(lambda a, b: a + b, [zscore(v, by) for v in value]))
+        value = "_sum"
     means = df.groupBy(*by, (F.col(i) % beats).cast("int").alias("phase")).agg(F.round(F.avg(value), 6).alias("mean"))
     at = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("mean").desc(), "phase"))
     return means.withColumn("_at", at).where("_at = 1").drop("_at")

@@ -78,6 +78,26 @@ def zero_shot(sims: DataFrame, key: str, group: str, scale: float, how: str) ->
     return p.select(key, group, F.round("p", 4).alias("p"))
 
 
+def zero_shot_windows(sims: DataFrame, item: str, window: str, group: str, prompt: str, scale: float) -> DataFrame:
+    """``item, group, p, mood, top``: groups of prompts for items that were heard in several windows.
+
+    The probabilities of each window are averaged over the windows, then over
+    the prompts of each group, so neither many windows nor many prompts weigh
+    more; ``p`` are the groups' shares (4 digits). ``mood`` is 0.5 where a group
+    is as likely as the mean of all, and 1 from twice that on (3 digits).
+    ``top`` is the likeliest prompt, the least of several. Prompts are told
+    apart by their ids over all groups.
+    """
+    heard = softmax(sims, window, scale).groupBy(item, group, prompt).agg(F.avg("p").alias("p"))
+    part = Window.partitionBy(item)
+    best = F.struct(F.col("p").alias("p"), (-F.col(prompt)).alias("prompt"))
+    groups = heard.groupBy(item, group).agg(F.avg("p").alias("_mean"), F.max(best).alias("_best"))
+    share = F.col("_mean") / F.sum("_mean").over(part)
+    return groups.select(
+        item, group, F.round(share, 4).alias("p"), F.round(F.least(F.lit(1.0), share * F.count("*").over(part) / 2), 3).alias("mood"), (-F.max("_best").over(part)["prompt"]).alias("top"),
+    )
+
+
 def mean_vectors(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     """``key`` and ``mean``: the normalised mean vector of each group, by partial sums of each dimension."""
     dims = df.select(key, F.posexplode(vector).alias("d", "x")).groupBy(key, "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
