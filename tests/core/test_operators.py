@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import music, text
 from tessella.operators import catalogue, fusion, intervals, planner, ranks, series, vectors
+from tessella.plans import editing, indexing, structure  # noqa: F401
 from tessella.plans import queries as plans
 from tessella.sources import readers
 
