@@ -49,37 +49,6 @@ def slug(text: Column) -> Column:
     return F.coalesce(F.nullif(F.replace(normalize_name(text), F.lit(" "), F.lit("_")), F.lit("")), F.lit("untitled"))
 
 
-def episode_number(name: Column) -> Column:
-    """Episode number of a file name: by season-and-episode marks, by words, by a number after a dash, else the last number of its own."""
-    marks = [r"(?i)s\d{1,2}[ ._-]*e(\d{1,4})", r"(?i)\d{1,2}x(\d{1,4})", r"(?i)(?:episode|folge|ep)[ ._-]*(\d{1,4})", r" - (\d{1,4})(?: |\.|v|$)"]
-    found = [F.nullif(F.regexp_extract(name, m, 1), F.lit("")) for m in marks]
-    bare = F.filter(F.regexp_extract_all(F.regexp_replace(name, r"[\[(][^\])]*[\])]", " "), F.lit(r"\b(\d{1,4})\b"), F.lit(1)), lambda x: ~x.isin("480", "720", "1080", "2160", "264", "265"))
-    return F.coalesce(*found, F.get(bare, F.size(bare) - 1)).cast("int")
-
-
-def clean_title(name: Column) -> Column:
-    """A title without brackets, marks of quality, numbers of episodes and separators."""
-    out = F.regexp_replace(name, r"\.[A-Za-z0-9]{2,4}$", "")
-    out = F.regexp_replace(out, r"[\[(][^\])]*[\])]", " ")
-    out = F.regexp_replace(out, r"(?i)s\d{1,2}[ ._-]*e\d{1,4}.*$", " ")
-    out = F.regexp_replace(out, r"(?i)(480|720|1080|2160)p.*$", " ")
-    return F.trim(F.regexp_replace(out, r"[ ._-]+", " "))
-
-
-def song_label(title: Column) -> Column:
-    """A song title without the remarks on the video at its end, in brackets or not, however many there are."""
-    remark = r"(?:official(?: music)? video|official audio|lyrics?(?: video)?|audio|hd|hq|4k|mv)"
-    return F.trim(F.regexp_replace(F.trim(title), rf"(?i)(?:\s*[\[(]\s*{remark}\s*[\])]|\s+{remark})+\s*$", ""))
-
-
-def artist_and_title(name: Column) -> list[Column]:
-    """(artist, title) of a file name: a track number goes, and the first " - " parts them; without it the artist is empty."""
-    stem = F.regexp_replace(F.regexp_replace(name, r"\.[A-Za-z0-9]{2,4}$", ""), r"^\d{1,3}[ ._-]+", "")
-    parts = F.split(stem, " - ", 2)
-    two = F.size(parts) == 2
-    return [F.when(two, F.trim(parts[0])).otherwise(F.lit("")), F.trim(F.when(two, F.get(parts, F.lit(1))).otherwise(stem))]
-
-
 def language_rank(tags: Column, languages: list[str]) -> Column:
     """Position of the best of a file's language tags among the wanted ones; their number if none is wanted."""
     at = F.transform(tags, lambda t: F.nullif(F.array_position(F.array(*map(F.lit, languages)), t), F.lit(0)) - 1)

@@ -95,3 +95,41 @@ def write_skips(known: DataFrame, found: DataFrame, key: str) -> tuple[DataFrame
     source = searched.select(key, F.when(F.col("_s") == "", "none").otherwise(F.col("_s")).alias("skips_source"))
     rows = known.join(searched.select(key), key, "left_anti").unionByName(found.where("kind is not null").select(*known.columns), allowMissingColumns=True)
     return rows, source
+
+
+def prepare_episodes(stored: DataFrame, found: DataFrame, meta: DataFrame, season: str, number: str, marks: tuple[str, ...], resets: tuple[str, ...], force: bool = False) -> DataFrame:
+    """The episodes after a look at their files, with ``work`` (``ready``, ``known``, ``missing``, or null if none was found) and whether its first stage ``marks[0]`` is ``open``.
+
+    ``stored`` has ``season, number, title, filler, recap, source_id, path,
+    size, mtime`` and stages, ``found`` ``title, source_id, path, size, mtime``
+    (path null: not here), ``meta`` ``title, filler, recap``; each table has an
+    episode once. A title comes from ``found``, else ``meta``, else stays.
+
+    An episode with a file is ``ready``: its file is entered, and where that is
+    another than before the stages ``resets`` become null; ``force`` opens the
+    first stage. Without one it is ``known`` if all ``marks`` are set (and not
+    ``force``), else ``missing``, and a missing one is not added. Rows of
+    ``stored`` that were not found stay as they are.
+    """
+    key = [season, number]
+    f = found.select(*key, *[F.col(c).alias(f"_{c}") for c in ("title", "source_id", "path", "size", "mtime")], F.lit(True).alias("_found"))
+    m = meta.select(*key, *[F.col(c).alias(f"_meta_{c}") for c in ("title", "filler", "recap")], F.lit(True).alias("_told"))
+    old = stored.withColumn("_stored", F.lit(True))
+    x = old.join(f, key, "full").join(m, key, "left")
+    done = F.lit(not force)
+    for c in marks:
+        done = done & F.col(c).isNotNull()
+    ready = F.col("_found") & F.col("_path").isNotNull()
+    work = F.when(ready, "ready").when(F.col("_found") & done, "known").when(F.col("_found"), "missing")
+    changed = F.col("size").isNotNull() & ~(F.col("size").eqNullSafe(F.col("_size")) & F.col("mtime").eqNullSafe(F.col("_mtime")))
+    told = F.coalesce(F.col("_found") & F.col("_told"), F.lit(False))
+    new = {
+        "title": F.when(F.col("_found"), F.coalesce("_title", "_meta_title", "title")).otherwise(F.col("title")),
+        "filler": F.when(told, F.col("_meta_filler")).otherwise(F.col("filler")), "recap": F.when(told, F.col("_meta_recap")).otherwise(F.col("recap")),
+        "source_id": F.coalesce("_source_id", "source_id"), **{c: F.when(F.col("_work") == "ready", F.col(f"_{c}")).otherwise(F.col(c)) for c in ("path", "size", "mtime")},
+    }
+    emptied = {c: F.when(F.coalesce((F.col("_work") == "ready") & F.col("_changed"), F.lit(False)), None).otherwise(F.col(c)) for c in resets}
+    if force:
+        emptied[marks[0]] = F.when(F.coalesce(F.col("_work") == "ready", F.lit(False)), None).otherwise(F.col(marks[0]))
+    y = x.withColumns({"_work": work, "_changed": changed}).where("_stored or _work = 'ready'").withColumns({**new, **emptied})
+    return y.select(*stored.columns, F.col("_work").alias("work"), F.coalesce((F.col("_work") == "ready") & F.col(marks[0]).isNull(), F.lit(False)).alias("open"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.operators import boxes, edits, fusion, library, series, vectors
+from tessella.functions import names
+from tessella.operators import boxes, edits, fusion, library, series, stages, vectors
 from tessella.operators import clips as cut
 from tessella.plans.indexing import DAY, faces_of
 from tessella.plans.queries import CLIPS, HOUR, HOURLY, KEY, KEYS, MOODS, POOL, PROMPTS, SPANS, TARGET, clips, hourly, moods, prompt_sims, query, spans, top_pool
@@ -263,3 +264,73 @@ def edit_plans(spark, sf):
     made = table(spark, sf, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("style"), F.col("o_custkey").alias("seed"))
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("slot"), F.col("l_partkey").alias("video"), F.nullif(F.col("l_suppkey") % 13, F.lit(0)).alias("episode"), F.col("l_returnflag").alias("transition"), F.col("l_discount").alias("speech"))
     return edits.plans(made, li, "o_orderkey", "slot")
+
+
+# Names and files -------------------------------------------------------------------------------------------------------------------
+# Names are made of keys, so the SQL knows what they mean without reading them.
+N, S = "(p_partkey % 97 + 1)", "(p_partkey % 9 + 1)"
+FORMS = [
+    (f"concat('[Grp] ', p_name, ' - ', lpad(cast({N} as string), 2, '0'), ' (1080p) [ABCD1234].mkv')", "NULL", "p_name"),
+    (f"concat(replace(p_name, ' ', '.'), '.S0', {S}, 'E', lpad(cast({N} as string), 2, '0'), '.1080p.WEB.x264.mkv')", S, "p_name"),
+    (f"concat(p_name, ' Episode ', {N}, '.mp4')", "NULL", f"concat(p_name, ' Episode ', {N})"),
+    (f"concat(replace(p_name, ' ', '_'), '_Folge_', {N}, '.mkv')", "NULL", f"concat(p_name, ' Folge ', {N})"),
+    (f"concat(p_name, ' - 0', {S}, 'x', lpad(cast({N} as string), 2, '0'), ' - Part 2.mp4')", S, "p_name"),
+    (f"concat(lpad(cast({N} as string), 2, '0'), '.mkv')", "NULL", f"lpad(cast({N} as string), 2, '0')"),
+]
+
+
+def _form(k: int) -> str:
+    return " ".join(["CASE", *[f"WHEN p_partkey % {len(FORMS)} = {i} THEN {form[k]}" for i, form in enumerate(FORMS)], "END"])
+
+
+@query("file_names", f"SELECT p_partkey, CAST({N} AS INT) AS episode, CAST({_form(1)} AS INT) AS season, {_form(2).replace('as string', 'as varchar')} AS title FROM part")
+def file_names(spark, sf):
+    """Every part a file in a folder that says only which season it is."""
+    p = table(spark, sf, "part").select("p_partkey", F.expr(_form(0)).alias("name"))
+    name = F.col("name")
+    return p.select("p_partkey", names.episode_number(name).alias("episode"), names.season_number(name).alias("season"), names.guess_title(F.lit("Season 2"), F.lit("S1"), name).alias("title"))
+
+
+LABELS = [
+    ("p_brand", "concat(p_brand, ' - ', p_name, ' (Official Video)')", "concat(p_brand, ' - ', p_name)"), ("'Some Records'", "concat('DJ ', p_type, ' – ', p_name, ' | NCS | Lyrics')", "concat('DJ ', p_type, ' - ', p_name)"), ("p_brand", "concat(p_name, ' [HD] (Lyric Video)')", "concat(p_brand, ' - ', p_name)"),
+    ("CAST(NULL AS STRING)", "concat(p_name, ' Official Music Video mv')", "p_name"), ("split_part(p_name, ' ', 1)", "p_name", "p_name"), ("p_brand", "concat('\"', p_name, '\"')", "concat(p_brand, ' - ', p_name)"), ("concat(p_brand, '0')", "concat(p_brand, ' - ', p_name)", "concat(p_brand, '0 - ', p_brand, ' - ', p_name)"),
+]
+
+
+def _label(k: int) -> str:
+    return " ".join(["CASE", *[f"WHEN p_partkey % {len(LABELS)} = {i} THEN {form[k]}" for i, form in enumerate(LABELS)], "END"])
+
+
+@query("song_labels", f"SELECT p_partkey, {_label(2)} AS label FROM part")
+def song_labels(spark, sf):
+    """Every part a song whose tags name artists, channels or nobody."""
+    p = table(spark, sf, "part").select("p_partkey", F.expr(_label(0)).alias("artist"), F.expr(_label(1)).alias("title"))
+    return p.select("p_partkey", names.song_label(F.col("artist"), F.col("title")).alias("label"))
+
+
+EPISODE = """e AS (SELECT doc_id // 20 AS season, doc_id % 20 AS number, * FROM documents),
+o AS (SELECT season, number, CASE WHEN doc_id % 4 > 0 THEN 'old ' || doc_id END AS title, false AS filler, 'f' || doc_id AS path, CASE WHEN doc_id % 6 > 0 THEN CAST(n_chars AS BIGINT) END AS size, CAST(doc_id % 3 AS BIGINT) AS mtime, CASE WHEN doc_id % 7 > 0 THEN 'sk' END AS skips, CASE WHEN doc_id % 11 > 0 THEN 'sc' END AS scenes FROM e WHERE doc_id % 5 > 0),
+f AS (SELECT season, number, CASE WHEN doc_id % 3 = 0 THEN 'file ' || doc_id END AS title, CASE WHEN doc_id % 8 > 1 THEN 'g' || doc_id END AS path, CAST(n_chars AS BIGINT) + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS size, CAST(doc_id % 3 AS BIGINT) AS mtime FROM e WHERE doc_id % 13 > 0),
+m AS (SELECT season, number, CASE WHEN doc_id % 2 = 0 THEN 'meta ' || doc_id END AS title, doc_id % 10 = 7 AS filler FROM e WHERE doc_id % 4 <> 1),
+x AS (SELECT coalesce(o.season, f.season) AS season, coalesce(o.number, f.number) AS number, o.season IS NOT NULL AS had, f.season IS NOT NULL AS seen, o.title AS otitle, f.title AS ftitle, o.filler, o.path AS opath, f.path AS fpath, o.size AS osize, f.size AS fsize, skips, scenes,
+  CASE WHEN f.season IS NULL THEN NULL WHEN f.path IS NOT NULL THEN 'ready' WHEN skips IS NOT NULL AND scenes IS NOT NULL THEN 'known' ELSE 'missing' END AS work, f.path IS NOT NULL AND o.size IS NOT NULL AND o.size <> f.size AS other FROM o FULL JOIN f ON f.season = o.season AND f.number = o.number)"""
+
+
+@query(
+    "episodes_prepared",
+    f"""WITH {EPISODE} SELECT x.season, x.number, CASE WHEN seen THEN coalesce(ftitle, m.title, otitle) ELSE otitle END AS title, CASE WHEN seen AND m.season IS NOT NULL THEN m.filler ELSE x.filler END AS filler, CASE WHEN work = 'ready' THEN fpath ELSE opath END AS path,
+  CASE WHEN work = 'ready' THEN fsize ELSE osize END AS size, CASE WHEN NOT other THEN skips END AS skips, CASE WHEN NOT other THEN scenes END AS scenes, work, coalesce(work = 'ready' AND (other OR skips IS NULL), false) AS open FROM x LEFT JOIN m ON m.season = x.season AND m.number = x.number WHERE had OR work = 'ready'""",
+)
+def episodes_prepared(spark, sf):
+    """Every document an episode: a fifth are new, some have no file here, and some files are others than before."""
+    d, none = F.col("doc_id"), F.lit(None).cast("string")
+    e = table(spark, sf, "documents").select("doc_id", F.expr("doc_id div 20").alias("season"), (d % 20).alias("number"), F.col("n_chars").cast("long").alias("size"), (d % 3).cast("long").alias("mtime"))
+    named = lambda condition, word: F.when(condition, F.concat(F.lit(word), d))
+    stored = e.where("doc_id % 5 > 0").select(
+        "season", "number", named(d % 4 > 0, "old ").alias("title"), F.lit(False).alias("filler"), F.lit(False).alias("recap"), none.alias("source_id"), F.concat(F.lit("f"), d).alias("path"), F.when(d % 6 > 0, F.col("size")).alias("size"), "mtime",
+        F.when(d % 7 > 0, "sk").alias("skips"), F.when(d % 11 > 0, "sc").alias("scenes"),
+    )
+    found = e.where("doc_id % 13 > 0").select("season", "number", named(d % 3 == 0, "file ").alias("title"), none.alias("source_id"), named(d % 8 > 1, "g").alias("path"), (F.col("size") + F.when(d % 9 == 0, 1).otherwise(0)).alias("size"), "mtime")
+    meta = e.where("doc_id % 4 <> 1").select("season", "number", named(d % 2 == 0, "meta ").alias("title"), (d % 10 == 7).alias("filler"), F.lit(False).alias("recap"))
+    after = stages.prepare_episodes(stored, found, meta, "season", "number", ("skips", "scenes"), ("skips", "scenes"))
+    return after.select("season", "number", "title", "filler", "path", "size", "skips", "scenes", "work", "open")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.functions.text import artist_and_title, episode_number, spoken
+from tessella.functions.names import artist_and_title, episode_number, guess_title, season_number
+from tessella.functions.text import spoken
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,25 +30,32 @@ def files(spark: SparkSession, folder: str, extensions: tuple[str, ...], recursi
     return named.where(F.lower(F.element_at(F.split("name", r"\."), -1)).isin([e.lower().lstrip(".") for e in extensions]))
 
 
-def episodes(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("mkv", "mp4", "avi")) -> DataFrame:
-    """Episode files of a folder by number: the parsed one, or the place in the folder where it is missing or taken; a place that is taken moves on to the next free one."""
-    f = files(spark, folder, extensions).select("path", "name", "length")
-    # One folder is one season: its listing is small by nature, and one window orders it.
-    numbered = f.withColumns({"place": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("name")), "parsed": episode_number(F.col("name"))})
-    own = F.row_number().over(Window.partitionBy("parsed").orderBy("name")) == 1
-    marked = numbered.withColumn("number", F.when(F.col("parsed").isNotNull() & own, F.col("parsed")))
-    rows = F.array_sort(F.collect_list(F.struct("place", "path", "name", "length", "number")))
-    kind = "array<struct<place:int,path:string,name:string,length:bigint,number:int>>"
-
-    def step(acc, x):
-        has = lambda n: F.exists(acc, lambda y: y["number"] == n) | F.exists("taken", lambda y: y == n)
-        free = F.filter(F.sequence(x["place"], x["place"] + F.size(acc) + F.size("taken") + 1), lambda n: ~has(n))[0]
-        number = F.coalesce(x["number"], free)
-        return F.concat(acc, F.array(F.struct(x["place"].alias("place"), x["path"].alias("path"), x["name"].alias("name"), x["length"].alias("length"), number.alias("number"))))
-
-    whole = marked.agg(rows.cast(kind).alias("rows"), F.collect_set("number").alias("taken"))
-    placed = whole.select(F.explode(F.aggregate("rows", F.array().cast(kind), step)).alias("r"))
-    return placed.select("r.path", "r.name", "r.length", "r.number")
+def _numbered(files: pd.DataFrame) -> pd.DataFrame:
+    """The files of one folder by name, each with its own number, or the first free one from its place on."""
+    files, used, numbers = files.sort_values("name"), set(), []
+    for place, number in enumerate(files["number"], start=1):
+        if pd.isna(number) or number in used:
+            number = next(n for n in range(place, place + len(used) + 1) if n not in used)
+        used.add(int(number))
+        numbers.append(int(number))
+    first = files["name"].iloc[0]
+    return files.assign(number=numbers, first=first)
+
+
+def episodes(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("mkv", "mp4", "avi"), recursive: bool = False) -> DataFrame:
+    """Episode files by folder, each of which is a season: ``folder, path, name, length, number, season, title``.
+
+    Files are taken by name. A number that is missing or taken is replaced by
+    the file's place in its folder, or the next free one. The season is what
+    the folder's name marks, else the first file's, else 1; for the title see
+    ``names.guess_title``. Folders are numbered side by side, and only the
+    listing of one (no contents) is a task's.
+    """
+    f = files(spark, folder, extensions, recursive).select("path", "name", "length").withColumns({"folder": F.regexp_replace("path", "/[^/]*$", ""), "number": episode_number(F.col("name"))})
+    numbered = f.groupBy("folder").applyInPandas(_numbered, "path string, name string, length long, folder string, number int, first string")
+    last = lambda k: F.url_decode(F.coalesce(F.try_element_at(F.split("folder", "/"), F.lit(k)), F.lit("")))
+    season = F.coalesce(season_number(last(-1)), season_number(F.col("first")), F.lit(1))
+    return numbered.select("folder", "path", "name", "length", "number", season.alias("season"), guess_title(last(-1), last(-2), F.col("first")).alias("title"))
 
 
 def songs(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("mp3", "flac", "ogg", "wav", "m4a")) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
-from tessella.functions import text
+from tessella.functions import names
 from tessella.operators import effects as fx
 from tessella.sources import readers
 
@@ -71,5 +71,7 @@ def test_subtitle_marks_without_hours(spark, tmp_path):
 
 
 def test_all_remarks_of_a_title_go(spark):
-    one = lambda t: spark.range(1).select(text.song_label(F.lit(t))).first()[0]
-    assert one("Song (Official Video) [HD] 4K lyrics audio (Lyric Video) hq mv") == "Song" and one("My Audiobook") == "My Audiobook" and one("Paudio") == "Paudio"
+    one = lambda t: spark.range(1).select(names.song_title(F.lit(t))).first()[0]
+    assert one("Song (Official Video) [HD] official audio (Lyric Video) official video mv") == "Song" and one("My Audiobook") == "My Audiobook" and one("Paudio") == "Paudio"
+    # Without brackets only remarks that name a video or its audio go.
+    assert one("Song 4K lyrics audio") == "Song 4K lyrics audio"

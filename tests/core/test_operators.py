@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import music, text
+from tessella.functions import music, names, text
 from tessella.operators import catalogue, fusion, intervals, planner, ranks, series, vectors
 from tessella.plans import editing, indexing, structure  # noqa: F401
 from tessella.plans import queries as plans
@@ -88,8 +88,8 @@ def test_music(spark):
 def test_text(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(text.normalize_name(F.lit("Édouard-Ñ  X!"))) == "edouard n x"
-    assert [one(text.episode_number(F.lit(n))) for n in ("Show S01E05.mkv", "Show - 12 [1080p].mkv", "Folge 7.mp4", "Show 03.avi", "Movie.mkv")] == [5, 12, 7, 3, None]
-    assert one(text.song_label(F.lit("Song (Official Video) [HD]"))) == "Song"
+    assert [one(names.episode_number(F.lit(n))) for n in ("Show S01E05.mkv", "Show - 12 [1080p].mkv", "Folge 7.mp4", "Show 03.avi", "Movie.mkv")] == [5, 12, 7, 3, None]
+    assert one(names.song_label(F.lit(None), F.lit("Song (Official Video) [HD]"))) == "Song"
     assert one(text.title_score(F.lit("red"), F.lit("red"))) == 1.0 and one(text.title_score(F.lit("widget"), F.lit("red widget x"))) >= 0.9
     assert [one(text.mmss(F.lit(s))) for s in (0.0, 65.9, 600.0)] == ["0:00", "1:05", "10:00"]
     assert one(text.language_rank(F.array(F.lit("en"), F.lit("de")), ["de", "en"])) == 0 and one(text.language_rank(F.array(F.lit("fr")), ["de", "en"])) == 2
