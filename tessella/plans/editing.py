@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import names
-from tessella.operators import boxes, edits, fusion, library, series, stages, vectors
+from tessella.operators import boxes, edits, fusion, library, ranks, series, stages, vectors
 from tessella.operators import clips as cut
 from tessella.plans.indexing import DAY, faces_of
-from tessella.plans.queries import CLIPS, HOUR, HOURLY, KEY, KEYS, MOODS, POOL, PROMPTS, SPANS, TARGET, clips, hourly, moods, prompt_sims, query, spans, top_pool
+from tessella.plans.queries import CLIPS, HOUR, HOURLY, KEY, KEYS, MOODS, POOL, PROMPTS, SPANS, TARGET, clips, fitted, hourly, pool_of, prompt_sims, query, spans, top_pool
 from tessella.sources.readers import table
 
 # Clips -----------------------------------------------------------------------------------------------------------------------------
@@ -63,7 +63,7 @@ SELECT {KEYS}, CASE WHEN length / 50 < 0.03 THEN 'flat' WHEN greatest(p, b) >= 0
 )
 def quality_prompts(spark, sf):
     c = clips(spark, sf)
-    m = c.groupBy("season").agg(F.median("loudness").alias("typical"))
+    m = ranks.medians(c, ["season"], "loudness", "typical")
     faults = {"writing": F.col("speech") * 5.0, "unsharp": F.col("tax") * 6.0}
     q = fusion.quality(F.lit(0.5), F.lit(0.5), F.col("length") / 50, F.col("loudness"), F.col("typical"), faults, 0.45)
     return c.join(m, "season").withColumn("q", q).select(*KEY, F.col("q.issue").alias("issue"), F.col("q.score").alias("score"))
@@ -252,7 +252,8 @@ FIT = "avg(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (1.0 * action + -0.5 * calm
 
 @query("edit_style_fit", f"WITH {POOL} SELECT p.season, in_edit, in_season FROM (SELECT season, round({FIT}, 4) AS in_edit FROM pool GROUP BY season) p JOIN (SELECT season, round({FIT}, 4) AS in_season FROM moods GROUP BY season) m ON m.season = p.season")
 def edit_style_fit(spark, sf):
-    return edits.style_fit(top_pool(spark, sf), moods(spark, sf), ["season"], "season", TARGET)
+    fits = fitted(spark, sf)
+    return edits.style_fit(pool_of(fits), fits, ["season"], "season", TARGET)
 
 
 @query(
