@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,11 +13,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _plain(s: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower())
+
+
 @F.pandas_udf(T.StringType())
-def normalize_name(text: pd.Series) -> pd.Series:
-    """Lower case without accents; runs of anything but a-z and 0-9 are one space."""
-    plain = text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower())
-    return plain.str.replace(r"[^a-z0-9]+", " ", regex=True).str.strip()
+def _normalized(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: None if s is None else _plain(s).strip())
+
+
+@lru_cache(maxsize=1)
+def _folded() -> tuple[str, str, str]:
+    """Characters beyond ASCII that mean a letter, a digit or nothing, what they mean (those that mean nothing stand last), and a pattern that finds all that mean several."""
+    single, nothing, several = {}, [], []
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
+        plain = _plain(chr(code))
+        if plain == "":
+            nothing.append(chr(code))
+        elif plain != " ":
+            single[chr(code)] = plain
+            if len(plain) > 1:
+                del single[chr(code)]
+                several.append(code)
+    ranges = []
+    for code in several:
+        # Beyond the alphabets small gaps do no harm: the pattern may find more.
+        if ranges and code - ranges[-1][1] <= (1 if code < 0x2100 else 16):
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "".join([*single, *nothing]), "".join(single.values()), "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+def normalize_name(text: Column | str) -> Column:
+    """Lower case without accents; runs of anything but a-z and 0-9 are one space.
+
+    Texts with a character that stands for several (such as a ligature) go to
+    Python, all others do not.
+    """
+    text, (characters, meanings, several) = F.col(text) if isinstance(text, str) else text, _folded()
+    rare = F.rlike(text, F.lit(several))
+    native = F.trim(F.lower(F.regexp_replace(F.translate(text, characters, meanings), "[^A-Za-z0-9]+", " ")))
+    return F.coalesce(F.when(~rare, native), _normalized(F.when(rare, text)))
 
 
 def name_score(query: Column, name: Column) -> Column:
