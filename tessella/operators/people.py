@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import name_score, normalize_name, split_names
 from tessella.operators.ranks import systematic_sample
+from tessella.session import written
 
+#: Parts into which the names of a season are dealt, so that no season is one task.
+PARTS = 32
 #: Roles in their order; others come after them.
 ROLES = ("MAIN", "SUPPORTING", "BACKGROUND")
 
@@ -21,10 +24,16 @@ def find(searches: DataFrame, characters: DataFrame, season: str, search: str) -
     ``position``, then ``character_id``. Each name is normalised once. Nulls,
     names without letters or digits and seasons that are only on one side find
     nothing. Equal searches count once.
+
+    Searches meet the distinct names of their season, in ``PARTS`` parts of it;
+    characters come in by their name afterwards.
     """
     asked = searches.select(season, search).distinct().withColumn("_q", normalize_name(F.col(search))).where("_q <> ''")
-    known = characters.select(season, "character_id", "name", "role", "position").withColumn("_n", normalize_name(F.col("name")))
-    hits = asked.join(known, season).withColumn("score", name_score(F.col("_q"), F.col("_n"))).where("score > 0")
+    known = written(characters.select(season, "character_id", "name", "role", "position").withColumn("_n", normalize_name(F.col("name"))).where("_n <> ''"), "characters")
+    names = known.select(season, "_n").distinct().withColumn("_part", F.pmod(F.xxhash64("_n"), F.lit(PARTS)))
+    dealt = asked.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    named = dealt.join(names, [season, "_part"]).withColumn("score", name_score(F.col("_q"), F.col("_n"))).where("score > 0").select(season, search, "_n", "score")
+    hits = named.join(known, [season, "_n"])
     role = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")), F.lit(0))
     order = Window.partitionBy(season, search).orderBy(F.desc("score"), F.when(role == 0, len(ROLES) + 1).otherwise(role), F.asc_nulls_last("position"), "character_id")
     return hits.withColumn("place", (F.row_number().over(order) - 1).cast("long")).select(season, search, "character_id", "name", "score", "place")
