@@ -22,7 +22,11 @@ def parse_media(payload: Column) -> Column:
 
     The sequel is the first relation to a season of the same kind. Null where the payload is no JSON.
     """
-    m = F.from_json(payload, MEDIA)
+    # Each payload is read once, however many fields are taken from it.
+    return F.transform(F.array(F.from_json(payload, MEDIA)), _entry)[0]
+
+
+def _entry(m: Column) -> Column:
     named = lambda c: F.when(F.length(c) > 0, c)
     titles = F.filter(F.concat(F.array(m["title"]["romaji"], m["title"]["english"], m["title"]["native"]), F.coalesce(m["synonyms"], F.array().cast("array<string>"))), lambda t: F.length(t) > 0)
     after = lambda e: (e["relationType"] == "SEQUEL") & (e["node"]["type"] == "ANIME") & e["node"]["format"].isin(*SEASON_FORMATS)

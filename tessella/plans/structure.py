@@ -288,6 +288,7 @@ SELECT a.search, a.number, a.first, w.here AS found FROM asked a LEFT JOIN walk
 def season_of(spark, sf):
     """Seasons 1 to 40 of the best match of each brand."""
     m = payloads(spark, sf).select("search", "score", media.parse_media(F.col("payload")).alias("m")).select("search", "score", "m.id", "m.format", "m.sequel_id")
+    m = written(m, "media")
     searches = m.select("search").distinct().select("search", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(40).cast("long"))).alias("number"))
     candidates = m.where(F.col("format").isin(*media.SEASON_FORMATS)).select("search", "id", "score", F.col("id").alias("place"))
     return media.season_of(searches, candidates, m.select("id", F.col("sequel_id").alias("next")))

@@ -1,12 +1,15 @@
 """What has to stay bounded as tables grow: rows travel once, no task holds a group, plans keep the story's order."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import planner, ranks
-from tessella.plans import editing, queries
+from tessella.functions import text
+from tessella.operators import people, planner, ranks
+from tessella.plans import editing, queries, structure
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,3 +76,42 @@ def test_top_share_of_ties_and_nulls(spark):
         own = sorted([(v, i) for k, v, i in rows if k == g], key=lambda x: (x[0] is None, -(x[0] or 0), -x[1]))
         expected |= {(g, i) for _, i in own[: max(1, round(len(own) * 0.3))]}
     assert got == expected
+
+
+def test_payloads_are_read_once(spark):
+    """However many fields are taken, each payload is parsed once, and walks along sequels do not parse at all."""
+    plan = plan_of(structure.parse_media(spark, SF))
+    assert plan.count("from_json") == 1
+    assert "from_json" not in plan_of(structure.season_of(spark, SF))
+
+
+def test_searches_meet_distinct_names(spark):
+    """A thousand characters of one name are compared once, and no season is one task."""
+    rows = [("s", k, f"Ann Lee {k % 3}", "MAIN", k) for k in range(1000)]
+    characters = spark.createDataFrame(rows, "season string, character_id long, name string, role string, position int")
+    asked = spark.createDataFrame([("s", "lee 1"), ("s", "Ann")], "season string, search string")
+    found = people.find(asked, characters, "season", "search")
+    got = sorted((r.search, r.place, r.character_id) for r in found.collect())
+    assert got == [("Ann", i, k) for i, k in enumerate(range(1000))] + [("lee 1", i, k) for i, k in enumerate(range(1, 1000, 3))]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(people.find(asked, characters, "season", "search"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\(season#\d+, \d+\)", plan)
+
+
+def test_names_of_all_characters(spark):
+    """Every character alone and between letters, as Python's own normalisation has it."""
+    codes = [*range(1, 0xD800), *range(0xE000, 0x110000, 7)]
+    texts = spark.createDataFrame([(c, f"Ab{chr(c)}Cd {chr(c)}") for c in codes if chr(c) != "\0"], "c int, t string").repartition(8)
+    bad = [(hex(r.c), r.n) for r in texts.select("c", "t", text.normalize_name("t").alias("n")).collect() if r.n != text._plain(r.t).strip()]
+    assert bad == []
+
+
+def test_names_stay_out_of_python(spark):
+    """Accents and other scripts need no Python; only characters that stand for several do."""
+    rows = spark.createDataFrame([("Café Ñandú – Große İI",), ("ﬁre ½",), (None,), ("",)], "t string")
+    seen = rows.select(text.normalize_name("t").alias("n")).collect()
+    assert [r.n for r in seen] == ["cafe nandu gro e ii", "fire 1 2", None, ""]
+    assert rows.where(F.rlike("t", F.lit(text._folded()[2]))).count() == 1
