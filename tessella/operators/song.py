@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.intervals import section_at
@@ -155,6 +155,18 @@ def walk(steps: DataFrame, starts: DataFrame, axis: str) -> DataFrame:
         jumps = jumps.join(further, [axis, "next"]).select(axis, "node", F.col("further").alias("next"))
 
 
+def walks(steps: DataFrame, axis: str, start: Column) -> DataFrame:
+    """``walk`` where the steps of a song fit a task: the rows of ``steps`` (``node, next`` and more) that are met from ``start``, an aggregate of them.
+
+    One pass over the nodes of each song in their order, so the rows travel once; ``walk`` is for longer ones.
+    """
+    fields = ["node", *[c for c in steps.columns if c not in (axis, "node")]]
+    songs = steps.groupBy(axis).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_all"), start.cast("long").alias("_first"))
+    begin = F.struct(F.col("_first").alias("at"), F.slice("_all", 1, 0).alias("met"))
+    step = lambda acc, x: F.when(x["node"] == acc["at"], F.struct(x["next"].cast("long").alias("at"), F.concat(acc["met"], F.array(x)).alias("met"))).otherwise(acc)
+    return songs.select(axis, F.inline(F.aggregate("_all", begin, step)["met"])).select(*steps.columns)
+
+
 def song_slots(
     zones: DataFrame, songs: DataFrame, downbeats: DataFrame, sums: DataFrame, starts: DataFrame, axis: str, length: int, rules: CutRules, step: int, min_slot: int = 0, parts: int = 8
 ) -> DataFrame:
@@ -163,8 +175,8 @@ def song_slots(
     A cut follows after as many beats as the zone of its beat says, and at
     every change of zone; half beats and smaller ones lie between beats, and a
     rate below a beat is doubled until it is no shorter than ``rules.shortest``.
-    Rates are multiples of 1/``parts`` of a beat. The last slot ends with the
-    edit; one shorter than ``min_slot`` is not begun. ``hits`` are the cut
+    Rates are multiples of 1/``parts`` of a beat; only the parts that all of a
+    song's strides can meet are nodes. The last slot ends with the edit; one shorter than ``min_slot`` is not begun. ``hits`` are the cut
     itself, then the beats inside on downbeats, then the other ones.
     """
     order = Window.partitionBy(axis).orderBy("i")
@@ -179,14 +191,16 @@ def song_slots(
     z = written(z.join(nearest, axis).where("i >= first").withColumn("stride", F.greatest(F.lit(1), stride)), "zones")
     node = F.col("i") * parts + F.col("r")
     place = F.col("t") + F.expr(f"coalesce(gap * r, 0) div {parts}")
-    nodes = z.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("r")).where("r = 0 or gap is not null")
+    # The greatest power of two in all strides of a song and in ``parts``: all nodes that can be met are multiples of it.
+    power = lambda x: x.bitwiseAND(-x)
+    grain = F.min(F.least(power(F.col("stride")), F.lit(parts & -parts))).over(whole)
+    nodes = z.withColumn("grain", grain).select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("r")).where("r % grain = 0 and (r = 0 or gap is not null)")
     nodes = nodes.select(axis, node.alias("node"), place.alias("at"), F.least(node + F.col("stride"), F.col("change") * parts).alias("next"), "label", "first", "song_start", "song_end")
-    nodes = written(nodes.where((F.col("node") == F.col("first") * parts) | (F.col("at") < F.col("song_end") - min_slot)), "nodes")
-    met = walk(nodes, nodes.where(F.col("node") == F.col("first") * parts), axis)
-    cuts = nodes.join(met, [axis, "node"])
+    nodes = nodes.where((F.col("node") == F.col("first") * parts) | (F.col("at") < F.col("song_end") - min_slot))
+    cuts = walks(nodes, axis, F.min("first") * parts)
     at = Window.partitionBy(axis).orderBy("node")
     cuts = cuts.withColumn("slot_no", F.row_number().over(at).cast("long") - 1).withColumn("t0", F.when(F.col("slot_no") == 0, F.col("song_start")).otherwise(F.col("at")))
-    cuts = cuts.withColumn("t1", F.coalesce(F.lead("t0").over(at), F.col("song_end")))
+    cuts = written(cuts.withColumn("t1", F.coalesce(F.lead("t0").over(at), F.col("song_end"))), "cuts")
     slots = mean_between(cuts, sums, axis, "t0", "t1", step, "intensity")
     points = z.select(axis, F.col("t").alias("own"), (F.col("i") * parts).alias("t"))
     inner = section_at(points, cuts.select(axis, F.col("node").alias("ss"), F.struct("slot_no", "t0", "t1").alias("label")), axis)

@@ -64,8 +64,8 @@ curve AS (SELECT x.axis, x.i, coalesce(v, 0) AS value FROM (SELECT axis, unnest(
 
 
 def parts_of(spark, sf):
-    beats = beats_of(spark, sf)
-    songs = songs_of(beats)
+    beats = written(beats_of(spark, sf), "beats")
+    songs = written(songs_of(beats), "songs")
     return beats, songs, sections_of(songs), timed(spark, sf, songs, "event_type = 'purchase' and value >= 100"), song.prefix_sums(curve_of(spark, sf, songs), "axis")
 
 
@@ -144,8 +144,9 @@ inside AS (SELECT s.axis, slot_no, b.t - t0 AS hit, NOT EXISTS (SELECT 1 FROM be
 hits AS (SELECT axis, slot_no, string_agg(CAST(hit AS VARCHAR), ',' ORDER BY off, hit) AS hits FROM inside GROUP BY ALL)"""
 
 
-def slots_of(spark, sf):
-    beats, songs, sections, drops, sums = (written(df, "song") for df in parts_of(spark, sf))
+def slots_of(spark, sf, parts=None):
+    beats, songs, sections, *more = parts or parts_of(spark, sf)
+    drops, sums = (written(df, "song") for df in more)
     down, starts = starts_of(beats, songs, sections, drops)
     return song.song_slots(zones_of(beats, songs, sections, drops), songs, down, sums, starts, "axis", LENGTH, RULES, STEP, MIN_SLOT)
 
@@ -300,10 +301,10 @@ STYLE = songs_for.Style(mood={"action": 1.0, "calm": -0.5, "funny": 0.25}, bpm=(
 
 def library(spark, sf):
     """Every user as a song, for each season: moods by the kinds of its events, the cuts of its edit and the strongest drop in it, the profile and size of the season's pool."""
-    beats, songs, sections, drops, _ = parts_of(spark, sf)
+    beats, songs, sections, drops, _ = parts = parts_of(spark, sf)
     _, starts = starts_of(beats, songs, sections, drops)
     inside = drops.join(starts, "axis").where((F.col("time") >= F.col("song_start")) & (F.col("time") < F.col("song_start") + LENGTH)).groupBy("axis").agg(F.max("strength").alias("drop"))
-    cuts = slots_of(spark, sf).groupBy("axis").agg(F.count("*").alias("cuts"))
+    cuts = slots_of(spark, sf, parts).groupBy("axis").agg(F.count("*").alias("cuts"))
     share = lambda k: F.round(F.count_if(F.col("event_type") == k) / F.count("*"), 3)
     moods = spans(spark, sf).groupBy("axis").agg(F.struct(*[share(k).alias(m) for m, k in zip(MOODS, KINDS)]).alias("moods"))
     own = songs.join(cuts, "axis").join(inside, "axis", "left").join(moods, "axis")

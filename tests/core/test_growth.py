@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text
-from tessella.operators import people, planner, ranks
+from tessella.operators import people, planner, ranks, song
 from tessella.plans import editing, queries, structure
 
 SF = "/root/testdata/sf0.001"
@@ -115,3 +115,22 @@ def test_names_stay_out_of_python(spark):
     seen = rows.select(text.normalize_name("t").alias("n")).collect()
     assert [r.n for r in seen] == ["cafe nandu gro e ii", "fire 1 2", None, ""]
     assert rows.where(F.rlike("t", F.lit(text._folded()[2]))).count() == 1
+
+
+def test_walks_meet_what_a_walk_meets(spark):
+    """One pass over each song instead of rounds of joins; a song whose start is no node meets nothing."""
+    steps = spark.createDataFrame([(a, n, n + 1 + (a * 7 + n * 5) % 4, float(n)) for a in range(6) for n in range(40) if (a, n) != (5, 3)], "axis long, node long, next long, at double")
+    starts = spark.createDataFrame([(a, 3) for a in range(6)], "axis long, node long")
+    by_rounds = {(r.axis, r.node) for r in song.walk(steps, starts, "axis").collect()}
+    got = song.walks(steps, "axis", F.lit(3)).collect()
+    assert {(r.axis, r.node) for r in got if r.axis != 5} == {x for x in by_rounds if x[0] != 5} and not [r for r in got if r.axis == 5]
+    assert all(r.at == r.node for r in got)
+
+
+def test_slots_write_no_rounds(spark, monkeypatch):
+    """Beats, songs, drops, sums, zones and cuts are written, once each, however long the walk is."""
+    names = []
+    for module in (song, structure):
+        monkeypatch.setattr(module, "written", lambda df, name, f=module.written: names.append(name) or f(df, name))
+    structure.song_slots(spark, SF).count()
+    assert sorted(names) == ["beats", "cuts", "song", "song", "songs", "zones"]
