@@ -172,10 +172,9 @@ KINDS = ("view", "click", "purchase", "signup", "error")
 
 def frames_of(spark, sf):
     """Every user as a series of half days, each a vector of how often each kind of event happened."""
-    s = spans(spark, sf)
-    i = (F.expr(f"s div {HALF_DAY}") - F.min(F.expr(f"s div {HALF_DAY}")).over(Window.partitionBy("axis"))).alias("i")
     count = [F.count_if(F.col("event_type") == k) for k in KINDS]
-    return s.select("axis", i, "event_type").groupBy(F.col("axis").alias("series"), "i").agg(F.array(*[c.cast("double") for c in count]).alias("v"))
+    counted = spans(spark, sf).groupBy(F.col("axis").alias("series"), F.expr(f"s div {HALF_DAY}").alias("at")).agg(F.array(*[c.cast("double") for c in count]).alias("v"))
+    return counted.select("series", (F.col("at") - F.min("at").over(Window.partitionBy("series"))).alias("i"), "v")
 
 
 @query(
@@ -194,7 +193,7 @@ SELECT a, b, first AS start_a, first + k AS start_b, length, round(n / length, 6
 def shared_segments(spark, sf):
     """Each user against the three next ones, as an episode against the nearest others."""
     frames = frames_of(spark, sf)
-    users = frames.select(F.col("series").alias("a")).distinct()
+    users = spans(spark, sf).select(F.col("axis").alias("a")).distinct()
     pairs = users.select("a", F.explode(F.array(*[F.col("a") + d for d in (1, 2, 3)])).alias("b")).join(users.select(F.col("a").alias("b")), "b")
     return matching.shared_segments(frames, pairs, ALIKE, 8, 40, 2, 0.5).withColumn("coverage", F.round("coverage", 6))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text
-from tessella.operators import people, planner, ranks, song
+from tessella.operators import matching, people, planner, ranks, song
 from tessella.plans import editing, queries, structure
 
 SF = "/root/testdata/sf0.001"
@@ -135,3 +135,14 @@ def test_slots_write_no_rounds(spark, monkeypatch):
         monkeypatch.setattr(module, "written", lambda df, name, f=module.written: names.append(name) or f(df, name))
     structure.song_slots(spark, SF).count()
     assert sorted(names) == ["beats", "cuts", "song", "song", "songs", "zones"]
+
+
+def test_segments_deal_out_blocks_and_runs(spark, monkeypatch):
+    """No row for each frame of each pair, nor for each hit; before, each frame of a pair went to nine cells, and hits were sorted twice."""
+    parts, blocks = [], []
+    monkeypatch.setattr(matching, "_joined", lambda df, *a, f=matching._joined: parts.append(df.count()) or f(df, *a))
+    monkeypatch.setattr(matching, "_blocks", lambda df, *a, f=matching._blocks: blocks.append(f(df, *a).count()) or f(df, *a))
+    plan = plan_of(structure.shared_segments(spark, SF))
+    users = spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().count()
+    hits = matching.similar_frames(structure.frames_of(spark, SF), spark.createDataFrame([(a, a + d) for a in range(users) for d in (1, 2, 3)], "a long, b long"), structure.ALIKE).count()
+    assert blocks == [users] and parts[0] < 0.05 * hits and "c0" not in plan

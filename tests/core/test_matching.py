@@ -71,6 +71,63 @@ def test_cells_spare_most_comparisons(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan and "c2" in plan
 
 
+def plain_segment(a, b, similarity, least, most, max_gap, coverage):
+    """One diagonal after the other; ``a``, ``b``: lists of (index, vector)."""
+    alike = lambda v, w: len(v) == len(w) and any(v) and any(w) and np.dot(v, w) / np.sqrt(np.dot(v, v) * np.dot(w, w)) >= similarity
+    diagonals, best = {}, None
+    for i, v in a:
+        for j, w in b:
+            if alike(v, w):
+                diagonals.setdefault(j - i, []).append(i)
+    for k, hits in sorted(diagonals.items()):
+        runs = []
+        for i in sorted(hits):
+            if runs and i - runs[-1][1] <= max_gap + 1:
+                runs[-1][1:] = [i, runs[-1][2] + 1]
+            else:
+                runs.append([i, i, 1])
+        first, last, n = max(runs, key=lambda r: (r[1] - r[0], -r[0]))
+        length = last - first + 1
+        if least <= length <= most and n / length >= coverage and (best is None or length > best[2]):
+            best = (first, first + k, length, n / length)
+    return best
+
+
+@pytest.mark.parametrize("block", [3, 8, 1000])
+def test_segments_of_series_in_blocks_of_any_size(spark, block):
+    """Runs over the borders of blocks, silence, missing and repeated indexes, some below zero, vectors of two sizes, pairs without a series."""
+    draw, rows, series = random.Random(block), [], {}
+    for name in range(12):
+        start, size = draw.randrange(-9, 9), draw.randrange(1, 45)
+        picked = [start + k for k in range(size) if draw.random() < 0.9] + [start] * (name % 3 == 0)
+        series[name] = [(i, [float(draw.random() < 0.5) for _ in range(3 if draw.random() < 0.9 else 4)]) for i in picked]
+        rows += [(name, i, v) for i, v in series[name]]
+    draw.shuffle(rows)
+    pairs = [(a, b) for a in range(13) for b in range(13) if a <= b]
+    rules = (0.75, 4, 15, 2, 0.6)
+    got = matching.shared_segments(spark.createDataFrame(rows, "series int, i long, v array<double>").repartition(5), spark.createDataFrame(pairs, "a int, b int"), *rules, block=block)
+    want = {p: plain_segment(series.get(p[0], []), series.get(p[1], []), *rules) for p in pairs}
+    want = {p: s for p, s in want.items() if s}
+    assert {(r.a, r.b): (r.start_a, r.start_b, r.length, r.coverage) for r in got.collect()} == want and len(want) > 30
+
+
+def test_runs_over_several_blocks_are_one(spark):
+    """A long gap, wider than the blocks between, is bridged too."""
+    a = [[1.0, 0.0]] * 30 + [[0.0, 1.0]] * 9 + [[1.0, 0.0]] * 30
+    f = spark.createDataFrame([(s, i, v if s == "a" else [v[0], 0.0]) for s in "ab" for i, v in enumerate(a)], "series string, i long, v array<double>")
+    pairs = spark.createDataFrame([("a", "b")], "a string, b string")
+    got = lambda gap, block: [tuple(r)[2:] for r in matching.shared_segments(f, pairs, 0.9, 40, 69, gap, 0.5, block=block).collect()]
+    assert got(9, 4) == got(9, 512) == [(0, 0, 69, 60 / 69)] and got(8, 4) == got(8, 512) == []
+
+
+def test_frames_that_are_no_numbers_match_nothing(spark):
+    """Comparisons with NaN are true in Spark."""
+    pairs = spark.createDataFrame([("a", "b")], "a string, b string")
+    for x, found in ((float("nan"), 0), (None, 0), (float("inf"), 0), (0.5, 1)):
+        f = spark.createDataFrame([(s, i, [1.0, x]) for s in "ab" for i in range(20)], "series string, i long, v array<double>")
+        assert matching.shared_segments(f, pairs, 0.9, 3, 20, 0, 0.9).count() == found
+
+
 def motion(spark, values, start, end, edge=0, smooth=1, step=10):
     curve = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(values)], "axis int, i long, value double")
     c = spark.createDataFrame([(1, 7, start, end)], "axis int, clip int, start long, end long")
